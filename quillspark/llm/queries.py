@@ -1,6 +1,6 @@
 """The contract's queries, their SQL where there is any, and the operators they apply."""
 
-from quillspark.llm import fingerprint, langid, mixing, pii, toxicity, urlfilter, warc
+from quillspark.llm import fingerprint, langid, mixing, neardup, pii, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_urlfilter": urlfilter.op6_urlfilter,
+    "op7_neardup": neardup.op7_neardup,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
