@@ -1,8 +1,9 @@
 """The contract's queries, their SQL where there is any, and the operators they apply."""
 
-from quillspark.llm import decontam, fingerprint, langid, mixing, neardup, pii, toxicity, urlfilter, warc
+from quillspark.llm import decontam, fingerprint, langid, mixing, neardup, pii, sufdedup, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_sufdedup": sufdedup.op1_sufdedup,
     "op2_langid": langid.op2_langid,
     "op3_pii": pii.op3_pii,
     "op4_warc": warc.op4_warc,
