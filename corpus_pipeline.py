@@ -1,12 +1,73 @@
-"""A corpus pipeline of five stages; each reads what its predecessor wrote."""
+"""A corpus pipeline of five stages; each works on what its predecessor wrote.
+
+Language ID drops documents without a language, near-dedup keeps one document of each group, decontamination drops documents that
+hold a benchmark window, PII replaces entities in the texts, mixing takes documents towards the sources' target weights.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontam, langid, mixing, neardup, pii
+from quillspark.llm.common import materialize, table
+from quillspark.session import ship
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a language stay: neither `und` nor ambiguous. The model learns from the labelled rows among them."""
+    ship(spark)
+    found = langid.identify(docs, langid.train(docs))
+    return found.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays; rows without an id are groups of their own."""
+    ship(spark)
+    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark window occurs go."""
+    ship(spark)
+    hits = decontam.PhraseIndex(docs, table(spark, sf_dir, "benchmark")).report().filter("contaminated")
+    return docs.join(hits.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities in the texts become surrogates; n_chars follows."""
+    ship(spark)
+    new = pii.replace_pii(docs, "pipeline")
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.char_length("text").cast("long"))
+    return new.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their size, their source's target, and the words taken (repeats counted)."""
+    ship(spark)
+    taken = mixing.mix(docs, mixing.word_count(F.col("text"))).filter("taken > 0").select(F.col("doc_id").alias("_d"), "size", "source_size", "target", "taken")
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns, "size", "source_size", "target", "taken")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", replace_private),
+    ("mixing", mix_sources),
+]
+#: Language ID, PII and near-dedup have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages, applied to documents; every result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name)
+    return docs
