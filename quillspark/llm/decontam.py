@@ -23,19 +23,22 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. Splitting at it and dropping empty pieces gives the words, at a quarter of the cost of matching them.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Closes a document's words, so that one scan counts both them and the vocabulary: it cannot be a word.
+END = "\x01"
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def exact_words(text: Column) -> Column:
     """Words with A-Z lower-cased, nothing else changed."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
 def folded_words(text: Column) -> Column:
     """Words under full case folding: as many, at the same places, and equal wherever exact words are."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _hint(df: DataFrame) -> DataFrame:
@@ -47,10 +50,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("t"), "text")
 
 
+def _mark() -> Column:
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("ipos") % 63)).alias("mark")
+
+
 class PhraseIndex:
     """Postings of the items' rare words over a corpus, and what is needed to read them."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 3):
+    def __init__(self, docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2):
         """docs(doc_id, text), items(item_id, text)."""
         self.docs, self.width, self.rarest = _keyed(docs), width, rarest
         listed = items.select("item_id", "text").distinct().withColumns({"words": exact_words(F.col("text")), "folded": folded_words(F.col("text"))})
@@ -58,9 +65,13 @@ class PhraseIndex:
         self.items = materialize(listed, "items")
         places = self.items.select("ik", F.size("words").alias("n"), F.posexplode("folded").alias("ipos", "term"))
         vocabulary = places.select("term").distinct()
-        tokens = self.docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
-        counts = tokens.join(_hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
-        self.frequency = materialize(counts, "frequency")
+        vocabulary = vocabulary.union(vocabulary.sparkSession.createDataFrame([(END,)], "term string"))
+        tokens = self.docs.select("k", "t", F.posexplode(F.array_append(folded_words(F.col("text")), F.lit(END))).alias("pos", "term"))
+        closing = lambda c: F.when(F.col("term") == END, F.col(c))
+        counts = tokens.join(_hint(vocabulary), "term", "left_semi").groupBy("term", closing("k").alias("k"), closing("t").alias("t"), closing("pos").alias("n_words")).agg(F.count("*").alias("freq"))
+        counted = materialize(counts, "counts")
+        self.frequency = counted.filter(F.col("term") != END).select("term", "freq")
+        self.lengths = counted.filter(F.col("term") == END).select("k", "t", F.col("n_words").cast("long").alias("n_words"))
         # windows, each with its rarest places; a word that no document holds rules its windows out
         starts = self.items.select("ik", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("start"), F.least(F.size("words"), F.lit(width)).alias("len"))
         spots = starts.join(places.drop("n"), "ik").filter("ipos >= start and ipos < start + len").join(self.frequency, "term", "left")
@@ -78,13 +89,14 @@ class PhraseIndex:
         return self.postings.join(_hint(self.places), "term").select("k", "t", "ik", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos")
 
     def _holding(self, hits: DataFrame) -> DataFrame:
-        """Groups of hits (an item's places at most) that hold every rare place of some window."""
-        whole = lambda w: F.size(F.array_except(w["need"], F.col("hits"))) == 0
-        return hits.join(_hint(self.windows), "ik").withColumn("windows", F.filter("windows", whole)).filter(F.size("windows") > 0)
+        """Groups whose mark (a bit a place, modulo 63) holds every rare place of some window: all true ones, and few others."""
+        mark = lambda w: F.aggregate(w["need"], F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 63).cast("int"))))
+        held = hits.join(_hint(self.windows), "ik").withColumn("windows", F.filter("windows", lambda w: mark(w).bitwiseAND(F.col("mark")) == mark(w)))
+        return held.filter(F.size("windows") > 0).drop("mark")
 
     def candidates(self) -> DataFrame:
         """(k, t, ik, diag, windows): windows whose rare words stand at their offsets."""
-        return self._holding(self._diagonals().groupBy("k", "t", "ik", "diag").agg(F.collect_set("ipos").alias("hits")).filter(F.size("hits") >= 1)).drop("hits")
+        return self._holding(self._diagonals().groupBy("k", "t", "ik", "diag").agg(_mark()))
 
     def proximity_hits(self, slop: int = 5) -> DataFrame:
         """(k, t, ik, start, windows): windows whose rare words all occur with diagonals in one span of `slop`."""
@@ -92,13 +104,13 @@ class PhraseIndex:
         # spans start at every half slop, so any two diagonals closer than half a slop share one
         half = max(1, slop // 2)
         spans = d.withColumn("near", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)))
-        held = self._holding(spans.groupBy("k", "t", "ik", "near").agg(F.collect_set("ipos").alias("hits")))
+        held = self._holding(spans.groupBy("k", "t", "ik", "near").agg(_mark()))
         return held.select("k", "t", "ik", (F.col("near") * half).alias("start"), "windows")
 
     def phrase_hits(self) -> DataFrame:
         """(k, t, ik, item_id, places): document positions covered by exact occurrences of an item's windows."""
         at = self.candidates().groupBy("k", "t").agg(F.collect_list(F.struct("ik", "diag", "windows")).alias("c"))  # bounded by the document's own length
-        texts = self.docs.select("k", "t", "text").join(at, ["k", "t"]).dropDuplicates(["k", "t"])
+        texts = self.docs.select("k", "t", "text").join(_hint(materialize(at, "candidates")), ["k", "t"]).dropDuplicates(["k", "t"])
         each = texts.select("k", "t", exact_words(F.col("text")).alias("dw"), "c").select("k", "t", "dw", F.explode("c").alias("c"))
         each = each.join(_hint(self.items.select("ik", "item_id", "words")), F.col("c.ik") == F.col("ik"))
         same = lambda w: F.slice("dw", F.col("c.diag") + w["start"] + 1, w["len"]) == F.slice("words", w["start"] + 1, w["len"])
@@ -113,7 +125,7 @@ class PhraseIndex:
         hits = self.phrase_hits()
         per = hits.groupBy("k", "t").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_p"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
         per = per.select("k", "t", F.size("_p").cast("long").alias("n_hit"), "items")
-        base = self.docs.select("doc_id", "k", "t", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
+        base = self.docs.select("doc_id", "k", "t").join(self.lengths, ["k", "t"])
         out = base.join(per, ["k", "t"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
         return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
