@@ -41,7 +41,7 @@ REACH = WIDTH - K
 CONTEXT = 2 * REACH + K
 PACK = 1 << 20
 #: Bytes of text, and of contexts, that one bucket answers for, about.
-BUCKET_TEXT, BUCKET_CONTEXT = 16 << 20, 4 << 20
+BUCKET_TEXT, BUCKET_CONTEXT = 4 << 20, 2 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -70,16 +70,17 @@ class Pack:
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])
         self.pos = self._anchors()
-        self.row = np.searchsorted(self.starts, self.pos, side="right") - 1
+        self.row = self._row[self.pos].astype(np.int64)
         low = np.maximum(self.pos - REACH, self.starts[self.row])
         high = np.minimum(self.pos + K + REACH, self.starts[self.row + 1])
         self.low, self.high = low, high
         anchor = self._hash[self.pos]
         edges = ((self.pos - low) * (CONTEXT + 1) + (high - self.pos)).astype(U64)
         context = mix64(self._span(low, high) + edges * U64(0x9E3779B97F4A7C15)) >> U64(16)
-        del self._hash, self._span
-        bucket = ((anchor >> U64(32)) * U64(buckets)) >> U64(32)
-        same = mix64(mix64(anchor) + context * U64(0xD6E8FEB86659FD93))
+        del self._hash, self._span, self._row
+        mixed = mix64(anchor)
+        bucket = ((mixed >> U64(32)) * U64(buckets)) >> U64(32)
+        same = mix64(mixed + context * U64(0xD6E8FEB86659FD93))
         key = mix64(same + (self.row.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
         # distinct (document, anchor, context), in the order of bucket, then key
         order = np.lexsort((key, bucket))
@@ -104,12 +105,13 @@ class Pack:
     def _anchors(self) -> np.ndarray:
         """Positions of the anchors, ascending: the leftmost smallest hash of each window."""
         n = len(self.text)
+        self._row = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
         self._span = SpanHash(self.text)
         self._hash = np.zeros(0, U64)
         if n < WIDTH:
             return np.zeros(0, np.int64)
         at = np.arange(n - K + 1)
-        self._hash = mix64((self._span.prefix[K:] - self._span.prefix[:-K]) * self._span.inv[: n - K + 1])
+        self._hash = (self._span.prefix[K:] - self._span.prefix[:-K]) * self._span.inv[: n - K + 1]
         shift = U64(max(20, int(n).bit_length()))
         best = (self._hash >> shift << shift) | at.astype(U64)
         done = 1
@@ -117,8 +119,7 @@ class Pack:
             step = min(done, SERVED - done)
             best = np.minimum(best[:-step], best[step:])
             done += step
-        ends = np.repeat(self.starts[1:], self.lens)
-        inside = np.arange(n - WIDTH + 1) + WIDTH <= ends[: n - WIDTH + 1]
+        inside = self._row[: n - WIDTH + 1] == self._row[WIDTH - 1 :]
         found = (best[inside] & ((U64(1) << shift) - U64(1))).astype(np.int64)
         keep = np.ones(len(found), bool)
         keep[1:] = found[1:] != found[:-1]
@@ -156,8 +157,8 @@ def _grouped(batches):
     """Rows sorted by their first column: (key, rows), one key at a time, over the bounds of batches."""
     key, rows = None, []
     for b in batches:
-        cols = b.to_pydict()
-        for row in zip(*cols.values()):
+        for row in zip(*b.columns):
+            row = tuple(x.as_py() for x in row)
             if rows and row[0] != key:
                 yield key, rows
                 rows = []
@@ -233,8 +234,10 @@ def _contexts(buckets: int, blocks: int):
             out = []
             for lo, hi in zip(cut, [*cut[1:], len(e)]):
                 at = p.first[e[lo:hi]]
-                text = b"".join(p.text[a:b].tobytes() for a, b in zip(p.low[at], p.high[at]))
-                left, size = (p.pos[at] - p.low[at]).astype(np.uint8), (p.high[at] - p.low[at]).astype(np.uint8)
+                low, size = p.low[at], p.high[at] - p.low[at]
+                before = np.cumsum(size) - size
+                text = p.text[np.repeat(low - before, size) + np.arange(size.sum())].tobytes()
+                left, size = (p.pos[at] - low).astype(np.uint8), size.astype(np.uint8)
                 out.append((int(block[lo]), pack, e[lo:hi].astype(np.uint32).tobytes(), left.tobytes(), size.tobytes(), p.ids[p.doc[e[lo:hi]]].tobytes(), text))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 2 + [pa.binary()] * 5)], ["block", "pack", "e", "left", "size", "d", "text"])
 
@@ -374,14 +377,16 @@ def _remove(buckets: int):
                 bits[np.frombuffer(e, np.uint32)] |= np.frombuffer(mask, np.uint32)
             mine = bits[p.entry_of]
             n = len(p.text)
-            change = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(mine)
-            pos, row, mine = p.pos[at], p.row[at], mine[at]
-            for o in range(SERVED):
-                s = pos[(mine >> np.uint32(o) & np.uint32(1)).astype(bool)] - REACH + o
-                r = row[(mine >> np.uint32(o) & np.uint32(1)).astype(bool)]
-                s = s[(s >= p.starts[r]) & (s + WIDTH <= p.starts[r + 1])]
-                change += np.bincount(s, minlength=n + 1) - np.bincount(s + WIDTH, minlength=n + 1)
+            full = mine == whole
+            starts, ends = [p.low[full]], [p.high[full]]  # all windows of an anchor cover its context
+            part = np.flatnonzero((mine > 0) & ~full)
+            pos, row, mine = p.pos[part], p.row[part], mine[part]
+            for o in range(SERVED if len(part) else 0):
+                on = (mine >> np.uint32(o) & np.uint32(1)).astype(bool)
+                at = pos[on] - REACH + o
+                starts.append(at)
+                ends.append(at + WIDTH)
+            change = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
             gone = np.cumsum(change[:-1]) > 0
             out = []
             for k in range(len(p.ids)):
