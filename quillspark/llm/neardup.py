@@ -3,13 +3,14 @@
 Sketch: every permutation gives two signature values, the set's smallest and largest hash, so 60 hash evaluations a
 shingle fill 120 values: 24 bands of 5. A pair at similarity 0.85 is in no common band with probability under 1e-6.
 
-Links: documents with equal sets collapse to one representative first. In every bucket the member with the most
-bucket mates is the centre, and only (centre, member) pairs are confirmed, never all pairs of a bucket. That is exact: if
-x is not linked to the centre c, a document y can be linked to x only if x and y share a shingle outside c, or y is
-smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too small). So what is not linked
-is dealt again by (c, shingle outside c), and by (c, size), where more than one component meets; the centres' rank falls from level
-to level, so this ends. Hot buckets and centres are aggregated before they are shuffled, joins on them are split, and members of
-a centre are confirmed in blocks of bounded size.
+Links: documents with equal sets collapse to one representative first. A bucket of at most BLOCK members is resolved in one
+task, which compares full sets and returns a spanning forest of the links; buckets with the same members are resolved once.
+In a larger bucket the member with the most bucket mates is the centre, and only (centre, member) pairs are confirmed. That
+loses nothing: if x is not linked to the centre c, a document y can be linked to x only if x and y share a shingle outside c,
+or y is smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too small). So what is
+not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size); these groups
+are small or are split in the same way, and as the centres' rank falls from level to level, this ends. Hot buckets
+are aggregated before they are shuffled, joins on them are split, and a centre's members are confirmed in blocks of bounded size.
 
 Defined cases: null or empty text, or text without words: an empty set, linked with nothing; fewer than five words: the
 whole sequence is the one shingle; rows of one doc_id are one document; a null doc_id is linked with nothing; other columns are
@@ -154,51 +155,136 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_confirm, "c long, x long, n_c long, n_x long, both long, outside array<long>")
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """keyed(key, x) -> distinct (c, x): in each key of two members or more, the one with the most mates is the centre."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    multi = materialize(keyed.join(counts, "key"), "buckets")
-    rank = multi.groupBy("x").agg(F.sum("_n").alias("mates"))
-    ranked = multi.select("key", "x").join(rank, "x")
+def _resolve(batches, percent: int):
+    """Groups of at most BLOCK members, sorted by key: links that span the groups' components, found on full sets."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    key, ids, raw = None, [], []
+    for b in batches:
+        out = []
+        for k, x, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if ids and k != key:
+                out += _forest(ids, raw, percent)
+                ids, raw = [], []
+            key = k
+            ids.append(x)
+            raw.append(z.decompress(body.as_py()))
+        if out:
+            yield _links(out)
+    if ids:
+        yield _links(_forest(ids, raw, percent))
+
+
+def _links(rows):
+    u, v = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _forest(ids: list[int], raw: list[bytes], percent: int) -> list[tuple[int, int]]:
+    sets = list(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(often > 1) - 1
+    row = np.repeat(np.arange(m), sizes)
+    row, place = row[often[place] > 1], shared[place[often[place] > 1]]
+    both = np.zeros((m, m), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for k in range(0, int(shared[-1]) + 1 if len(shared) else 0, 8192):
+        lo, hi = np.searchsorted(place, [k, k + 8192])
+        has = np.zeros((m, min(8192, int(shared[-1]) + 1 - k)), np.float32)
+        has[row[lo:hi], place[lo:hi] - k] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    near = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+    out, left = [], np.ones(m, bool)
+    for i in range(m):
+        if left[i]:
+            left[i], reach = False, [i]
+            while reach:
+                j = reach.pop()
+                for k in np.flatnonzero(near[j] & left):
+                    left[k] = False
+                    reach.append(int(k))
+                    out.append((ids[j], ids[k]))
+    return out
+
+
+def resolve_groups(keyed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """keyed(key, x), groups of at most BLOCK: spanning links (u, v)."""
+    dealt = keyed.join(texts, F.col("x") == F.col("doc_id")).select("key", "x", "z")
+    return dealt.repartition(spread(keyed.sparkSession), "key").sortWithinPartitions("key").mapInArrow(lambda b: _resolve(b, percent), "u long, v long")
+
+
+def _sort_out(keyed: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, x) of groups of 2 to BLOCK members, one of those with the same members; and (key, x) of larger ones.
+
+    stats(key, n, sig, lo, hi): members' number, exclusive or of hashes, smallest and largest.
+    """
+    stats = materialize(stats.filter("n > 1"), "groups")
+    small = stats.filter(F.col("n") <= BLOCK).groupBy("n", "sig", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    large = stats.filter(F.col("n") > BLOCK).select("key", "n")
+    return keyed.join(small, "key", "left_semi").select("key", "x"), keyed.join(large, "key").select("key", "x", "n")
+
+
+def _stats(keyed: DataFrame, *more) -> DataFrame:
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("sig"), F.min("x").alias("lo"), F.max("x").alias("hi"), *more)
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """large(key, x, n) -> distinct (c, x): of each group the member with the most mates is the centre."""
+    rank = large.groupBy("x").agg(F.sum("n").alias("mates"))
+    ranked = large.select("key", "x").join(rank, "x")
     top = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("x")).alias("_x"))).alias("_t")).select("key", (-F.col("_t._x")).alias("c"))
-    return multi.select("key", "x").join(top, "key").filter("c <> x").select("c", "x").distinct()
+    return large.select("key", "x").join(top, "key").filter("c <> x").select("c", "x").distinct()
+
+
+def _none(df: DataFrame) -> bool:
+    return df.limit(1).count() == 0
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, max_levels: int = 64) -> DataFrame:
     """docs(doc_id, text) -> per row: doc_id, n_shingles, component_id, kept. A link: 100 * |a & b| >= percent * |a | b|."""
+    if percent < 85:
+        raise ValueError("the bands are laid out for similarities of 0.85 and more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
-    classes = sketch.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(sketch.filter("n > 0 and doc_id is not null").select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
-    # bands of representatives only
+    whole = sketch.filter("n > 0 and doc_id is not null")
+    classes = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    member = materialize(whole.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    bands = sketch.select("doc_id", "bands").join(reps, "doc_id", "left_semi")
-    keyed = bands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("x")).distinct()
-    pairs = materialize(_stars(keyed), "pairs")
-    wanted = pairs.select(F.col("c").alias("doc_id")).union(pairs.select(F.col("x").alias("doc_id"))).distinct()
+    bands = whole.select("doc_id", "bands").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = bands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("x"))
+    small, large = _sort_out(keyed, _stats(keyed))
+    small, large = materialize(small, "small"), materialize(large, "large")
+    wanted = small.select(F.col("x").alias("doc_id")).union(large.select(F.col("x").alias("doc_id"))).distinct()
     packed = docs.filter("doc_id is not null").select("doc_id", _packed("text").alias("z"))
-    texts = materialize(packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    linked = F.expr(f"100 * both >= {percent} * (n_c + n_x - both)")
-    edges = member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    done = None
-    for level in range(max_levels):
-        seen = materialize(confirm_pairs(pairs, texts).withColumn("linked", linked), f"seen{level}")
-        links = seen.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
-        done = links if done is None else materialize(done.union(links), "links")
-        comps = components(done)
-        pairs = materialize(_residual(seen, comps, percent), "pairs")
-        if pairs.limit(1).count() == 0:
+    texts = materialize(packed.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = materialize(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).union(resolve_groups(small, texts, percent)), "links")
+    for _ in range(max_levels):
+        if _none(large):
             break
+        seen = materialize(confirm_pairs(_stars(large), texts).withColumn("linked", _linked(percent)), "seen")
+        links = materialize(links.union(seen.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))), "links")
+        small, large, sized = _residual(seen, components(links), percent)
+        large = materialize(large, "large")
+        sized = confirm_pairs(sized, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
+        links = materialize(links.union(resolve_groups(small, texts, percent)).union(sized), "links")
     else:
         raise RuntimeError(f"links did not settle in {max_levels} levels")
-    final = components(done.union(edges))
+    final = components(links)
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _residual(seen: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the next level: stars of (c, shingle outside c), and (x, y) by (c, size), where two components meet."""
+def _linked(percent: int) -> Column:
+    return F.expr(f"100 * both >= {percent} * (n_c + n_x - both)")
+
+
+def _residual(seen: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of (c, shingle outside c), small and large, and pairs by (c, size), where two components meet."""
     label = comps.select(F.col("id").alias("x"), F.col("comp"))
     with_comp = seen.join(label, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     # a centre matters only while one of its members is neither linked with it nor in its component
@@ -207,14 +293,14 @@ def _residual(seen: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     open_c = with_comp.filter("not linked and comp <> comp_c").select("c").distinct()
     live = materialize(with_comp.join(open_c, "c", "left_semi").select("c", "x", "n_x", "both", "linked", "comp", "outside"), "live")
     parts = live.select("c", F.explode("outside").alias("a"), "x", "linked", "comp").select(F.xxhash64("c", "a").alias("key"), "x", "linked", "comp")
-    keys = parts.groupBy("key").agg(F.count("*").alias("_n"), F.min("linked").alias("_all"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_n > 1 and not _all and _lo <> _hi").select("key")
-    shared = _stars(parts.select("key", "x").join(keys, "key", "left_semi").distinct())
+    stats = _stats(parts, F.min("linked").alias("all"), F.min("comp").alias("one"), F.max("comp").alias("other")).filter("not all and one <> other")
+    small, large = _sort_out(parts, stats.select("key", "n", "sig", "lo", "hi"))
     t = percent / 100
     bound = F.floor(F.col("both") * F.lit((1 + t) / t) - F.col("n_x") + F.lit(1e-6)).cast("long")
     grey = live.filter("not linked").withColumn("_b", bound).withColumn("_a", F.ceil(F.col("n_x") * F.lit(t) - F.lit(1e-6)).cast("long")).filter("_b >= _a")
     grey = grey.select("c", F.col("x").alias("gx"), F.col("comp").alias("gcomp"), F.explode(F.sequence("_a", "_b")).alias("n_x"))
-    by_size = grey.join(live.select("c", "x", "n_x", "comp"), ["c", "n_x"]).filter("gx <> x and gcomp <> comp").select(F.least("gx", "x").alias("c"), F.greatest("gx", "x").alias("x")).distinct()
-    return shared.union(by_size).distinct()
+    sized = grey.join(live.select("c", "x", "n_x", "comp"), ["c", "n_x"]).filter("gx <> x and gcomp <> comp").select(F.least("gx", "x").alias("c"), F.greatest("gx", "x").alias("x")).distinct()
+    return small, large, materialize(sized, "sized")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
