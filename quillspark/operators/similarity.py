@@ -1,8 +1,8 @@
 """Comparison units, exact n-gram similarity joins, keyword coverage, and the duplicate check of drafts against notes.
 
-The join never pairs all units: a pair at Jaccard similarity t or more must share one of the |A| - ceil(t |A|) + 1 rarest grams
-of the draft's unit A (prefix filter, under one global order), and its sizes differ by a factor t at most. Candidates
-meet by an equi-join on those grams and are confirmed on the full gram sets.
+The join never pairs all units: a pair at Jaccard similarity t or more shares ceil(t |A|) grams or more of the draft's unit A, so
+of the |A| - ceil(t |A|) + k rarest (one global order) it shares k, and its sizes differ by a factor t at most. Units
+meet by an equi-join on those grams, are counted, and the pairs with k hits are confirmed on the full gram sets.
 """
 
 from __future__ import annotations
@@ -56,12 +56,14 @@ def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55)
     counts = materialize(counts, "grams")
     ranked = a.select("d", "unit_no", "na", F.explode("g").alias("gram")).join(small(counts), "gram", "left").na.fill(0, ["c"])
     rare = Window.partitionBy("d", "unit_no").orderBy("c", "gram")
-    prefix = ranked.withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= F.col("na") - F.ceil(F.col("na") * F.lit(threshold) - F.lit(1e-9)) + 1)
+    need = F.ceil(F.col("na") / 6)
+    prefix = ranked.withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= F.col("na") - F.ceil(F.col("na") * F.lit(threshold) - F.lit(1e-9)) + need)
     # a gram that no note unit holds needs no place in the join
     prefix = small(materialize(prefix.filter("c > 0").select("d", "unit_no", "na", "gram"), "prefix"))
     full = small(a.select("d", "unit_no", F.col("g").alias("ga")))
     hits = b.select("n", "u", "nb", F.explode("g").alias("gram")).join(prefix, "gram")
-    hits = hits.filter((F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)).select("d", "unit_no", "n", "u", "na").distinct()
+    hits = hits.filter((F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)).groupBy("d", "unit_no", "n", "u", "na").agg(F.count("*").alias("hits"))
+    hits = hits.filter(F.col("hits") >= need)
     found = hits.join(full, ["d", "unit_no"]).withColumn("gb", shingles(F.col("u")))
     found = found.withColumn("both", F.size(F.array_intersect("ga", "gb")).cast("long")).withColumn("either", F.col("na") + F.size("gb") - F.col("both"))
     found = found.filter(F.col("both") >= F.col("either") * threshold - 1e-12)
