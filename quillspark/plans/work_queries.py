@@ -142,7 +142,7 @@ query(
     SELECT note_id, pos, n || '. [[#' || title || ']]' AS entry FROM i UNION ALL SELECT note_id, pos, '### ' || title FROM h WHERE level = 2 AND EXISTS (FROM i WHERE i.note_id = h.note_id AND i.g = h.pos)""",
 )(lambda spark, d: edits.grouped_toc(notes(spark, d), 2))
 query("m5_rebuild_toc")(lambda spark, d: edits.rebuild_toc(_with_toc(notes(spark, d))))
-query("w15_toc_style", f"WITH {NOTE} SELECT note_id, CASE note_id % 4 WHEN 0 THEN 'grouped' WHEN 1 THEN 'flat' WHEN 2 THEN 'unknown' ELSE 'absent' END AS style, CASE WHEN note_id % 4 = 0 THEN 2 ELSE 0 END AS group_level FROM note")(lambda spark, d: edits.toc_style(_with_toc(notes(spark, d))).na.fill(0, ["group_level"]))
+query("w15_toc_style", f"WITH {NOTE} SELECT note_id, CASE note_id % 4 WHEN 0 THEN CASE WHEN note_id % 7 = 0 THEN 'unknown' ELSE 'grouped' END WHEN 1 THEN 'flat' WHEN 2 THEN 'unknown' ELSE 'absent' END AS style, CASE WHEN note_id % 4 = 0 AND note_id % 7 <> 0 THEN 2 ELSE 0 END AS group_level FROM note")(lambda spark, d: edits.toc_style(_with_toc(notes(spark, d))).na.fill(0, ["group_level"]))
 
 
 def _with_toc(n):
