@@ -41,10 +41,10 @@ def units_of(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.posexplode(unit_array(strip_md(F.col("text")))).alias("unit_no", "u"))
 
 
-def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55) -> DataFrame:
+def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55, pairs: DataFrame | None = None) -> DataFrame:
     """Units (d, unit_no, u) against units (n, u): per draft unit and n the best match: both, either, matched unit.
 
-    For thresholds of 0 or less every unit counts as similar: see check_drafts.
+    pairs(d, n): only these meet. For thresholds of 0 or less every unit counts as similar: see check_drafts.
     """
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed: below it every unit is similar")
@@ -60,8 +60,11 @@ def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55)
     prefix = ranked.withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= F.col("na") - F.ceil(F.col("na") * F.lit(threshold) - F.lit(1e-9)) + need)
     # a gram that no note unit holds needs no place in the join
     prefix = small(materialize(prefix.filter("c > 0").select("d", "unit_no", "na", "gram"), "prefix"))
+    on = ["gram"] if pairs is None else ["n", "gram"]
+    if pairs is not None:
+        prefix = prefix.join(pairs, "d")
     full = small(a.select("d", "unit_no", F.col("g").alias("ga")))
-    hits = b.select("n", "u", "nb", F.explode("g").alias("gram")).join(prefix, "gram")
+    hits = b.select("n", "u", "nb", F.explode("g").alias("gram")).join(prefix, on)
     hits = hits.filter((F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)).groupBy("d", "unit_no", "n", "u", "na").agg(F.count("*").alias("hits"))
     hits = hits.filter(F.col("hits") >= need)
     found = hits.join(full, ["d", "unit_no"]).withColumn("gb", shingles(F.col("u")))
@@ -94,7 +97,7 @@ def corpus_keywords(docs: DataFrame, key: str, topk: int = 40) -> DataFrame:
     n = docs.agg(F.countDistinct(key).alias("n_docs"))  # one row
     df = tf.groupBy("kw").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "kw")
-    scored = tf.join(df, "kw").withColumn("score", F.col("tf") * F.log(F.col("n_docs") / F.col("df"))).filter(valid_keyword(F.col("kw")))
+    scored = tf.join(df, "kw").withColumn("score", F.round(F.col("tf") * F.log(F.col("n_docs") / F.col("df")), 6)).filter(valid_keyword(F.col("kw")))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= topk).select(key, "rank", "kw", "tf", "df")
 
 
@@ -119,7 +122,7 @@ def check_drafts(drafts: DataFrame, notes: DataFrame, pairs: DataFrame, threshol
     n_units = du.groupBy("d").agg(F.count("*").alias("n_units")).withColumnRenamed("d", "draft_id")
     if threshold > 0:
         nu = units_of(notes.join(live.select("note_id").distinct(), "note_id", "left_semi"), "note_id").withColumnRenamed("note_id", "n")
-        sim = similar_units(du, nu, threshold).select(F.col("d").alias("draft_id"), F.col("n").alias("note_id")).groupBy("draft_id", "note_id").agg(F.count("*").alias("n_similar"))
+        sim = similar_units(du, nu, threshold, live.select(F.col("draft_id").alias("d"), F.col("note_id").alias("n"))).select(F.col("d").alias("draft_id"), F.col("n").alias("note_id")).groupBy("draft_id", "note_id").agg(F.count("*").alias("n_similar"))
     else:
         sim = live.join(n_units, "draft_id").select("draft_id", "note_id", F.col("n_units").alias("n_similar"))
     out = pairs.join(cover, ["draft_id", "note_id"], "left").join(dup, ["draft_id", "note_id"], "left").join(n_units, "draft_id", "left").join(sim, ["draft_id", "note_id"], "left")

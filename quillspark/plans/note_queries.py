@@ -113,7 +113,7 @@ doc_query("a4_keywords", f"WITH ksrc AS (SELECT doc_id AS k, {STRIP % FRONT} AS
 doc_query(
     "a5_corpus_keywords",
     f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all({STRIP % FRONT}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}')) AS kw FROM documents), tf AS (SELECT doc_id, kw, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT kw, count(*) AS df FROM tf GROUP BY kw),
-    n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), s AS (SELECT doc_id, kw, tf, df, round(tf * ln(n / df), 9) AS s FROM tf JOIN df USING (kw), n WHERE length(kw) >= 2 AND NOT regexp_full_match(kw, '[\\d\\s.、%\\-]+') AND NOT regexp_full_match(kw, '[A-Za-z]{{1,2}}') AND NOT regexp_full_match(kw, '\\d{{2,4}}[PpKk]') AND NOT regexp_full_match(lower(kw), 'cc|bilibili|subtitle|clippings') AND kw NOT IN {STOP})
+    n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), s AS (SELECT doc_id, kw, tf, df, round(tf * ln(n / df), 6) AS s FROM tf JOIN df USING (kw), n WHERE length(kw) >= 2 AND NOT regexp_full_match(kw, '[\\d\\s.、%\\-]+') AND NOT regexp_full_match(kw, '[A-Za-z]{{1,2}}') AND NOT regexp_full_match(kw, '\\d{{2,4}}[PpKk]') AND NOT regexp_full_match(lower(kw), 'cc|bilibili|subtitle|clippings') AND kw NOT IN {STOP})
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, kw))::INT AS rank, kw, tf, df FROM s QUALIFY rank <= 10""",
 )(lambda d: similarity.corpus_keywords(d, "doc_id", 10))
 

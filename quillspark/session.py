@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: What one Arrow batch may hold, so that a Python worker's memory does not follow the length of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def get_session(app: str = "quillspark", **conf: str) -> SparkSession:
@@ -21,7 +23,13 @@ def get_session(app: str = "quillspark", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once an application, for Python functions that run there."""
+    """Send the package's source to the executors, once an application, for Python functions that run there.
+
+    Arrow batches that have Spark's own default size are made smaller in this session; others are left as they are set.
+    """
+    for key, default, mine in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, mine)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
