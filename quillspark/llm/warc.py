@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_drop = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head|svg)\b.*?</\1\s*>|<!doctype[^>]*>")
+_drop = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!doctype[^>]*>")
 _block = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|footer|header|main|aside|blockquote|pre|hr|dd|dt|dl|title|body|html)\b[^>]*>")
 _tag = re.compile(r"<[^>]*>")
 _space = re.compile(r"[^\S\n]+")
