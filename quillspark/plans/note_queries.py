@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fx
 from quillspark.operators import lines as ln
-from quillspark.operators import lint, similarity
+from quillspark.operators import lint, markup, similarity
 from quillspark.plans.bindings import LINE, MATCH, NOTE, TOGGLE, notes, read
 
 QUERIES, ORACLES = {}, {}
@@ -200,3 +200,12 @@ note_query("a12_summary", f"WITH {FOUND} SELECT (SELECT count(*) FROM note) AS f
 def math(spark, d):
     allowed = spark.createDataFrame([("frac",), ("alpha",)], "name string")
     return lint.Lint(notes(spark, d)).math(allowed, spark.createDataFrame([("cases",)], "name string")).select("note_id", "rule", "detail")
+
+
+note_query("p12_mask_markup")(markup.mask_markup)
+note_query("l13_emphasis")(lambda n: markup.emphasis(n.withColumn("text", F.concat("text", F.lit("\nis**“so”**: it")))))
+note_query(
+    "l2_frontmatter_tags",
+    f"WITH {LINE} SELECT note_id, 'info' AS severity, 'tags_string' AS rule, 2 AS pos, '' AS detail FROM line GROUP BY note_id HAVING count_if(pos = 0 AND trim(line) = '---') = 1 AND count_if(pos > 0 AND trim(line) = '---') > 0",
+)(markup.frontmatter_yaml)
+note_query("o1_fuzzy_stems")(lambda n: markup.fuzzy_stems(n.withColumn("stem", F.concat(F.lit("note-"), "note_id")).withColumn("rel", F.col("stem")), "note-7x"))

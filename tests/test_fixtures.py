@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fx
-from quillspark.operators import cues, edits, layout, lint, pages, similarity
+from quillspark.operators import cues, edits, layout, lint, markup, pages, similarity
 from quillspark.operators import lines as ln
 from quillspark.sources import files, office
 
@@ -96,6 +96,33 @@ def test_math_spans(spark):
     assert [r["tex"] for r in lint.Lint(n).math_spans().orderBy("k").collect()] == ["a", "b"]
 
 
+@pytest.mark.parametrize(
+    "line, faults",
+    [
+        ("**工具调用（Tool Calling）**机制", (True, False)),
+        ("是**「推理即计算」**：好", (True, False)),
+        ("**术语（English）**后面还有**别的加粗**", (False, True)),
+        ("**good** and __fine__ x", (False, False)),
+        ("fill in ____ here", (False, False)),
+        ("***", (False, False)),
+    ],
+)
+def test_emphasis(line, faults):
+    assert markup.emphasis_faults(line) == faults
+
+
+def test_emphasis_rows(spark):
+    n = notes(spark, "ok **a** `**（x）**y`\n**a（b）**c\n$x__y__$ and **z**\n____")
+    assert [r["pos"] for r in markup.emphasis(n).collect()] == [2]
+    assert markup.mask("a `b` $c$ \\* d") == "a xxx xxx xx d"
+
+
+def test_yaml(spark):
+    n = notes(spark, "---\ntags: a b\n---", "---\n- x\n---", "---\na: [\n---", "---\ntags: [x y]\n---", "---\ntags: [x]\n---")
+    got = {r["note_id"]: r["rule"] for r in markup.frontmatter_yaml(n).collect()}
+    assert got == {0: "tags_string", 1: "frontmatter_not_mapping", 2: "frontmatter_yaml", 3: "tag_with_blank"}
+
+
 def test_callout_density(spark):
     text = "\n".join(["> [!tip] a"] * 7 + ["x"] * 93)
     assert [r["severity"] for r in lint.Lint(notes(spark, text)).callout_density().collect()] == ["warn"]
@@ -162,7 +189,7 @@ def test_page_ratio(spark):
 
 def test_page_text():
     span = lambda x, y, t, size=10.0, w=10: {"x0": x, "y0": y, "x1": x + w, "y1": y + size, "size": size, "text": t}
-    frac = layout.PageText([span(10, 0, "a"), span(10, 14, "b"), span(0, 80, "x"), span(10, 76, "2", 5.0, 4), span(30, 80, "z")], [(12.0, 9.0, 21.0)])
+    frac = layout.PageText([span(10, 0, "a"), span(10, 14, "b"), span(0, 80, "x"), span(10, 78, "2", 5.0, 4), span(30, 80, "z")], [(12.0, 9.0, 21.0)])
     assert frac.lines()[0] == "\\frac{a}{b}" and frac.lines()[1].startswith("x^{2}")
     assert layout.PageText([span(0, 0, "ϖ"), span(0, 10, "v")], []).lines() == ["\\vec{v}"]
 
