@@ -86,17 +86,19 @@ class EccModel:
         code = codewords(len(langs))
         width = code.shape[1]
         kinds = np.array([langs.index(x) for x in labels], int)
-        rows = [gram_counts(t) for t in texts]
-        use = [i for i, (_, n) in enumerate(rows) if n]
-        by = np.zeros((len(langs), DIM))
-        for i in use:
-            by[kinds[i]] += rows[i][0] / rows[i][1]
+        by, rows = np.zeros((len(langs), DIM)), []  # of each text only the grams that it holds are kept
+        for t, kind in zip(texts, kinds):
+            counts, n = gram_counts(t)
+            hit = np.flatnonzero(counts).astype(np.int32)
+            rows.append((hit, (counts[hit] / max(n, 1)).astype(np.float32)))
+            by[kind][hit] += rows[-1][1]
+        use = [i for i, (hit, _) in enumerate(rows) if len(hit)]
         weights, scale, shift, trust = np.zeros((DIM, width), np.float32), np.ones(width), np.zeros(width), np.ones(width)
         for b in range(width):
             plus, minus = by[code[:, b] > 0].mean(0) + 1e-5, by[code[:, b] < 0].mean(0) + 1e-5
             weights[:, b] = np.log(plus / plus.sum()) - np.log(minus / minus.sum())
         if use and width:
-            margin = np.array([rows[i][0] @ weights / rows[i][1] for i in use])
+            margin = np.array([rows[i][1] @ weights[rows[i][0]] for i in use])
             truth = code[kinds[use]]
             for b in range(width):
                 scale[b], shift[b], trust[b] = _fit_scale(margin[:, b], truth[:, b])
