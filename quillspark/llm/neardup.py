@@ -8,9 +8,9 @@ task, which compares full sets and returns a spanning forest of the links; bucke
 In a larger bucket the member with the most bucket mates is the centre, and only (centre, member) pairs are confirmed. That
 loses nothing: if x is not linked to the centre c, a document y can be linked to x only if x and y share a shingle outside c,
 or y is smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too small). So what is
-not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size); these groups
-are small or are split in the same way, and as the centres' rank falls from level to level, this ends. Hot buckets
-are aggregated before they are shuffled, joins on them are split, and a centre's members are confirmed in blocks of bounded size.
+not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size). These groups
+are small, or are split in the same way once more; what is large still is cut into blocks, and every two blocks are resolved
+in a task of their own. Hot buckets are aggregated before they are shuffled, joins on them are split, and a centre's members are confirmed in blocks of bounded size.
 
 Defined cases: null or empty text, or text without words: an empty set, linked with nothing; fewer than five words: the
 whole sequence is the one shingle; rows of one doc_id are one document; a null doc_id is linked with nothing; other columns are
@@ -240,11 +240,19 @@ def _stars(large: DataFrame) -> DataFrame:
     return large.select("key", "x").join(top, "key").filter("c <> x").select("c", "x").distinct()
 
 
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """large(key, x, n) -> (key, x): a group for every two of its blocks of about half of BLOCK members."""
+    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    cut = large.withColumns({"_b": blocks, "_i": F.pmod(F.xxhash64("x"), blocks).cast("int")})
+    each = cut.select("key", "x", "_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j"))
+    return each.select(F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("key"), "x")
+
+
 def _none(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, max_levels: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, levels: int = 3) -> DataFrame:
     """docs(doc_id, text) -> per row: doc_id, n_shingles, component_id, kept. A link: 100 * |a & b| >= percent * |a | b|."""
     if percent < 85:
         raise ValueError("the bands are laid out for similarities of 0.85 and more")
@@ -262,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, max_levels: int = 64) ->
     packed = docs.filter("doc_id is not null").select("doc_id", _packed("text").alias("z"))
     texts = materialize(packed.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = materialize(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).union(resolve_groups(small, texts, percent)), "links")
-    for _ in range(max_levels):
+    for _ in range(levels):
         if _none(large):
             break
         seen = materialize(confirm_pairs(_stars(large), texts).withColumn("linked", _linked(percent)), "seen")
@@ -271,8 +279,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, max_levels: int = 64) ->
         large = materialize(large, "large")
         sized = confirm_pairs(sized, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
         links = materialize(links.union(resolve_groups(small, texts, percent)).union(sized), "links")
-    else:
-        raise RuntimeError(f"links did not settle in {max_levels} levels")
+    if not _none(large):
+        links = links.union(resolve_groups(_block_pairs(large), texts, percent))
     final = components(links)
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))

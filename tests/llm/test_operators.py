@@ -1,0 +1,322 @@
+"""The corpus operators against brute force, held-out accuracy and hand-made edges."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontam, fingerprint, langid, mixing, neardup, pii, queries, sufdedup, toxicity, urlfilter, warc
+from quillspark.llm.common import SpanHash
+from quillspark.llm.graph import components
+from tests.conftest import SMALL
+from tests.test_oracles import rows
+
+MID = "/root/testdata/sf0.01"
+#: Nulls, empty and blank texts, ties and repeated rows.
+EDGES = [(1, None), (2, ""), (3, "  \n"), (4, "a b c d e f g h i j k l"), (4, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j k l"), (6, "x" * 200_000)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    df = spark.createDataFrame(EDGES, "doc_id long, text string")
+    return df.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("score", "bands", "_found", "kept")], F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"))
+
+
+@pytest.fixture(scope="module")
+def table():
+    return pq.read_table(f"{SMALL}/documents.parquet").to_pandas()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
+    assert rows(queries.QUERIES[name](spark, SMALL).toPandas()) == rows(c.sql(queries.ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("alphabet, n", [(1, 500), (2, 1500), (4, 1500), (200, 1500), (2, 1), (3, 0)])
+def test_suffix_order(alphabet, n):
+    t = np.random.default_rng(1).integers(0, alphabet, n).astype(np.uint8)
+    b, order = t.tobytes(), sufdedup.two_stage_suffix_array(t, 50)
+    assert sorted(order) == list(range(n))
+    assert [b[i : i + 50] for i in order] == sorted(b[i : i + 50] for i in range(n))
+    for k, common in enumerate(sufdedup.common_prefixes(t, order, 50)[1:], 1):
+        x, y = b[order[k - 1] :][:50], b[order[k] :][:50]
+        assert common >= next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def removed(docs):
+    first, out = {}, []
+    key = lambda i: -(1 << 63) if i is None or i != i else int(i)
+    docs = sorted(((key(i), (t or "").encode()) for i, t in docs), key=lambda d: d[0])
+    for i, b in docs:
+        for s in range(len(b) - 49):
+            first.setdefault(b[s : s + 50], i)
+    for i, b in docs:
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < i:
+                gone[s : s + 50] = b"\1" * 50
+        out.append((i, len(b), sum(gone), len([r for r in bytes(gone).split(b"\0") if r]), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def got_removed(df):
+    return sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
+
+
+def test_repeats_by_brute_force(spark, table):
+    assert got_removed(queries.QUERIES["op1_sufdedup"](spark, SMALL)) == removed(zip(table.doc_id, table.text))
+
+
+def test_repeats_edges(spark, edges):
+    long = "the quick brown fox jumps over the lazy dog and runs on and on until it is dark outside"
+    more = spark.createDataFrame([(7, long), (8, "z" + long[5:70] + "y"), (8, long), (9, long[:49])], "doc_id long, text string")
+    both = edges.select("doc_id", "text").unionByName(more)
+    assert got_removed(sufdedup.repeated_spans(both)) == removed([(r["doc_id"], r["text"]) for r in both.collect()])
+    assert sufdedup.repeated_spans(more.limit(0)).count() == 0
+
+
+def test_language_held_out(spark):
+    t = pq.read_table(f"{MID}/documents.parquet").to_pandas()
+    got = queries.QUERIES["op2_langid"](spark, MID).toPandas().merge(t, on="doc_id")
+    assert list(got.held_out) == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]
+    held = got[got.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_language_edges(spark, edges):
+    model = langid.EccModel.train(["the cat sat on the mat and that was that"] * 3 + ["le chat est sur la table avec une souris"] * 3, ["en"] * 3 + ["fr"] * 3)
+    got = {r["doc_id"]: r for r in langid.identify(edges, model).collect()}
+    assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[2]["ambiguous"]
+    assert got[6]["lang_pred"] in ("en", "fr")
+    assert model.decode("the mat")[0] == "en"
+    assert langid.train(edges).decode("hello")[0] == "und"
+    assert langid.identify(edges.limit(0), model).count() == 0
+    code = langid.codewords(9)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 3
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    lab = pq.read_table(f"{d}/labels.parquet").to_pandas()
+    got = queries.QUERIES["op5_toxicity"](spark, d).toPandas().merge(lab, on="doc_id")
+    assert list(got.held_out) == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
+    held = got[got.held_out]
+    assert held.toxic[held.predicted == 1].mean() > 0.9 and held.predicted[held.toxic == 1].mean() > 0.75
+
+
+def test_toxicity_edges(spark, edges):
+    model = toxicity.NbLinear.train(["you idiot scum"] * 5 + ["a fine day"] * 5, [1] * 5 + [0] * 5, 0.3)
+    assert model.score("what an idiot") > model.score("what a day")
+    got = toxicity.score_toxicity(edges, model).collect()
+    assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
+    none = toxicity.train(edges, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.score("x") == 0.0
+
+
+def test_surrogates():
+    s = pii.Surrogates("k")
+    text = "Mail Anna.Lee@x.org or anna.lee@x.org, call +1 (477) 555-4197, 10.0.0.1, card 4111 1111 1111 1111, Mrs Mary Smith, hash b44e15e09fd311c3cf3163b66d5a9875b883d8ce, DE89 3704 0044 0532 0130 00, 123-45-6789."
+    new, spans = pii.redact(text, s)
+    assert [k for k, *_ in spans] == ["email", "email", "phone", "ipv4", "card", "person", "secret", "iban", "ssn"]
+    assert all(text[a:b] not in new for _, a, b, _ in spans)
+    by = [v for *_, v in spans]
+    assert by[0].lower() == by[1].lower() and by[0].endswith(".org") and by[2].startswith("+1 (") and len(by[2]) == 17
+    card = re.sub(r"\D", "", by[4])
+    assert pii._luhn(card[:-1]) == int(card[-1]) and by[5].startswith("Mrs ") and by[5].split()[1] in pii.FEMALE
+    assert pii.redact(text, pii.Surrogates("k"))[0] == new != pii.redact(text, pii.Surrogates("other"))[0]
+
+
+def test_surrogates_are_distinct():
+    s = pii.Surrogates("k")
+    assert len({s.replace("ssn", f"123-45-{k:04d}") for k in range(3000)}) == 3000
+    assert sorted(s.permute("x", k, 97) for k in range(97)) == list(range(97)) and all(s.permute("x", k, 97) != k for k in range(97))
+    assert len({s.replace("person", f"{a} Miller") for a in pii.MALE}) == len(pii.MALE)
+    assert s.shape("n", "Ørsted") != "Ørsted" and re.fullmatch("[А-Я][а-я]{4}", s.shape("n", "Павел"))
+
+
+def test_pii_rows(spark, edges):
+    df = edges.unionByName(spark.createDataFrame([(9, "a@b.org a@b.org c@b.org")], "doc_id long, text string"), allowMissingColumns=True)
+    out = pii.replace_pii(df, "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] is None and got[1]["entities"] == [] and got[2]["text"] == ""
+    a, b, c = got[9]["text"].split()
+    assert a == b != c
+    assert pii.collisions(df.filter("doc_id = 9"), out.filter("doc_id = 9")).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    html = "<html lang='de'><head><title>A &amp; B</title><script>x()</script></head><body><p>Hi <b>you</b></p><a href='/n'>n</a></body></html>"
+    pages = spark.createDataFrame([(1, "http://x.org/", html), (2, None, None)], "page_id long, url string, html string")
+    responses = warc.responses_from_pages(pages)
+    out = {(r["page_id"], r["warc_type"]): r for r in warc.derive(responses).collect()}
+    conv, meta = out[1, "conversion"], out[1, "metadata"]
+    assert conv["block"] == "A & B\nHi you\nn" and "title: A & B" in meta["block"] and "outlink: /n" in meta["block"]
+    assert conv["refers_to"] == meta["refers_to"] == responses.filter("page_id = 1").first()["record_id"]
+    assert conv["payload_digest"] == warc.digest(html.encode()) and conv["block_digest"] == warc.digest(conv["block"].encode())
+    assert out[2, "conversion"]["block"] == "" and out[2, "conversion"]["content_length"] == 0
+    warc.write_warc(warc.derive(responses), str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r["record_id"] for r in back) == sorted(r["record_id"] for r in out.values())
+    assert {r["record_id"]: bytes(r["payload"]).decode() for r in back} == {r["record_id"]: r["block"] for r in out.values()}
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\nContent-Length: 43\r\n\r\nHTTP/1.1 200 OK\r\nServer: s\r\n\r\n<p>body</p>\r\n\r\n\r\n\r\n"
+    (rec,) = warc.parse_warc(raw)
+    assert rec["http_head"] == "HTTP/1.1 200 OK\r\nServer: s" and rec["payload"].startswith(b"<p>body")
+
+
+def test_url_trie(spark):
+    rules = [("block", "com", "/"), ("allow", "a.com", "/x"), ("block", "a.com", "/x/yz"), ("allow", "a.com", "/q"), ("block", "a.com", "/q")]
+    urls = ["http://A.com/x/y", "http://b.a.com/x/yz1", "http://ca.com/x", "http://a.com/q", "http://a.org/", None, "nothing", "x://com?"]
+    got = urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [(r["verdict"], r["rule"]) for r in got] == [("allow", "a.com/x"), ("block", "a.com/x/yz"), ("block", "com/"), ("block", "a.com/q"), ("allow", None), ("allow", None), ("allow", None), ("allow", None)]
+    with pytest.raises(ValueError):
+        urlfilter.RuleTrie((("block", "a", "/") for _ in range(urlfilter.MAX_RULES + 1)))
+
+
+def classes(docs):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    near = {i: i for i in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(near[a], near[b])
+            changed |= near[a] != low or near[b] != low
+            near[a] = near[b] = low
+    return {i: (len(sets[i]), near[i]) for i in sets}
+
+
+def test_near_duplicates(spark, table):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op7_neardup"](spark, SMALL).collect()}
+    assert got == classes(zip(table.doc_id, table.text))
+
+
+def test_near_duplicates_edges(spark, edges):
+    got = [tuple(r) for r in neardup.near_duplicates(edges).collect()]
+    assert len(got) == len(EDGES)
+    by = {r[0]: r for r in got}
+    assert by[1] == (1, 0, 1, True) and by[3] == (3, 0, 3, True) and by[5] == (5, 8, 4, False) and by[None][2] is None and by[None][3]
+    assert neardup.near_duplicates(edges.limit(0)).count() == 0
+
+
+def test_large_group_is_resolved(spark, monkeypatch):
+    """Hundreds of variants of one text, none of them kept out by the hub: levels beyond the first are used."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(90)]
+    docs = []
+    for i in range(700):
+        w = list(base)
+        for k in rng.choice(90, rng.integers(0, 5), replace=False):
+            w[k] = f"v{rng.integers(0, 3)}"
+        docs.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == classes(docs)
+
+
+def test_min_max_estimate():
+    rng = np.random.default_rng(5)
+    common, rest = rng.integers(1, 1 << 62, 850).astype(np.uint64), rng.integers(1, 1 << 62, 150).astype(np.uint64)
+    a, b = neardup.min_max_signature(np.unique(common)), neardup.min_max_signature(np.unique(np.concatenate([common, rest])))
+    assert abs((a == b).mean() - 0.85) < 0.13
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
+    got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[101] == 100
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_decontamination_edges(spark):
+    item = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = [(1, "x " + item.upper().replace(",", ";") + " y"), (2, " ".join(item.split()[1:9])), (3, None), (4, ""), (5, "tiny one here"), (5, "tiny one here"), (5, "nothing"), (None, item), (6, "über Alpha " + "İ " * 3 + item)]
+    items = [(10, item), (10, item), (2, "tiny one"), (3, ""), (4, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = decontam.PhraseIndex(d.withColumn("k", F.lit(1)), b)
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], ",".join(r["items"])) for r in index.report().collect()))
+    assert got == [(0, 11, 11, "10"), (1, 13, 11, "10"), (2, 8, 0, ""), (3, 0, 0, ""), (4, 0, 0, ""), (5, 1, 0, ""), (5, 3, 2, "2"), (5, 3, 2, "2"), (6, 16, 11, "10")]
+    assert index.proximity_hits().count() > 0
+    assert decontam.PhraseIndex(d.limit(0), b).report().count() == 0
+    assert decontam.PhraseIndex(d, b.limit(0)).report().filter("contaminated").count() == 0
+
+
+def test_mixing_targets():
+    assert mixing.water_fill([100, 100, 100], [1, 2, 3], 300, 3) == [50, 100, 150]
+    assert mixing.water_fill([10, 1000, 10], [1, 1, 1], 1020, 3) == [30.0, 960.0, 30.0]
+    assert mixing.water_fill([0, 0], [1, 2], 0, 3) == [0, 0]
+
+
+def test_mixing_edges(spark, edges):
+    size = mixing.word_count(F.col("text"))
+    got = mixing.mix(edges, size).collect()
+    assert len(got) == len(EDGES) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.mix(edges.limit(0), size).count() == 0
+    two = spark.createDataFrame([(i, "a b", None if i % 2 else "s") for i in range(300)], "doc_id long, text string, source string")
+    sums = mixing.mix(two, size).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r["n"] - r["t"]) <= 4 for r in sums)
+
+
+def test_fingerprints():
+    rng = np.random.default_rng(0)
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400))
+    a, b = fingerprint.fingerprint(text.encode()), fingerprint.fingerprint((text[:1800] + "INSERTED" + text[1800:]).encode())
+    other = fingerprint.fingerprint(" ".join("".join(rng.choice(list("ijklmnop"), 6)) for _ in range(400)).encode())
+    assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, b) > 0.8 and fingerprint.likeness(a, other) < 0.3
+    assert fingerprint.fingerprint(b"") == "3::" and fingerprint.likeness("3::", "3::") == 1
+    assert fingerprint._common("abcde", "axcye") == 3
+    assert fingerprint.edited("abcdefgh", "XYZ") == "abcdefXY" and fingerprint.edited("abcdefgh", "X") == "abcdefX"
+
+
+def test_neighbours(spark, table, edges):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_fingerprint"](spark, SMALL).collect()}
+    docs = sorted(zip(table.doc_id, table.text))
+    for k, (i, t) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        new = fingerprint.edited(t, following)
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert r["fingerprint"] == fingerprint.fingerprint(t.encode())
+        assert r["near_next"] == fingerprint.likeness(r["fingerprint"], fingerprint.fingerprint(following.encode()))
+    assert fingerprint.neighbours(edges).count() == len(EDGES)
+    assert fingerprint.neighbours(edges.limit(0)).count() == 0 and fingerprint.neighbours(edges.filter("doc_id = 2")).count() == 1
+
+
+def test_span_hash():
+    data = np.frombuffer(b"abcabc\0", np.uint8)
+    h = SpanHash(data)
+    a, b = h(np.array([0, 1]), np.array([3, 4])), h(np.array([3, 0]), np.array([6, 0]))
+    assert a[0] == b[0] and a[1] != b[0] and len({*map(int, a), *map(int, b)}) == 3
+
+
+def test_pipeline(spark, table):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "near_dedup", "decontamination", "pii", "mixing"]
+    out = {n: f(spark, docs, SMALL) for n, f in corpus_pipeline.STAGES}
+    assert all(out[n].columns == docs.columns for n in names[:-1])
+    kept = {i for i, (_, c) in classes(zip(table.doc_id, table.text)).items() if i == c}
+    assert {r["doc_id"] for r in out["near_dedup"].select("doc_id").collect()} == kept
+    dirty = {r["doc_id"] for r in queries.QUERIES["op8_decontam"](spark, SMALL).filter("contaminated").collect()}
+    assert {r["doc_id"] for r in out["decontamination"].select("doc_id").collect()} == set(table.doc_id) - dirty
+    assert out["language_id"].count() >= 0.98 * len(table)
+    final = corpus_pipeline.run(spark, SMALL).toPandas()
+    assert set(final.doc_id) <= kept - dirty and (final.taken <= 3 * final["size"]).all()
+    assert pd.Series(final.text).str.contains(r"@mail\d\.example").sum() == 0
