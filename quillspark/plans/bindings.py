@@ -22,6 +22,8 @@ NOTE_TEXT = """concat(
   CASE WHEN doc_id % 17 = 0 THEN concat('```', chr(10), 'never closed', chr(10)) ELSE '' END,
   '## 相关链接', chr(10), 'link ', substr(text, 1, 20))"""
 NOTE_SQL = f"SELECT doc_id AS note_id, {NOTE_TEXT} AS text FROM documents"
+#: The same notes with the whole of each document's text where NOTE_TEXT takes 120 and 300 characters of it.
+WHOLE_TEXT = NOTE_TEXT.replace("substr(text, 1, 120)", "text").replace("substr(text, 200, 300)", "text")
 
 #: Oracle side: notes and their lines (the text ends without a line feed, and holds no other line ends).
 NOTE = f"note AS ({NOTE_SQL})"
@@ -52,5 +54,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{NOTE_TEXT} AS text")
 
 
+def whole_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{WHOLE_TEXT} AS text")
+
+
+def note_query(query):
+    """Registers a query over notes by `query`, with its SQL, and as NAME_whole over whole texts, with the same SQL over those."""
+
+    def register(name: str, sql: str | None = None, whole_sql: bool = True):
+        def put(f):
+            query(name, sql)(lambda spark, d: f(notes(spark, d)))
+            query(f"{name}_whole", sql.replace(NOTE_TEXT, WHOLE_TEXT) if sql and whole_sql else None)(lambda spark, d: f(whole_notes(spark, d)))
+            return f
+
+        return put
+
+    return register
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

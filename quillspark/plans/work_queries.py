@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fx
 from quillspark.operators import cues, edits, layout, pages
-from quillspark.plans.bindings import LINE, NOTE, TOGGLE, notes, read
+from quillspark.plans import bindings
+from quillspark.plans.bindings import LINE, NOTE, TOGGLE, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,6 +22,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+note_query = bindings.note_query(query)
+
+
 # --- transcripts: events by user, seconds divided by 1000 so that steps fall between 0 and 60
 
 CUE = "cue AS (SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, epoch_us(ts) / 1e9 AS t, event_type AS text FROM events)"
@@ -82,6 +86,7 @@ query(
 )
 query("f2_fmt_ts", "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS t FROM (SELECT event_id, greatest(0, trunc(value * 100))::BIGINT AS s FROM events)")(lambda spark, d: read(spark, d, "events").select("event_id", fx.fmt_ts(F.col("value") * 100).alias("t")))
 query("p16_titles", "SELECT doc_id, length(substr(text, 1, 25 + doc_id % 12)) <= 30 AS is_title FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", fx.looks_like_title(F.substring("text", F.lit(1), (F.col("doc_id") % 12 + 25).cast("int"))).alias("is_title")))
+query("p16_titles_whole", "SELECT doc_id, length(text) <= 30 AND NOT contains(text, '。') AS is_title FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", fx.looks_like_title(F.col("text")).alias("is_title")))
 query("p20_no_space", r"SELECT doc_id, md5(regexp_replace(text, '[\s\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]+', '', 'g')) AS h FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(fx.no_space(F.col("text"))).alias("h")))
 SPEC = "concat('[', CAST(doc_id % 9 + 1 AS STRING), ', ', CAST(doc_id % 7 + 4 AS STRING), '-', CAST(doc_id % 5 + 1 AS STRING), ',3]')"
 query(
@@ -96,17 +101,23 @@ HEADROW = "'| a | b\\|c |' || chr(10) || '| --- | --- |' || chr(10) || "
 for _name, _pad in (("s25_table_padded", True), ("s26_table", False)):
     _tail = " |  |'" if _pad else " |'"
     query(_name, f"SELECT doc_id, {HEADROW} CASE WHEN doc_id % 3 = 0 THEN '| ' || trim(replace(replace(substr(text, 1, 5), '|', '\\|'), '  ', ' '), ' ' || chr(10)) || '{_tail} ELSE '| x | y |' END AS md FROM documents")(lambda spark, d, p=_pad: read(spark, d, "documents").select("doc_id", fx.table_markdown(F.expr(ROWS), p).alias("md")))
+#: The same tables with whole texts as cells.
+WHOLE_ROWS = ROWS.replace("substr(text, 1, 5)", "text")
+WHOLE_CELL = r"replace(trim(regexp_replace(replace(replace(replace(text, chr(8203), ''), chr(65279), ''), chr(160), ' '), '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '|', '\|')"
+for _name, _pad in (("s25_table_padded_whole", True), ("s26_table_whole", False)):
+    _tail = " |  |'" if _pad else " |'"
+    query(_name, f"SELECT doc_id, {HEADROW} CASE WHEN doc_id % 3 = 0 THEN '| ' || {WHOLE_CELL} || '{_tail} ELSE '| x | y |' END AS md FROM documents")(lambda spark, d, p=_pad: read(spark, d, "documents").select("doc_id", fx.table_markdown(F.expr(WHOLE_ROWS), p).alias("md")))
 
 # --- edits
 
-query("m3_append", f"WITH {NOTE} SELECT note_id, NULL::VARCHAR AS reason, rtrim(text, chr(10)) || chr(10) || chr(10) || 'extra' || chr(10) AS new_text FROM note")(
-    lambda spark, d: (lambda n: edits.append(n, n.select("note_id", F.lit("\nextra\n").alias("content"))))(notes(spark, d))
+note_query("m3_append", f"WITH {NOTE} SELECT note_id, NULL::VARCHAR AS reason, rtrim(text, chr(10)) || chr(10) || chr(10) || 'extra' || chr(10) AS new_text FROM note")(
+    lambda n: edits.append(n, n.select("note_id", F.lit("\nextra\n").alias("content")))
 )
-query(
+note_query(
     "m4_patch",
     f"""WITH {NOTE}, c AS (SELECT *, (length(text) - length(replace(text, '## Beta part', ''))) // 12 AS c1, (length(text) - length(replace(text, '## Alpha part', ''))) // 13 AS c2 FROM note)
     SELECT note_id, CASE WHEN c1 = 1 AND c2 = 1 THEN NULL ELSE 'not found once' END AS reason, CASE WHEN c1 = 1 AND c2 = 1 THEN replace(replace(text, '## Beta part', '## B' || chr(10) || 'new'), '## Alpha part', '') ELSE text END AS new_text FROM c""",
-)(lambda spark, d: _patched(notes(spark, d)))
+)(lambda n: _patched(n))
 
 
 def _patched(n):
@@ -114,35 +125,35 @@ def _patched(n):
     return edits.patch(n, e).select("note_id", "reason", "new_text")
 
 
-query(
+note_query(
     "m1_insert",
     f"""WITH {TOGGLE}, s AS (SELECT head.*, row_number() OVER (PARTITION BY note_id ORDER BY pos) AS k FROM head WHERE title = 'Beta part'), e AS (SELECT s.note_id, s.pos, coalesce((SELECT min(x.pos) FROM head x WHERE x.note_id = s.note_id AND x.pos > s.pos AND x.level <= s.level), (SELECT count(*) FROM line l WHERE l.note_id = s.note_id)) AS fin FROM s WHERE k = 1),
     a AS (SELECT e.note_id, coalesce((SELECT max(l.pos) + 1 FROM line l WHERE l.note_id = e.note_id AND l.pos > e.pos AND l.pos < e.fin AND trim(l.line) <> ''), e.pos + 1) AS p FROM e),
     r AS (SELECT line.note_id, line.pos AS p1, 0 AS p2, line.line FROM line UNION ALL
       SELECT a.note_id, a.p - 1, x.k, x.t FROM a, (VALUES (1, ''), (2, 'added'), (3, '')) x(k, t) WHERE x.k = 2 OR (x.k = 1 AND (SELECT trim(l.line) <> '' FROM line l WHERE l.note_id = a.note_id AND l.pos = a.p - 1)) OR (x.k = 3 AND coalesce((SELECT trim(l.line) <> '' FROM line l WHERE l.note_id = a.note_id AND l.pos = a.p), false)))
     SELECT r.note_id, CASE WHEN any_value(a.note_id) IS NULL THEN 'anchor not found' END AS reason, CASE WHEN any_value(a.note_id) IS NULL THEN any_value(note.text) ELSE rtrim(string_agg(line, chr(10) ORDER BY p1, p2), chr(10)) || chr(10) END AS new_text FROM r JOIN note USING (note_id) LEFT JOIN a USING (note_id) GROUP BY r.note_id""",
-)(lambda spark, d: (lambda n: edits.insert(n, n.select("note_id", F.lit("## Beta part").alias("anchor"), F.lit("end-of-section").alias("at"), F.lit("added\n").alias("content"))).drop("rule_line"))(notes(spark, d)))
-query("m2_replace")(lambda spark, d: (lambda n: edits.replace(n, n.select("note_id", F.lit("## Gamma").alias("anchor"), F.lit(None).cast("string").alias("until"), F.lit("## Gamma\nshort").alias("content"))))(notes(spark, d)))
-query(
+)(lambda n: edits.insert(n, n.select("note_id", F.lit("## Beta part").alias("anchor"), F.lit("end-of-section").alias("at"), F.lit("added\n").alias("content"))).drop("rule_line"))
+note_query("m2_replace")(lambda n: edits.replace(n, n.select("note_id", F.lit("## Gamma").alias("anchor"), F.lit(None).cast("string").alias("until"), F.lit("## Gamma\nshort").alias("content"))))
+note_query(
     "m7_list_callouts",
     rf"""WITH {LINE}, h AS (SELECT *, length(regexp_extract(line, '^(#{{2,4}})\s+(.*?)\s*$', 1)) AS lv, regexp_extract(line, '^(#{{2,4}})\s+(.*?)\s*$', 2) AS ti FROM line),
     s AS (SELECT *, coalesce(last_value(CASE WHEN lv = 2 THEN ti END IGNORE NULLS) OVER w, '') AS h2, coalesce(last_value(CASE WHEN lv = 2 THEN '' WHEN lv > 2 THEN ti END IGNORE NULLS) OVER w, '') AS h3 FROM h WINDOW w AS (PARTITION BY note_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
     SELECT note_id, pos, regexp_extract(line, '^> \[!([A-Za-z-]+)\]([+-]?)\s*(.*)$', 1) AS kind, trim(regexp_extract(line, '^> \[!([A-Za-z-]+)\]([+-]?)\s*(.*)$', 3)) AS title, h2, h3 FROM s WHERE regexp_matches(line, '^> \[!([A-Za-z-]+)\]')""",
-)(lambda spark, d: edits.list_callouts(notes(spark, d)))
-query("m6_flatten")(lambda spark, d: edits.flatten_callouts(notes(spark, d), ["question", "tip"]))
-query(
+)(lambda n: edits.list_callouts(n))
+note_query("m6_flatten")(lambda n: edits.flatten_callouts(n, ["question", "tip"]))
+note_query(
     "w13_flat_toc",
     f"""WITH {TOGGLE}, h AS (SELECT *, count_if(level = 2) OVER (PARTITION BY note_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS a FROM head WHERE level IN (2, 3)), g AS (SELECT *, count_if(level = 3) OVER (PARTITION BY note_id, a ORDER BY pos ROWS UNBOUNDED PRECEDING) AS b FROM h)
     SELECT note_id, pos, CASE WHEN level = 2 THEN a || '.' WHEN a = 0 THEN '  ' || b || '.' ELSE '  ' || a || '.' || b END || ' [[#' || title || ']]' AS entry FROM g""",
-)(lambda spark, d: edits.flat_toc(notes(spark, d)))
-query(
+)(lambda n: edits.flat_toc(n))
+note_query(
     "w14_grouped_toc",
     f"""WITH {TOGGLE}, h AS (SELECT *, last_value(CASE WHEN level <= 2 THEN CASE WHEN level = 2 THEN pos ELSE -1 END END IGNORE NULLS) OVER (PARTITION BY note_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM head WHERE pos > (SELECT min(pos) FROM head x WHERE x.note_id = head.note_id)),
     i AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY pos) AS n FROM h WHERE level = 3 AND g >= 0)
     SELECT note_id, pos, n || '. [[#' || title || ']]' AS entry FROM i UNION ALL SELECT note_id, pos, '### ' || title FROM h WHERE level = 2 AND EXISTS (FROM i WHERE i.note_id = h.note_id AND i.g = h.pos)""",
-)(lambda spark, d: edits.grouped_toc(notes(spark, d), 2))
-query("m5_rebuild_toc")(lambda spark, d: edits.rebuild_toc(_with_toc(notes(spark, d))))
-query("w15_toc_style", f"WITH {NOTE} SELECT note_id, CASE note_id % 4 WHEN 0 THEN CASE WHEN note_id % 7 = 0 THEN 'unknown' ELSE 'grouped' END WHEN 1 THEN 'flat' WHEN 2 THEN 'unknown' ELSE 'absent' END AS style, CASE WHEN note_id % 4 = 0 AND note_id % 7 <> 0 THEN 2 ELSE 0 END AS group_level FROM note")(lambda spark, d: edits.toc_style(_with_toc(notes(spark, d))).na.fill(0, ["group_level"]))
+)(lambda n: edits.grouped_toc(n, 2))
+note_query("m5_rebuild_toc")(lambda n: edits.rebuild_toc(_with_toc(n)))
+note_query("w15_toc_style", f"WITH {NOTE} SELECT note_id, CASE note_id % 4 WHEN 0 THEN CASE WHEN note_id % 7 = 0 THEN 'unknown' ELSE 'grouped' END WHEN 1 THEN 'flat' WHEN 2 THEN 'unknown' ELSE 'absent' END AS style, CASE WHEN note_id % 4 = 0 AND note_id % 7 <> 0 THEN 2 ELSE 0 END AS group_level FROM note")(lambda n: edits.toc_style(_with_toc(n)).na.fill(0, ["group_level"]))
 
 
 def _with_toc(n):

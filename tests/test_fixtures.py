@@ -2,6 +2,8 @@
 
 import difflib
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -280,3 +282,24 @@ def test_stream(spark, tmp_path):
     q = stream_segments(stream, 5.0).writeStream.format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["seg"] for r in spark.table("segs").orderBy("pos").collect()] == [0, 1, 1, 2]
+
+
+def test_drafts_past_the_excerpt(spark):
+    """a3: what two long notes share after their first thousand characters counts, as by brute force."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("bcdfghjklm", k=7)) for _ in range(n))
+    tail = words(60)
+    texts = [words(150) + "\n\n" + tail, words(150) + "\n\n" + tail, words(150)]
+    pairs = [(0, 1), (0, 2)]
+    n = notes(spark, *texts)
+    got = {(r["draft_id"], r["note_id"]): (r["n_units"], r["n_similar"]) for r in similarity.check_drafts(n.withColumnRenamed("note_id", "draft_id"), n, spark.createDataFrame(pairs, "draft_id long, note_id long")).collect()}
+
+    def units(text):
+        out = []
+        for p in (re.sub(r"\s+", "", p) for p in re.split(r"\n{2,}", text)):
+            out += [] if len(p) < 20 else [p] if len(p) <= 105 else [p[i : i + 70] for i in range(0, len(p) - 69, 35)] + [p[-70:]]
+        return [{u[i : i + 4] for i in range(len(u) - 3)} for u in out]
+
+    like = lambda a, b: len(a & b) >= 0.55 * len(a | b)
+    assert got == {(d, o): (len(units(texts[d])), sum(any(like(a, b) for b in units(texts[o])) for a in units(texts[d]))) for d, o in pairs}
+    assert got[0, 1][1] > 5 and got[0, 2][1] == 0
