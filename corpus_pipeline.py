@@ -30,10 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
+    """Documents in which a benchmark window occurs go, each judged by its own text."""
     ship(spark)
-    hits = decontam.PhraseIndex(docs, table(spark, sf_dir, "benchmark")).report().filter("contaminated")
-    return docs.join(hits.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
+    hits = decontam.PhraseIndex(docs, table(spark, sf_dir, "benchmark")).phrase_hits()
+    k, t = decontam.row_key()
+    dirty = hits.select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
+    return docs.withColumns({"_k": k, "_t": t}).join(dirty, ["_k", "_t"], "left_anti").select(*docs.columns)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,8 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their size, their source's target, and the words taken (repeats counted)."""
     ship(spark)
-    taken = mixing.mix(docs, mixing.word_count(F.col("text"))).filter("taken > 0").select(F.col("doc_id").alias("_d"), "size", "source_size", "target", "taken")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    taken = mixing.mix(docs, mixing.word_count(F.col("text")), carry=True).filter("taken > 0")
+    return taken.select("row.*", "size", "source_size", "target", "taken")
 
 
 STAGES = [

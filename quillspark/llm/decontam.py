@@ -46,8 +46,14 @@ def _hint(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def row_key() -> tuple[Column, Column]:
+    """What a row is judged by: its doc_id, a null one as the least number, and its text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("t"), "text")
+    k, t = row_key()
+    return docs.select("doc_id", k.alias("k"), t.alias("t"), "text")
 
 
 def _mark() -> Column:

@@ -52,13 +52,15 @@ def water_fill(sizes: list[int], weights: list[float], budget: float, most: floa
     return out
 
 
-def mix(docs: DataFrame, size: Column, weights=cyclic_weights, share: float = 1.0, max_repeats: int = 3, key: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights=cyclic_weights, share: float = 1.0, max_repeats: int = 3, key: str = "mix", carry: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
 
-    docs needs doc_id and source; size gives a document's words; the budget is `share` of all of them.
+    docs needs doc_id and source; size gives a document's words; the budget is `share` of all of them. With `carry` the
+    document's own columns come along as the struct `row`: doc_id need not tell rows apart.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", size.alias("size")).withColumn("lot", F.md5(F.concat_ws(":", F.lit(key), F.col("doc_id").cast("string"))))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    base = docs.select("doc_id", "source", size.alias("size"), *row).withColumn("lot", F.md5(F.concat_ws(":", F.lit(key), F.col("doc_id").cast("string"))))
     base = materialize(base.withColumn("uid", F.monotonically_increasing_id()), "mix")  # read four times, and uid must not change
     totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     # One row a source: sources are a stated, small set of names. A longer list than this has to be grouped first.
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, size: Column, weights=cyclic_weights, share: float = 1.
     kept = ordered.withColumn("_at", F.col("_below") + F.sum("size").over(inside)).filter(F.col("_at") <= budget)
     taken = kept.groupBy(F.col("uid").alias("_d")).agg(F.sum("size").alias("_taken"))
     out = base.join(taken, F.col("uid") == F.col("_d"), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -320,3 +320,20 @@ def test_pipeline(spark, table):
     final = corpus_pipeline.run(spark, SMALL).toPandas()
     assert set(final.doc_id) <= kept - dirty and (final.taken <= 3 * final["size"]).all()
     assert pd.Series(final.text).str.contains(r"@mail\d\.example").sum() == 0
+
+
+def test_pipeline_without_ids(spark):
+    """Rows without an id, and rows that share one, are decided each for itself."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    docs = [(None, f"lead {item} tail", "s"), (None, "one two three", "s"), (None, "four five six seven eight", "s"), (None, "", "s"), (7, item, "s"), (7, "nine ten", "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    clean = stages["decontamination"](spark, df, SMALL)
+    assert sorted(r["text"] for r in clean.collect()) == ["", "four five six seven eight", "nine ten", "one two three"]
+    got = stages["mixing"](spark, df, SMALL)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert len(rows) == len({r["text"] for r in rows}) and all(r["size"] == len(r["text"].split()) and r["taken"] % r["size"] == 0 and 0 < r["taken"] <= 3 * r["size"] for r in rows)
+    assert {(r["doc_id"], r["text"], r["source"]) for r in rows} <= set(docs) - {(None, "", "s")}
