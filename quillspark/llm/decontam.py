@@ -105,13 +105,15 @@ class PhraseIndex:
         return self._holding(self._diagonals().groupBy("k", "t", "ik", "diag").agg(_mark()))
 
     def proximity_hits(self, slop: int = 5) -> DataFrame:
-        """(k, t, ik, start, windows): windows whose rare words all occur with diagonals in one span of `slop`."""
-        d = self._diagonals()
-        # spans start at every half slop, so any two diagonals closer than half a slop share one
-        half = max(1, slop // 2)
-        spans = d.withColumn("near", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)))
-        held = self._holding(spans.groupBy("k", "t", "ik", "near").agg(_mark()))
-        return held.select("k", "t", "ik", (F.col("near") * half).alias("start"), "windows")
+        """(k, t, ik, start, windows): windows whose rare words all occur, any two of their diagonals less than `slop` apart.
+
+        A span of `slop` diagonals starts at every diagonal that holds a rare word, so the smallest of a hit's diagonals starts one.
+        """
+        # at most `slop` rows a posting; the places of a span are at most the item's own
+        spans = self._diagonals().withColumn("start", F.explode(F.sequence(F.col("diag") - (slop - 1), F.col("diag"))))
+        held = spans.groupBy("k", "t", "ik", "start").agg(F.min("diag").alias("_low"), F.collect_set("ipos").alias("_has")).filter("_low = start")
+        held = held.join(_hint(self.windows), "ik").withColumn("windows", F.filter("windows", lambda w: F.forall(w["need"], lambda i: F.array_contains("_has", i))))
+        return held.filter(F.size("windows") > 0).select("k", "t", "ik", "start", "windows")
 
     def phrase_hits(self) -> DataFrame:
         """(k, t, ik, item_id, places): document positions covered by exact occurrences of an item's windows."""

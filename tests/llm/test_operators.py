@@ -1,6 +1,7 @@
 """The corpus operators against brute force, held-out accuracy and hand-made edges."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -337,3 +338,23 @@ def test_pipeline_without_ids(spark):
     rows = got.collect()
     assert len(rows) == len({r["text"] for r in rows}) and all(r["size"] == len(r["text"].split()) and r["taken"] % r["size"] == 0 and 0 < r["taken"] <= 3 * r["size"] for r in rows)
     assert {(r["doc_id"], r["text"], r["source"]) for r in rows} <= set(docs) - {(None, "", "s")}
+
+
+def test_proximity_by_brute_force(spark):
+    """Every displacement below the slop is found, at every alignment, and none beyond; places 63 apart are kept apart."""
+    a, b = "rareone", "raretwo"
+    docs = [(i, " ".join([f"f{k}" for k in range(lead)] + [a] + [f"g{k}" for k in range(gap)] + [b])) for i, (lead, gap) in enumerate((l, g) for l in range(6) for g in range(14))]
+    common = " ".join(f"c{k}" for k in range(8))
+    docs += [(1000 + k, common) for k in range(20)]
+    item = f"{a} {' '.join(common.split()[:4])} {b}"
+    index = decontam.PhraseIndex(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    need = index.windows.first()["windows"][0]["need"]
+    words = item.split()
+
+    def near(text, slop):
+        places = [[p - i for p, w in enumerate(text.split()) if w == words[i]] for i in need]
+        return any(max(x) - min(x) < slop for x in itertools.product(*places))
+
+    for slop in (1, 2, 5):
+        got = {r["k"] for r in index.proximity_hits(slop).select("k").collect()}
+        assert got == {i for i, t in docs if near(t, slop)}
