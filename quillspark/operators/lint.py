@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import WS, rstrip, squeeze, strip
 from quillspark.operators.lines import CALLOUT, HEADING, QUOTE, after, by_note, frontmatter_end, lines_of, matched_code, split_lines, title_of, upto
+from quillspark.operators.markup import emphasis, frontmatter_yaml
 
 # Callout kinds that are known.
 KNOWN_CALLOUTS = (
@@ -154,11 +155,16 @@ class Lint:
         links = self.notes.select("note_id", F.size(F.regexp_extract_all("text", F.lit(WIKILINK), 0)).cast("long").alias("n_wikilinks"))
         return self.n_lines.join(links, "note_id").join(h, "note_id", "left").join(t, "note_id", "left").na.fill(0, ["n_headings", "n_tables"])
 
-    def findings(self) -> DataFrame:
-        """Every native rule's findings."""
+    def plain_findings(self) -> DataFrame:
+        """The eleven rules that the registered SQL of U6 unions: no L2, L12, L13 and no YAML."""
         rules = (self.fences, self.anchors, self.duplicate_headings, self.level_jumps, self.tables, self.callout_kinds, self.callout_density, self.callouts_by_section, self.empty_sections, self.trailing_space, self.open_frontmatter)
         return reduce(DataFrame.unionByName, (r() for r in rules))
 
+    def findings(self, commands: DataFrame | None = None, environments: DataFrame | None = None) -> DataFrame:
+        """Every rule's findings. L12 needs its lookups (name), and is left out without them, as in the reference."""
+        found = self.plain_findings().unionByName(emphasis(self.notes)).unionByName(frontmatter_yaml(self.notes))
+        return found if commands is None or environments is None else found.unionByName(self.math(commands, environments))
+
 
 def compress(findings: DataFrame) -> DataFrame:
     """More than three trailing-space findings of a note become one; repeated headings one a title, with the count."""

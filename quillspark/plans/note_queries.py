@@ -168,7 +168,7 @@ METHODS = {"l3_fence_open": "fences", "l4_anchors": "anchors", "l6_duplicate_hea
 for _name, _sql in LINT_SQL.items():
     note_query(_name, f"WITH {LINT_CTE} {_sql}")(lambda n, m=METHODS[_name]: getattr(lint.Lint(n), m)())
 ALL = " UNION ALL ".join(f"(SELECT note_id, severity, rule, pos::INT AS pos, detail FROM ({s}))" for s in LINT_SQL.values())
-note_query("u6_lint_findings", f"WITH {LINT_CTE} {ALL}")(lambda n: lint.Lint(n).findings())
+note_query("u6_lint_findings", f"WITH {LINT_CTE} {ALL}")(lambda n: lint.Lint(n).plain_findings())
 FOUND = f"{LINT_CTE}, fd AS ({ALL})"
 note_query(
     "a8_compress",
@@ -176,17 +176,17 @@ note_query(
     SELECT note_id, severity, rule, pos, detail FROM m WHERE rule <> 'duplicate_heading' AND NOT (rule = 'trailing_space' AND n > 3)
     UNION ALL SELECT note_id, severity, rule, min(pos)::INT, count(*)::VARCHAR FROM m WHERE rule = 'trailing_space' AND n > 3 GROUP BY ALL
     UNION ALL SELECT note_id, severity, CASE WHEN count(*) + 1 >= 3 THEN 'template_heading' ELSE 'duplicate_heading' END, min(pos)::INT, detail || ':' || (count(*) + 1) FROM fd WHERE rule = 'duplicate_heading' GROUP BY note_id, severity, detail""",
-)(lambda n: lint.compress(lint.Lint(n).findings()))
+)(lambda n: lint.compress(lint.Lint(n).plain_findings()))
 note_query(
     "o8_shown",
     f"WITH {FOUND} SELECT *, (row_number() OVER (PARTITION BY note_id, severity ORDER BY pos, rule, detail))::INT AS rank, greatest(count(*) OVER (PARTITION BY note_id, severity) - 2, 0)::BIGINT AS left_out FROM fd QUALIFY rank <= 2",
-)(lambda n: lint.shown(lint.Lint(n).findings(), 2))
+)(lambda n: lint.shown(lint.Lint(n).plain_findings(), 2))
 note_query(
     "a11_stats",
     f"WITH {LINT_CTE} SELECT note_id, n_lines, length(text)::INT AS n_chars, len(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:#[^\\]|]+)?(?:\\|[^\\]]*)?\\]\\]'))::BIGINT AS n_wikilinks, coalesce(nh, 0)::BIGINT AS n_headings, coalesce(nt, 0)::BIGINT AS n_tables FROM note JOIN nl USING (note_id) LEFT JOIN (SELECT note_id, count(*) AS nh FROM lh GROUP BY ALL) USING (note_id) LEFT JOIN (SELECT note_id, count(DISTINCT run) AS nt FROM tr GROUP BY ALL) USING (note_id)",
 )(lambda n: lint.Lint(n).stats())
 note_query("a12_summary", f"WITH {FOUND} SELECT (SELECT count(*) FROM note) AS files, count_if(severity = 'error')::BIGINT AS errors, count_if(severity = 'warn')::BIGINT AS warnings, CASE WHEN count_if(severity = 'error') > 0 THEN 1 ELSE 0 END AS code FROM fd")(
-    lambda n: lint.summary(n, lint.Lint(n).findings())
+    lambda n: lint.summary(n, lint.Lint(n).plain_findings())
 )
 
 
@@ -202,6 +202,15 @@ def math(n):
     return lint.Lint(n).math(allowed, n.sparkSession.createDataFrame([("cases",)], "name string")).select("note_id", "rule", "detail")
 
 
+def every_rule(n):
+    names = lambda *x: n.sparkSession.createDataFrame([(v,) for v in x], "name string")
+    return lint.Lint(n).findings(names("frac", "alpha"), names("cases"))
+
+
+note_query("u6_every_rule")(every_rule)
+note_query("a8_every_rule")(lambda n: lint.compress(every_rule(n)))
+note_query("o8_every_rule")(lambda n: lint.shown(every_rule(n), 2))
+note_query("a12_every_rule")(lambda n: lint.summary(n, every_rule(n)))
 note_query("p12_mask_markup")(markup.mask_markup)
 note_query("l13_emphasis")(lambda n: markup.emphasis(n.withColumn("text", F.concat("text", F.lit("\nis**“so”**: it")))))
 note_query(

@@ -303,3 +303,12 @@ def test_drafts_past_the_excerpt(spark):
     like = lambda a, b: len(a & b) >= 0.55 * len(a | b)
     assert got == {(d, o): (len(units(texts[d])), sum(any(like(a, b) for b in units(texts[o])) for a in units(texts[d]))) for d, o in pairs}
     assert got[0, 1][1] > 5 and got[0, 2][1] == 0
+
+
+def test_every_rule(spark):
+    """u6, a12: an unknown macro, front matter that is no YAML, emphasis that stays literal."""
+    n = notes(spark, "$\\oddmacro$", "---\na: [\n---", "**工具调用（Tool Calling）**机制")
+    names = spark.createDataFrame([("frac",)], "name string")
+    found = lint.Lint(n).findings(names, names)
+    assert sorted((r["note_id"], r["severity"], r["rule"]) for r in found.collect()) == [(0, "warn", "math_macro"), (1, "error", "frontmatter_yaml"), (2, "warn", "emphasis")]
+    assert lint.summary(n, found).first().asDict() == {"files": 3, "errors": 1, "warnings": 2, "code": 1}
