@@ -2,23 +2,25 @@
 
 A byte goes if it is covered by a `width`-byte string that also starts in a document with a smaller doc_id.
 
-1. Packs: texts are written once in packs of about a megabyte; later steps move packs, not rows.
+1. Packs: texts are written once in packs of about a megabyte; later steps move packs, not rows. A longer text is cut into
+   segments that overlap by `width` - 1 bytes, so that every window lies in one of them.
 2. Anchors: of the k-byte strings of every window the one with the smallest hash is its anchor (winnowing), so a window has
-   the same anchor wherever it occurs. Per anchor go out its hash and the hash of its context, the bytes of all windows it can
-   serve; within a pack equal (anchor, context) go out once, for the smallest doc_id.
-3. Buckets of anchors: equal contexts in a smaller document settle all their windows at once. Where an anchor has different
-   contexts, the first document of each context is asked for the context's bytes.
-4. Suffix array of a bucket's contexts: only suffixes smaller than their successors are sorted directly, the others are induced
-   by one scan over the character buckets; adjacent common prefixes of `width` bytes or more tie equal windows together, and
-   each learns the smallest document that holds it.
+   the same anchor wherever it occurs. Every pack sends its anchors' codes, 4 bytes each, and learns which of them other packs
+   hold too. This only rules out: an anchor that one document alone holds serves no repeated window.
+3. The contexts of the other anchors (the bytes of the windows that each serves) go to blocks of anchors; bytes that a pack holds
+   several times go once. Equal contexts are told by their bytes, never by a hash.
+4. Suffix array of a block's distinct contexts: only suffixes smaller than their successors are sorted directly, the others are
+   induced by one scan over the character buckets; adjacent common prefixes of `width` bytes or more tie equal windows together,
+   and each learns the smallest document that holds it. This order decides every window that is removed.
 5. Packs are met with the answers, and the bytes are removed.
 
-Buckets are sized from the corpus: a task sorts a bounded number of anchors or contexts. A passage in a third of all documents
-is one entry a pack.
+A line that stands in many documents would send as many different contexts to one block: windows that hold a bit of what stands
+around it. A sample of packs tells which k-byte strings are frequent; these rank behind all others as anchors, so such a window
+is served by the rarer string at its edge. The sample only balances the load: any ranking gives the same result.
 
 Defined cases: null text counts as empty; texts under `width` bytes keep everything; rows of one doc_id (repeated rows, ties) do
-not remove each other; a null doc_id is smaller than all others; an empty table gives no rows; other columns are ignored. A text is
-hashed in one piece, which takes about 100 bytes of memory a byte of text.
+not remove each other; a null doc_id is smaller than all others; an empty table gives no rows; other columns are ignored. Memory
+follows the pack (about 100 bytes a byte), not the text: a segmented text is put together one segment at a time.
 """
 
 from __future__ import annotations
@@ -35,18 +37,22 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import U64, SpanHash, materialize, mix64, slices, spread, utf8_column
 
 WIDTH, K = 50, 20
-#: Windows that an anchor can serve, and how far its context reaches to either side.
+#: Windows that an anchor can serve, and the longest context.
 SERVED = WIDTH - K + 1
-REACH = WIDTH - K
-CONTEXT = 2 * REACH + K
+CONTEXT = WIDTH + SERVED - 1
+#: Bytes of text in a pack, or of a segment's own.
 PACK = 1 << 20
-#: Bytes of text, and of contexts, that one bucket answers for, about.
-BUCKET_TEXT, BUCKET_CONTEXT = 4 << 20, 2 << 20
+#: Bytes of text that one bucket of codes, and one block of contexts, answers for, about.
+BUCKET_TEXT, BLOCK_TEXT = 16 << 20, 4 << 20
+#: Packs in the sample for frequent strings, at least and at most; contexts in the whole corpus from which a string is frequent.
+SAMPLE, FREQUENT = (16, 2048), 4096
+MOST_FREQUENT = 1_000_000
 NULL_ID = -(1 << 63)
+PACKS = "pack long, home long, seg int, segs int, ids binary, lens binary, data binary"
 
 
 def _pack(batches):
-    """Rows to packs: pack, n, ids, lens, data."""
+    """Rows to packs: whole rows share one (segs 0), or one long row has several, with one home."""
     import zstandard
 
     z, part, count = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
@@ -54,101 +60,171 @@ def _pack(batches):
         ids = np.array([NULL_ID if v is None else v for v in b.column(0).to_pylist()], np.int64)
         data, offsets = utf8_column(b.column(1))
         for first, last in slices(offsets, PACK):
-            part_lens = np.diff(offsets[first : last + 1])
-            body = z.compress(data[offsets[first] : offsets[last]].tobytes())
-            yield pa.RecordBatch.from_pydict({"pack": [part << 32 | count], "n": [last - first], "ids": [ids[first:last].tobytes()], "lens": [part_lens.astype(np.int64).tobytes()], "data": [body]})
-            count += 1
-
-
-class Pack:
-    """A pack's texts, and its anchors as entries: distinct (document, anchor, context), by bucket."""
-
-    def __init__(self, ids: bytes, lens: bytes, data: bytes, buckets: int):
+            lens = np.diff(offsets[first : last + 1])
+            lo, hi = int(offsets[first]), int(offsets[last])
+            segs = -(-(hi - lo) // PACK) if hi - lo > PACK else 0
+            home = part << 32 | count
+            for seg in range(max(1, segs)):
+                a = lo + seg * PACK
+                piece = data[a : min(hi, a + PACK + WIDTH - 1)] if segs else data[lo:hi]
+                sizes = np.array([len(piece)]) if segs else lens
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in zip((part << 32 | count, home, seg, segs, ids[first:last].tobytes(), sizes.astype(np.int64).tobytes(), z.compress(piece.tobytes())), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
+                    ["pack", "home", "seg", "segs", "ids", "lens", "data"],
+                )
+                count += 1
+
+
+class Texts:
+    """A pack's texts."""
+
+    def __init__(self, ids: bytes, lens: bytes, data: bytes):
         import zstandard
 
         self.ids, self.lens = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])
-        self.pos = self._anchors()
-        self.row = self._row[self.pos].astype(np.int64)
-        low = np.maximum(self.pos - REACH, self.starts[self.row])
-        high = np.minimum(self.pos + K + REACH, self.starts[self.row + 1])
-        self.low, self.high = low, high
-        anchor = self._hash[self.pos]
-        edges = ((self.pos - low) * (CONTEXT + 1) + (high - self.pos)).astype(U64)
-        context = mix64(self._span(low, high) + edges * U64(0x9E3779B97F4A7C15)) >> U64(16)
-        del self._hash, self._span, self._row
-        mixed = mix64(anchor)
-        bucket = ((mixed >> U64(32)) * U64(buckets)) >> U64(32)
-        same = mix64(mixed + context * U64(0xD6E8FEB86659FD93))
-        key = mix64(same + (self.row.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
-        # distinct (document, anchor, context), in the order of bucket, then key
-        order = np.lexsort((key, bucket))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        self.entry_of = np.empty(len(order), np.int64)
-        self.entry_of[order] = np.cumsum(fresh) - 1
-        pick = order[fresh]
-        self.first = pick
-        self.anchor, self.context, self.bucket = anchor[pick], context[pick], bucket[pick].astype(np.int64)
-        self.doc = self.row[pick]
-        # what has its equal in a smaller document of the same pack is settled here and not sent
-        s = same[pick]
-        by = np.argsort(s, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], s[by][1:] != s[by][:-1]])) if len(s) else np.zeros(0, np.int64)
-        least = np.empty(len(s), np.int64)
-        if len(s):
-            least[by] = np.repeat(np.minimum.reduceat(self.ids[self.doc][by], cut), np.diff(np.append(cut, len(s))))
-        self.settled = self.ids[self.doc] > least
-        self.sent = np.flatnonzero(~self.settled)
-
-    def _anchors(self) -> np.ndarray:
-        """Positions of the anchors, ascending: the leftmost smallest hash of each window."""
-        n = len(self.text)
-        self._row = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
-        self._span = SpanHash(self.text)
-        self._hash = np.zeros(0, U64)
+
+
+class Anchors:
+    """The anchors of a pack's windows: place, row, hash, and the bytes [low, high) of the windows that each serves."""
+
+    def __init__(self, texts: Texts, frequent: np.ndarray):
+        n = len(texts.text)
+        self.texts = texts
+        none = np.zeros(0, np.int64)
+        self.pos, self.low, self.high, self.row, self.hash, self.every = none, none, none, none, np.zeros(0, U64), np.zeros(0, U64)
         if n < WIDTH:
-            return np.zeros(0, np.int64)
-        at = np.arange(n - K + 1)
-        self._hash = (self._span.prefix[K:] - self._span.prefix[:-K]) * self._span.inv[: n - K + 1]
+            return
+        row = np.repeat(np.arange(len(texts.lens), dtype=np.int32), texts.lens)
+        span = SpanHash(texts.text)
+        self.every = (span.prefix[K:] - span.prefix[:-K]) * span.inv[: n - K + 1]
         shift = U64(max(20, int(n).bit_length()))
-        best = (self._hash >> shift << shift) | at.astype(U64)
+        best = (_ranked(self.every, frequent) >> shift << shift) | np.arange(n - K + 1, dtype=U64)
         done = 1
         while done < SERVED:
             step = min(done, SERVED - done)
             best = np.minimum(best[:-step], best[step:])
             done += step
-        inside = self._row[: n - WIDTH + 1] == self._row[WIDTH - 1 :]
-        found = (best[inside] & ((U64(1) << shift) - U64(1))).astype(np.int64)
-        keep = np.ones(len(found), bool)
-        keep[1:] = found[1:] != found[:-1]
-        return found[keep]
+        window = np.flatnonzero(row[: n - WIDTH + 1] == row[WIDTH - 1 :])
+        found = (best[window] & ((U64(1) << shift) - U64(1))).astype(np.int64)
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = found[1:] != found[:-1]
+        first = np.flatnonzero(fresh)
+        self.pos, self.low = found[first], window[first]
+        self.high = window[np.append(first[1:], len(found)) - 1] + WIDTH if len(first) else none
+        self.row, self.hash = row[self.pos].astype(np.int64), self.every[self.pos]
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """The contexts of these anchors as byte strings of one length, their place and size at the end."""
+        low, size = self.low[which], self.high[which] - self.low[which]
+        out = np.zeros((len(which), CONTEXT + 2), np.uint8)
+        for k in range(0, len(which), 1 << 14):
+            a, s = low[k : k + (1 << 14), None], size[k : k + (1 << 14), None]
+            at = np.arange(CONTEXT)
+            out[k : k + (1 << 14), :CONTEXT] = np.where(at < s, self.texts.text[np.minimum(a + at, len(self.texts.text) - 1)], 0)
+        out[:, CONTEXT] = self.pos[which] - low
+        out[:, CONTEXT + 1] = size
+        return out
+
+
+def _ranked(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Hashes in the order in which they become anchors: frequent strings last."""
+    if not len(frequent):
+        return hashes
+    likely = np.zeros(1 << 16, bool)
+    likely[frequent >> U64(48)] = True
+    some = np.flatnonzero(likely[hashes >> U64(48)])
+    out = hashes >> U64(1)
+    at = np.minimum(np.searchsorted(frequent, hashes[some]), len(frequent) - 1)
+    out[some[frequent[at] == hashes[some]]] |= U64(1 << 63)
+    return out
+
+
+class Codes:
+    """The distinct codes of a pack's anchors in the order of their buckets, and which code each anchor has."""
+
+    def __init__(self, anchors: Anchors, buckets: int):
+        mixed = mix64(anchors.hash)
+        bucket = ((mixed >> U64(32)) * U64(buckets)) >> U64(32)
+        key = bucket << U64(32) | (mixed & U64(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(fresh)
+        self.of = np.empty(len(key), np.int64)
+        self.of[order] = np.cumsum(fresh) - 1
+        self.code, self.bucket = key[first].astype(np.uint32), (key[first] >> U64(32)).astype(np.int64)
+        #: Codes that two rows of the pack have: anchors are in the order of rows.
+        row = anchors.row[order]
+        self.shared = row[first] != row[np.append(first[1:], len(key)) - 1] if len(first) else np.zeros(0, bool)
 
     def parts(self):
-        """(bucket, entries sent) in order."""
-        b = self.bucket[self.sent]
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-        for lo, hi in zip(cut, [*cut[1:], len(b)]):
-            yield int(b[lo]), self.sent[lo:hi]
+        cut = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else []
+        for lo, hi in zip(cut, [*cut[1:], len(self.bucket)]):
+            yield int(self.bucket[lo]), slice(lo, hi)
 
 
-def _read_packs(batches, buckets):
+def _texts(batches):
     for b in batches:
-        for pack, ids, lens, data in zip(b.column(0), b.column(2), b.column(3), b.column(4)):
-            yield pack.as_py(), Pack(ids.as_py(), lens.as_py(), data.as_py(), buckets)
+        for pack, ids, lens, data in zip(b.column(0), b.column(4), b.column(5), b.column(6)):
+            yield pack.as_py(), Texts(ids.as_py(), lens.as_py(), data.as_py())
+
+
+def _batch(rows, names, kinds):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
 
 
-def _send(buckets: int):
+def _tally(near):
+    """(hash, n): in how many different contexts a pack's anchors stand; given `near`, all k-byte strings around these anchors."""
+
     def run(batches):
-        for pack, p in _read_packs(batches, buckets):
-            rows = []
-            for bucket, e in p.parts():
-                high = np.ascontiguousarray(p.context[e].view(np.uint8).reshape(-1, 8)[:, :6])
-                docs, index = np.unique(p.doc[e], return_inverse=True)
-                rows.append((bucket, pack, p.anchor[e].tobytes(), high.tobytes(), index.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), p.ids[docs].tobytes()))
+        for _, texts in _texts(batches):
+            a = Anchors(texts, np.zeros(0, U64))
+            if not len(a.pos):
+                continue
+            if near is None:
+                wide = np.minimum(a.pos + K + SERVED, len(texts.text)) - np.maximum(a.pos - SERVED, 0)
+                span = SpanHash(texts.text)
+                around = span(np.maximum(a.pos - SERVED, 0), np.minimum(a.pos + K + SERVED, len(texts.text))) + wide.astype(U64)
+                order = np.lexsort((around, a.hash))
+                h, c = a.hash[order], around[order]
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                found = h[fresh]
+            else:
+                at = a.pos[np.isin(a.hash, near)]
+                at = np.unique((at[:, None] + np.arange(-SERVED, SERVED + 1)).ravel())
+                found = a.every[at[(at >= 0) & (at < len(a.every))]]
+            h, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return run
+
+
+def frequent_strings(packs: DataFrame, n_packs: int) -> np.ndarray:
+    """Sorted hashes of the k-byte strings that a sample of packs shows in many contexts; at most MOST_FREQUENT, for balance alone."""
+    wanted = min(SAMPLE[1], max(SAMPLE[0], n_packs // 1000))
+    share = max(1, n_packs // wanted)
+    sample = packs.filter(F.pmod(F.xxhash64("pack"), F.lit(share)) == 0)
+    least = max(3, FREQUENT // share)
+
+    def often(near):
+        counts = sample.mapInArrow(_tally(near), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64).view(U64))
+
+    first = often(None)
+    return often(first) if len(first) else first
+
+
+def _send(buckets: int, frequent):
+    def run(batches):
+        for pack, texts in _texts(batches):
+            c = Codes(Anchors(texts, frequent.value), buckets)
+            rows = [(bucket, pack, c.code[at].tobytes()) for bucket, at in c.parts()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 4)], ["bucket", "pack", "a", "h", "i", "d"])
+                yield _batch(rows, ["bucket", "pack", "codes"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
@@ -168,99 +244,77 @@ def _grouped(batches):
         yield key, rows
 
 
-def _settle(batches):
-    """A bucket's entries: which have their equal in a smaller document, and whose contexts are wanted. Two bit rows a pack."""
+def _meet_codes(batches):
+    """A bucket's codes: for each pack a bit row of those that another pack has too."""
     for bucket, rows in _grouped(batches):
-        a = np.concatenate([np.frombuffer(r[2], U64) for r in rows])
-        sizes = [len(r[2]) // 8 for r in rows]
-        order = np.argsort(a, kind="stable")
-        s = a[order]
+        codes = [np.frombuffer(r[2], np.uint32) for r in rows]
+        every = np.concatenate(codes)
+        order = np.argsort(every, kind="stable")
+        s = every[order]
         twin = np.zeros(len(s), bool)
         twin[1:] = s[1:] == s[:-1]
         twin[:-1] |= twin[1:]
-        some = order[twin]
-        full, ask = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        if len(some):
-            h = np.zeros((len(a), 8), np.uint8)
-            at = 0
-            doc = np.empty(len(a), np.int64)
-            for r, n in zip(rows, sizes):
-                h[at : at + n, :6] = np.frombuffer(r[3], np.uint8).reshape(-1, 6)
-                doc[at : at + n] = np.frombuffer(r[5], np.int64)[np.frombuffer(r[4], np.uint16 if len(r[4]) == 2 * n else np.uint32)]
-                at += n
-            h = h.view(U64).ravel()
-            some = some[np.lexsort((doc[some], h[some], a[some]))]
-            x, y, d = a[some], h[some], doc[some]
-            new_a = np.concatenate([[True], x[1:] != x[:-1]])
-            new_h = new_a | np.concatenate([[True], y[1:] != y[:-1]])
-            starts = np.flatnonzero(new_h)
-            group = np.cumsum(new_h) - 1
-            first = d[starts]  # sorted by document within a context
-            full[some] = d > first[group]
-            # an anchor with two contexts or more, first seen in different documents
-            of_a = np.cumsum(new_a)[starts] - 1
-            many = np.flatnonzero(new_a[starts])
-            lo, hi = np.minimum.reduceat(first, many), np.maximum.reduceat(first, many)
-            ask[some] = (d == first[group]) & (lo < hi)[of_a][group]
+        both = np.empty(len(s), bool)
+        both[order] = twin
         at, out = 0, []
-        for r, n in zip(rows, sizes):
-            if full[at : at + n].any() or ask[at : at + n].any():
-                out.append((r[1], bucket, np.packbits(full[at : at + n]).tobytes(), np.packbits(ask[at : at + n]).tobytes(), int(ask[at : at + n].sum())))
-            at += n
+        for r, c in zip(rows, codes):
+            mine = both[at : at + len(c)]
+            at += len(c)
+            if mine.any():
+                out.append((r[1], bucket, np.packbits(mine).tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()])], ["pack", "bucket", "full", "ask", "asked"])
+            yield _batch(out, ["pack", "bucket", "bits"], [pa.int64(), pa.int64(), pa.binary()])
 
 
-def _contexts(buckets: int, blocks: int):
-    """Packs with their buckets' answers: the contexts that are asked for, by block of anchors."""
+def _contexts(buckets: int, blocks: int, frequent):
+    """Packs with their buckets' answers: the distinct contexts of shared anchors, and every place where they stand, by block."""
 
     def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         for pack, rows in _grouped(batches):
-            p, answers = _meet(rows, buckets)
-            if not answers:
-                continue
-            wanted = []
-            for bucket, e in p.parts():
-                if bucket in answers:
-                    ask = np.unpackbits(np.frombuffer(answers[bucket][1], np.uint8), count=len(e)).astype(bool)
-                    wanted.append(e[ask])
-            e = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
-            if not len(e):
+            if rows[0][1] != 1:
+                raise RuntimeError("answers without their pack")
+            texts = Texts(rows[0][3], rows[0][4], rows[0][5])
+            a = Anchors(texts, frequent.value)
+            c = Codes(a, buckets)
+            asked, told = c.shared, {r[2]: r[3] for r in rows[1:]}
+            for bucket, at in c.parts():
+                if bucket in told:
+                    asked[at] |= np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=at.stop - at.start).astype(bool)
+            which = np.flatnonzero(asked[c.of]) if len(c.of) else np.zeros(0, np.int64)
+            if not len(which):
                 continue
-            block = (((mix64(p.anchor[e]) >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
+            block = (((mix64(a.hash[which] + U64(1)) >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            e, block = e[order], block[order]
+            which, block = which[order], block[order]
+            whole = a.contexts(which)
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             out = []
-            for lo, hi in zip(cut, [*cut[1:], len(e)]):
-                at = p.first[e[lo:hi]]
-                low, size = p.low[at], p.high[at] - p.low[at]
-                before = np.cumsum(size) - size
-                text = p.text[np.repeat(low - before, size) + np.arange(size.sum())].tobytes()
-                left, size = (p.pos[at] - low).astype(np.uint8), size.astype(np.uint8)
-                out.append((int(block[lo]), pack, e[lo:hi].astype(np.uint32).tobytes(), left.tobytes(), size.tobytes(), p.ids[p.doc[e[lo:hi]]].tobytes(), text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 2 + [pa.binary()] * 5)], ["block", "pack", "e", "left", "size", "d", "text"])
+            for lo, hi in zip(cut, [*cut[1:], len(which)]):
+                distinct, of = _distinct(whole[lo:hi])
+                ids = texts.ids[a.row[which[lo:hi]]]
+                size = distinct[:, CONTEXT + 1]
+                body = distinct[:, :CONTEXT][np.arange(CONTEXT) < size[:, None]]
+                parts = (distinct[:, CONTEXT], size, of.astype(np.uint32), a.low[which[lo:hi]].astype(np.uint32), ids, body)
+                out.append((int(block[lo]), pack, len(distinct), int(hi - lo), z.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))))
+            yield _batch(out, ["block", "pack", "n", "places", "body"], [pa.int64()] * 4 + [pa.binary()])
 
     return run
 
 
-def _meet(rows, buckets):
-    """A pack's own row and the answers to it: (Pack, {bucket: (full, ask)}) ; rows of role 1 first."""
-    p, answers = None, {}
-    for _, role, bucket, one, two, three in rows:
-        if role == 1:
-            p = (one, two, three)
-        elif role == 2:
-            answers[bucket] = (one, two)
-        else:
-            answers.setdefault("masks", []).append((one, two))
-    if p is None:
-        raise RuntimeError("answers without their pack")
-    return Pack(*p, buckets), answers
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows by their bytes (the last of which is not 0), and which of them each row is."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    words = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+    _, first, of = np.unique(words, return_index=True, return_inverse=True)
+    return rows[first], of
 
 
-def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in the order of their first `depth` bytes at least.
+def two_stage_suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of text in the order of their first `depth` bytes at least; given `wanted`, these and what their order hangs on.
 
     Type B suffixes are smaller than their successors: only these are sorted directly. A scan of the order by character bucket
     then puts the predecessor of each suffix, if it is larger than it (type A), at the head of its bucket.
@@ -276,19 +330,26 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     turn = np.where(differs, np.arange(n), n)
     turn = np.minimum.accumulate(turn[::-1])[::-1]
     small = rises[turn]
-    direct = np.flatnonzero(small)
+    live = np.ones(n, bool)
+    if wanted is not None:  # a larger suffix hangs on its successor, up to the next smaller one
+        at = np.arange(n)
+        last = np.maximum.accumulate(np.where(wanted, at, -1))
+        stop = np.concatenate([[-1], np.maximum.accumulate(np.where(small, at, -1))[:-1]])
+        live = last > stop
+    direct = np.flatnonzero(small & live)
     words = np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[direct]
     direct = direct[np.argsort(np.ascontiguousarray(words).view(f"S{depth}").ravel(), kind="stable")] if len(direct) else direct
-    total = np.bincount(text, minlength=256)
+    total = np.bincount(text[live], minlength=256)
     n_b = np.bincount(text[direct], minlength=256)
     start = np.concatenate([[0], np.cumsum(total)])[:256]
     head = start.copy()
-    order = np.full(n, -1, np.int64)
+    order = np.full(int(total.sum()), -1, np.int64)
     b_at = np.concatenate([[0], np.cumsum(n_b)])
+    larger = live & ~small
 
     def induce(scanned):
         before = scanned[scanned > 0] - 1
-        before = before[~small[before]]
+        before = before[larger[before]]
         if len(before) == 0:
             return
         kinds = text[before]
@@ -300,9 +361,9 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             order[head[c] : head[c] + hi - lo] = before[lo:hi]
             head[c] += hi - lo
 
-    last = text[n - 1]
-    order[head[last]] = n - 1
-    head[last] += 1
+    if live[n - 1]:
+        order[head[text[n - 1]]] = n - 1
+        head[text[n - 1]] += 1
     for c in np.flatnonzero(total):
         at = start[c]
         while at < head[c]:
@@ -317,94 +378,166 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length, up to depth, of the prefix that each suffix shares with the one before it in order (0 for the first)."""
-    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
-    rows = np.lib.stride_tricks.as_strided(padded, (len(text) + 1, depth), (1, 1))
+    wide = -(-depth // 8) * 8
+    rows = np.lib.stride_tricks.as_strided(np.concatenate([text, np.zeros(wide, np.uint8)]), (len(text) + 1, wide), (1, 1))
     out = np.zeros(len(order), np.int64)
-    for k in range(1, len(order), 1 << 16):
-        a, b = order[k - 1 : k - 1 + (1 << 16)], order[k : k + (1 << 16)]
-        off = rows[a[: len(b)]] != rows[b]
-        out[k : k + len(b)] = np.where(off.any(1), off.argmax(1), depth)
+    for k in range(1, len(order), 1 << 14):
+        a = np.ascontiguousarray(rows[order[k - 1 : k + (1 << 14)]]).view("<u8")
+        a, b = a[:-1], a[1:][: (1 << 14)]
+        off = a[: len(b)] ^ b
+        word = (off != 0).argmax(1)
+        x = off[np.arange(len(b)), word]
+        # the first differing byte of the first differing word; equal words tell no difference
+        byte = np.bitwise_count((x & (~x + U64(1))) - U64(1)).astype(np.int64) // 8
+        out[k : k + len(b)] = np.minimum(np.where(x == 0, depth, word * 8 + byte), depth)
     return out
 
 
+def least_holders(contexts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window (column) of distinct contexts, each with its smallest document: the smallest document with that window."""
+    size = contexts[:, CONTEXT + 1].astype(np.int64)
+    text = contexts[:, :CONTEXT][np.arange(CONTEXT) < size[:, None]]
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    wanted = np.repeat(ends, size) - np.arange(len(text)) >= WIDTH
+    order = two_stage_suffix_array(text, WIDTH, wanted)
+    order = order[wanted[order]]
+    least = np.full((len(size), SERVED), np.iinfo(np.int64).max)
+    if len(order):
+        cut = np.flatnonzero(common_prefixes(text, order, WIDTH) < WIDTH)
+        who = of[order]
+        least[who, order - (ends[who] - size[who])] = np.repeat(np.minimum.reduceat(doc[who], cut), np.diff(np.append(cut, len(order))))
+    return least
+
+
 def _sort_block(batches):
-    """A block's contexts: for each, which of its windows also start in a smaller document (bits)."""
+    """A block's contexts: for each place of each pack, which of its windows also start in a smaller document (bits)."""
+    import zstandard
+
+    z, out_z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     for _, rows in _grouped(batches):
-        text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-        size = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
-        left = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
-        doc = np.concatenate([np.frombuffer(r[5], np.int64) for r in rows])
-        ends = np.cumsum(size)
-        of = np.repeat(np.arange(len(size)), size)
-        order = two_stage_suffix_array(text, WIDTH)
-        order = order[ends[of[order]] - order >= WIDTH]
-        fresh = common_prefixes(text, order, WIDTH) < WIDTH
-        mask = np.zeros(len(size), np.uint32)
-        if len(order):
-            cut = np.flatnonzero(fresh) if fresh[0] else np.concatenate([[0], np.flatnonzero(fresh)])
-            mine = doc[of[order]]
-            least = np.repeat(np.minimum.reduceat(mine, cut), np.diff(np.append(cut, len(order))))
-            hit = order[mine > least]
-            which = of[hit]
-            # bit o: the window that starts REACH - o bytes before the anchor
-            bit = hit - (ends[which] - size[which]) - left[which] + REACH
-            np.bitwise_or.at(mask, which, (np.uint32(1) << bit.astype(np.uint32)).astype(np.uint32))
+        packs, contexts, ids, of, done = [], [], [], [], 0
+        for _, pack, n, places, body in rows:
+            raw = z.decompress(body)
+            left, size = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint8, n, n)
+            at = 2 * n
+            which, low = np.frombuffer(raw, np.uint32, places, at), np.frombuffer(raw, np.uint32, places, at + 4 * places)
+            ids.append(np.frombuffer(raw, np.int64, places, at + 8 * places))
+            whole = np.zeros((n, CONTEXT + 2), np.uint8)
+            whole[:, :CONTEXT][np.arange(CONTEXT) < size[:, None]] = np.frombuffer(raw, np.uint8, offset=at + 16 * places)
+            whole[:, CONTEXT], whole[:, CONTEXT + 1] = left, size
+            contexts.append(whole)
+            of.append(which.astype(np.int64) + done)
+            done += n
+            packs.append((pack, low))
+        distinct, kind = _distinct(np.concatenate(contexts))
+        of, ids = kind[np.concatenate(of)], np.concatenate(ids)
+        doc = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(doc, of, ids)
+        least = least_holders(distinct, doc)
+        mask = np.zeros(len(of), np.uint32)
+        bits = np.uint32(1) << np.arange(SERVED, dtype=np.uint32)
+        for k in range(0, len(of), 1 << 14):
+            mask[k : k + (1 << 14)] = ((least[of[k : k + (1 << 14)]] < ids[k : k + (1 << 14), None]) * bits).sum(1, dtype=np.uint32)
         at, out = 0, []
-        for r in rows:
-            n = len(r[3])
-            if mask[at : at + n].any():
-                out.append((r[1], r[2], mask[at : at + n].tobytes()))
-            at += n
+        for pack, low in packs:
+            mine = mask[at : at + len(low)]
+            at += len(low)
+            hit = mine != 0
+            if hit.any():
+                out.append((pack, int(hit.sum()), out_z.compress(low[hit].tobytes() + mine[hit].tobytes())))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.binary(), pa.binary()])], ["pack", "e", "mask"])
+            yield _batch(out, ["pack", "n", "mask"], [pa.int64(), pa.int64(), pa.binary()])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start long, end long>>"
+_RESULT_KINDS = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+_RESULT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 
 
-def _remove(buckets: int):
-    def run(batches):
-        for _, rows in _grouped(batches):
-            p, answers = _meet(rows, buckets)
-            bits = np.zeros(len(p.first), np.uint32)
-            whole = np.uint32((1 << SERVED) - 1)
-            bits[p.settled] = whole
-            for bucket, e in p.parts():
-                if bucket in answers:
-                    full = np.unpackbits(np.frombuffer(answers[bucket][0], np.uint8), count=len(e)).astype(bool)
-                    bits[e[full]] = whole
-            for e, mask in answers.get("masks", ()):
-                bits[np.frombuffer(e, np.uint32)] |= np.frombuffer(mask, np.uint32)
-            mine = bits[p.entry_of]
-            n = len(p.text)
-            full = mine == whole
-            starts, ends = [p.low[full]], [p.high[full]]  # all windows of an anchor cover its context
-            part = np.flatnonzero((mine > 0) & ~full)
-            pos, row, mine = p.pos[part], p.row[part], mine[part]
-            for o in range(SERVED if len(part) else 0):
-                on = (mine >> np.uint32(o) & np.uint32(1)).astype(bool)
-                at = pos[on] - REACH + o
-                starts.append(at)
-                ends.append(at + WIDTH)
-            change = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
-            gone = np.cumsum(change[:-1]) > 0
-            out = []
-            for k in range(len(p.ids)):
-                a, b = p.starts[k], p.starts[k + 1]
-                g, t = gone[a:b], p.text[a:b]
-                step = np.diff(np.concatenate([[0], g.view(np.int8), [0]]))
-                first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                doc = int(p.ids[k])
-                out.append((None if doc == NULL_ID else doc, int(b - a), int(g.sum()), len(first), hashlib.sha256(t[~g].tobytes()).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in zip(first, last)]))
-            if out:
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+class Kept:
+    """A document's result, put together from its bytes in order."""
 
-    return run
+    def __init__(self, doc: int):
+        self.doc, self.n, self.spans, self.sha = doc, 0, [], hashlib.sha256()
+
+    def add(self, text: np.ndarray, gone: np.ndarray) -> None:
+        step = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+        for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+            if self.spans and self.spans[-1][1] == self.n + a:
+                self.spans[-1][1] = self.n + b
+            else:
+                self.spans.append([self.n + a, self.n + b])
+        self.sha.update(text[~gone].tobytes())
+        self.n += len(text)
+
+    def row(self) -> tuple:
+        return (None if self.doc == NULL_ID else self.doc, self.n, sum(b - a for a, b in self.spans), len(self.spans), self.sha.hexdigest(), [{"start": a, "end": b} for a, b in self.spans])
+
+
+def _gone(texts: Texts, masks) -> np.ndarray:
+    """Which bytes are covered by a window that goes."""
+    import zstandard
+
+    z, n = zstandard.ZstdDecompressor(), len(texts.text)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for count, body in masks:
+        raw = z.decompress(body)
+        low, mask = np.frombuffer(raw, np.uint32, count).astype(np.int64), np.frombuffer(raw, np.uint32, count, 4 * count)
+        run = (mask & (mask + np.uint32(1))) == 0  # windows that follow one another from the first on
+        starts.append(low[run])
+        ends.append(low[run] + np.bitwise_count(mask[run]).astype(np.int64) + WIDTH - 1)
+        low, mask = low[~run], mask[~run]
+        for o in range(SERVED if len(low) else 0):
+            at = low[(mask >> np.uint32(o) & np.uint32(1)).astype(bool)] + o
+            starts.append(at)
+            ends.append(at + WIDTH)
+    change = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _remove(batches):
+    """Rows sorted by home, pack and role: each pack's own row, then its masks."""
+
+    def packs():
+        held = None
+        for b in batches:
+            for row in zip(*b.columns):
+                home, pack, role, seg, segs, n, one, two, three = (x.as_py() for x in row)
+                if role == 1:
+                    if held:
+                        yield held
+                    held = (home, pack, seg, segs, Texts(one, two, three), [])
+                else:
+                    if held is None or held[1] != pack:
+                        raise RuntimeError("answers without their pack")
+                    held[5].append((n, three))
+        if held:
+            yield held
+
+    long, carry = None, np.zeros(0, bool)
+    for _, _, seg, segs, texts, masks in packs():
+        gone = _gone(texts, masks)
+        if segs:
+            if seg == 0:
+                long, carry = Kept(int(texts.ids[0])), np.zeros(0, bool)
+            gone[: len(carry)] |= carry
+            own = len(gone) if seg == segs - 1 else PACK
+            long.add(texts.text[:own], gone[:own])
+            carry = gone[own:]
+            done = [long] if seg == segs - 1 else []
+        else:
+            done = []
+            for k in range(len(texts.ids)):
+                a, b = texts.starts[k], texts.starts[k + 1]
+                done.append(Kept(int(texts.ids[k])))
+                done[-1].add(texts.text[a:b], gone[a:b])
+        if done:
+            yield _batch([d.row() for d in done], _RESULT_NAMES, _RESULT_KINDS)
 
 
 def _release(spark) -> None:
-    """Let go of the shuffle files of steps whose results are written: else they stay until the driver's next collection."""
+    """Let go of plans whose results are written: Spark then removes their shuffle files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -413,26 +546,31 @@ def _dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.repartition(spread(df.sparkSession), key).sortWithinPartitions(key, *order)
 
 
+def _keys(spark, total: int, each: int) -> int:
+    """Buckets or blocks for `total` bytes: of `each` bytes, but as many as there are partitions where the corpus is small."""
+    return max(1, min(spread(spark), -(-total // PACK)), -(-total // each))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text): per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed)."""
     spark = docs.sparkSession
-    packs = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pack, "pack long, n long, ids binary, lens binary, data binary"), "packs")
+    packs = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pack, PACKS), "packs")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(spread(spark), -(-total // (1 << 20))), -(-total // BUCKET_TEXT))
-    entries = packs.mapInArrow(_send(buckets), "bucket long, pack long, a binary, h binary, i binary, d binary")
-    settled = materialize(_dealt(entries, "bucket").mapInArrow(_settle, "pack long, bucket long, full binary, ask binary, asked long"), "settled")
+    frequent = spark.sparkContext.broadcast(frequent_strings(packs, packs.count()))  # 8 bytes each, MOST_FREQUENT at most
+    buckets, blocks = _keys(spark, total, BUCKET_TEXT), _keys(spark, total, BLOCK_TEXT)
+    codes = packs.mapInArrow(_send(buckets, frequent), "bucket long, pack long, codes binary")
+    met = materialize(_dealt(codes, "bucket").mapInArrow(_meet_codes, "pack long, bucket long, bits binary"), "codes")
     _release(spark)
-    asked = settled.agg(F.sum("asked")).first()[0] or 0
-    blocks = max(1, min(spread(spark), -(-asked * CONTEXT // (1 << 18))), -(-asked * CONTEXT // BUCKET_CONTEXT))
     none = F.lit(None).cast("binary")
     own = packs.select("pack", F.lit(1).alias("role"), F.lit(-1).cast("long").alias("bucket"), F.col("ids").alias("one"), F.col("lens").alias("two"), F.col("data").alias("three"))
-    told = settled.select("pack", F.lit(2).alias("role"), "bucket", F.col("full").alias("one"), F.col("ask").alias("two"), none.alias("three"))
-    met = own.unionByName(told)
-    contexts = _dealt(met, "pack", "role").mapInArrow(_contexts(buckets, blocks), "block long, pack long, e binary, left binary, size binary, d binary, text binary")
-    masks = materialize(_dealt(contexts, "block").mapInArrow(_sort_block, "pack long, e binary, mask binary"), "masks")
+    told = met.select("pack", F.lit(2).alias("role"), "bucket", F.col("bits").alias("one"), none.alias("two"), none.alias("three"))
+    contexts = _dealt(own.unionByName(told), "pack", "role").mapInArrow(_contexts(buckets, blocks, frequent), "block long, pack long, n long, places long, body binary")
+    masks = materialize(_dealt(contexts, "block").mapInArrow(_sort_block, "pack long, n long, mask binary"), "masks")
     _release(spark)
-    masked = masks.select("pack", F.lit(3).alias("role"), F.lit(-1).cast("long").alias("bucket"), F.col("e").alias("one"), F.col("mask").alias("two"), none.alias("three"))
-    return _dealt(own.unionByName(told).unionByName(masked), "pack", "role").mapInArrow(_remove(buckets), RESULT)
+    home = packs.select("pack", "home").filter("pack <> home")
+    masked = masks.join(home, "pack", "left").select(F.coalesce("home", "pack").alias("home"), "pack", F.lit(2).alias("role"), F.lit(-1).alias("seg"), F.lit(0).alias("segs"), "n", none.alias("one"), none.alias("two"), F.col("mask").alias("three"))
+    whole = packs.select("home", "pack", F.lit(1).alias("role"), "seg", "segs", F.lit(0).cast("long").alias("n"), F.col("ids").alias("one"), F.col("lens").alias("two"), F.col("data").alias("three"))
+    return _dealt(whole.unionByName(masked), "home", "pack", "role").mapInArrow(_remove, RESULT)
 
 
 def op1_sufdedup(spark, sf_dir: str) -> DataFrame:
