@@ -51,28 +51,32 @@ NULL_ID = -(1 << 63)
 PACKS = "pack long, home long, seg int, segs int, ids binary, lens binary, data binary"
 
 
-def _pack(batches):
-    """Rows to packs: whole rows share one (segs 0), or one long row has several, with one home."""
-    import zstandard
+def _pack(most: int):
+    """Rows to packs of `most` bytes: whole rows share one (segs 0), or one long row has several, with one home."""
 
-    z, part, count = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-    for b in batches:
-        ids = np.array([NULL_ID if v is None else v for v in b.column(0).to_pylist()], np.int64)
-        data, offsets = utf8_column(b.column(1))
-        for first, last in slices(offsets, PACK):
-            lens = np.diff(offsets[first : last + 1])
-            lo, hi = int(offsets[first]), int(offsets[last])
-            segs = -(-(hi - lo) // PACK) if hi - lo > PACK else 0
-            home = part << 32 | count
-            for seg in range(max(1, segs)):
-                a = lo + seg * PACK
-                piece = data[a : min(hi, a + PACK + WIDTH - 1)] if segs else data[lo:hi]
-                sizes = np.array([len(piece)]) if segs else lens
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in zip((part << 32 | count, home, seg, segs, ids[first:last].tobytes(), sizes.astype(np.int64).tobytes(), z.compress(piece.tobytes())), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
-                    ["pack", "home", "seg", "segs", "ids", "lens", "data"],
-                )
-                count += 1
+    def run(batches):
+        import zstandard
+
+        z, part, count = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids = np.array([NULL_ID if v is None else v for v in b.column(0).to_pylist()], np.int64)
+            data, offsets = utf8_column(b.column(1))
+            for first, last in slices(offsets, most):
+                lens = np.diff(offsets[first : last + 1])
+                lo, hi = int(offsets[first]), int(offsets[last])
+                segs = -(-(hi - lo) // most) if hi - lo > most else 0
+                home = part << 32 | count
+                for seg in range(max(1, segs)):
+                    a = lo + seg * most
+                    piece = data[a : min(hi, a + most + WIDTH - 1)] if segs else data[lo:hi]
+                    sizes = np.array([len(piece)]) if segs else lens
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v], t) for v, t in zip((part << 32 | count, home, seg, segs, ids[first:last].tobytes(), sizes.astype(np.int64).tobytes(), z.compress(piece.tobytes())), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
+                        ["pack", "home", "seg", "segs", "ids", "lens", "data"],
+                    )
+                    count += 1
+
+    return run
 
 
 class Texts:
@@ -176,8 +180,8 @@ def _batch(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
 
 
-def _tally(near):
-    """(hash, n): in how many different contexts a pack's anchors stand; given `near`, all k-byte strings around these anchors."""
+def _tally(near, floor: int):
+    """(hash, n), n at least `floor`: the different contexts of a pack's anchors; given `near`, places of all strings around these."""
 
     def run(batches):
         for _, texts in _texts(batches):
@@ -198,6 +202,7 @@ def _tally(near):
                 at = np.unique((at[:, None] + np.arange(-SERVED, SERVED + 1)).ravel())
                 found = a.every[at[(at >= 0) & (at < len(a.every))]]
             h, n = np.unique(found, return_counts=True)
+            h, n = h[n >= floor], n[n >= floor]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return run
@@ -209,9 +214,10 @@ def frequent_strings(packs: DataFrame, n_packs: int) -> np.ndarray:
     share = max(1, n_packs // wanted)
     sample = packs.filter(F.pmod(F.xxhash64("pack"), F.lit(share)) == 0)
     least = max(3, FREQUENT // share)
+    floor = max(1, least // (4 * wanted))  # what is rarer in a pack adds little to a frequent string's sum
 
     def often(near):
-        counts = sample.mapInArrow(_tally(near), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        counts = sample.mapInArrow(_tally(near, floor), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64).view(U64))
 
     first = often(None)
@@ -496,44 +502,47 @@ def _gone(texts: Texts, masks) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _remove(batches):
+def _remove(most: int):
     """Rows sorted by home, pack and role: each pack's own row, then its masks."""
 
-    def packs():
-        held = None
-        for b in batches:
-            for row in zip(*b.columns):
-                home, pack, role, seg, segs, n, one, two, three = (x.as_py() for x in row)
-                if role == 1:
-                    if held:
-                        yield held
-                    held = (home, pack, seg, segs, Texts(one, two, three), [])
-                else:
-                    if held is None or held[1] != pack:
-                        raise RuntimeError("answers without their pack")
-                    held[5].append((n, three))
-        if held:
-            yield held
-
-    long, carry = None, np.zeros(0, bool)
-    for _, _, seg, segs, texts, masks in packs():
-        gone = _gone(texts, masks)
-        if segs:
-            if seg == 0:
-                long, carry = Kept(int(texts.ids[0])), np.zeros(0, bool)
-            gone[: len(carry)] |= carry
-            own = len(gone) if seg == segs - 1 else PACK
-            long.add(texts.text[:own], gone[:own])
-            carry = gone[own:]
-            done = [long] if seg == segs - 1 else []
-        else:
-            done = []
-            for k in range(len(texts.ids)):
-                a, b = texts.starts[k], texts.starts[k + 1]
-                done.append(Kept(int(texts.ids[k])))
-                done[-1].add(texts.text[a:b], gone[a:b])
-        if done:
-            yield _batch([d.row() for d in done], _RESULT_NAMES, _RESULT_KINDS)
+    def run(batches):
+        def packs():
+            held = None
+            for b in batches:
+                for row in zip(*b.columns):
+                    home, pack, role, seg, segs, n, one, two, three = (x.as_py() for x in row)
+                    if role == 1:
+                        if held:
+                            yield held
+                        held = (home, pack, seg, segs, Texts(one, two, three), [])
+                    else:
+                        if held is None or held[1] != pack:
+                            raise RuntimeError("answers without their pack")
+                        held[5].append((n, three))
+            if held:
+                yield held
+
+        long, carry = None, np.zeros(0, bool)
+        for _, _, seg, segs, texts, masks in packs():
+            gone = _gone(texts, masks)
+            if segs:
+                if seg == 0:
+                    long, carry = Kept(int(texts.ids[0])), np.zeros(0, bool)
+                gone[: len(carry)] |= carry
+                own = len(gone) if seg == segs - 1 else most
+                long.add(texts.text[:own], gone[:own])
+                carry = gone[own:]
+                done = [long] if seg == segs - 1 else []
+            else:
+                done = []
+                for k in range(len(texts.ids)):
+                    a, b = texts.starts[k], texts.starts[k + 1]
+                    done.append(Kept(int(texts.ids[k])))
+                    done[-1].add(texts.text[a:b], gone[a:b])
+            if done:
+                yield _batch([d.row() for d in done], _RESULT_NAMES, _RESULT_KINDS)
+
+    return run
 
 
 def _release(spark) -> None:
@@ -551,10 +560,10 @@ def _keys(spark, total: int, each: int) -> int:
     return max(1, min(spread(spark), -(-total // PACK)), -(-total // each))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, pack: int = PACK) -> DataFrame:
     """docs(doc_id, text): per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed)."""
     spark = docs.sparkSession
-    packs = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pack, PACKS), "packs")
+    packs = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pack(pack), PACKS), "packs")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     frequent = spark.sparkContext.broadcast(frequent_strings(packs, packs.count()))  # 8 bytes each, MOST_FREQUENT at most
     buckets, blocks = _keys(spark, total, BUCKET_TEXT), _keys(spark, total, BLOCK_TEXT)
@@ -570,7 +579,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     home = packs.select("pack", "home").filter("pack <> home")
     masked = masks.join(home, "pack", "left").select(F.coalesce("home", "pack").alias("home"), "pack", F.lit(2).alias("role"), F.lit(-1).alias("seg"), F.lit(0).alias("segs"), "n", none.alias("one"), none.alias("two"), F.col("mask").alias("three"))
     whole = packs.select("home", "pack", F.lit(1).alias("role"), "seg", "segs", F.lit(0).cast("long").alias("n"), F.col("ids").alias("one"), F.col("lens").alias("two"), F.col("data").alias("three"))
-    return _dealt(whole.unionByName(masked), "home", "pack", "role").mapInArrow(_remove, RESULT)
+    return _dealt(whole.unionByName(masked), "home", "pack", "role").mapInArrow(_remove(pack), RESULT)
 
 
 def op1_sufdedup(spark, sf_dir: str) -> DataFrame:
