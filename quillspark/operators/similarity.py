@@ -12,16 +12,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import STOP_WORDS, let, no_space, shingles, strip_md, valid_keyword
 from quillspark.operators.lines import body_text, headings
-from quillspark.storage import materialize
+from quillspark.storage import materialize, small
 
 MIN_LEN, WIN, STEP = 20, 70, 35
-#: A table of this many rows is broadcast; a larger one is joined by shuffle.
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df, broadcast if it is proven to have few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def unit_array(clean: Column) -> Column:
