@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.storage import materialize, work_dir  # noqa: F401
+from quillspark.storage import discard, materialize, small, work_dir  # noqa: F401
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
@@ -24,8 +24,15 @@ def spread(spark: SparkSession) -> int:
 
 
 def fold(doc_id, mod: int):
-    """crc32 of doc_id as text, modulo mod: the contract's held-out rule."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
+    """crc32 of doc_id as text, modulo mod: the contract's held-out rule. A null doc_id counts as empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,10 +100,3 @@ def slices(offsets: np.ndarray, most: int):
         end = min(n, max(end, start + 1))
         yield start, end
         start = end
-
-
-def rows_batched(batches, names):
-    """The columns `names` of Arrow batches, by position, one batch at a time."""
-    for b in batches:
-        if b.num_rows:
-            yield [b.column(b.schema.get_field_index(n)) for n in names]

@@ -5,9 +5,13 @@ log-ratio, scaled and shifted by a logistic fit) predicts that bit. Decoding is
 sum over bits of reliability times log(1 + exp(-bit * margin)), and the nearest codeword wins. The score is the softmax of the
 negative losses; `ambiguous` marks a winner whose lead over the second is under `lead`.
 
-Training reads at most about `per_language` labelled rows a language, picked by a hash of doc_id; whole texts are scored.
-Defined cases: null text, or text without a letter: `und`, score 0, ambiguous; no labelled rows: all `und`; one
-language: always that; repeated rows score alike; other columns pass through, clashing names are replaced.
+Training reads at most about `per_language` labelled texts a language, picked by a hash of doc_id and text; equal rows count once.
+Their gram profiles (DIM entries at most) are made on the executors from whole texts, and only these go to the driver. Whole texts
+are scored.
+
+Defined cases: null text, or text without a letter: `und`, score 0, ambiguous; no labelled rows: all `und`; one language: always
+that; ties go to the language first in code point order; repeated rows score alike; an empty table gives no rows; other columns pass
+through, clashing names are replaced (`identify` takes other names); a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, unused
 
 DIM = 1 << 14
 #: Characters handled at once: longer texts are summed piece by piece.
@@ -28,10 +32,9 @@ _letters: list[np.ndarray] = []
 def _codes(text: str) -> np.ndarray:
     """Lower-cased code points, 0 for what is no letter."""
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x30000)]))
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ok = _letters[0][np.minimum(c, 0x2FFFF)]
-    return np.where(ok, c, 0).astype(np.uint32)
+    return np.where(_letters[0][c], c, 0).astype(np.uint32)
 
 
 def _grams(c: np.ndarray) -> np.ndarray:
@@ -57,6 +60,13 @@ def gram_counts(text: str) -> tuple[np.ndarray, int]:
     return total, int(total.sum())
 
 
+def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that a text holds, and their shares."""
+    counts, n = gram_counts(text)
+    hit = np.flatnonzero(counts).astype(np.int32)
+    return hit, (counts[hit] / max(n, 1)).astype(np.float32)
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 / -1: the exhaustive code up to 6 languages, else the best of seeded random ones."""
     if n < 2:
@@ -82,16 +92,18 @@ class EccModel:
 
     @classmethod
     def train(cls, texts, labels) -> EccModel:
+        return cls.fit([profile(t) for t in texts], labels)
+
+    @classmethod
+    def fit(cls, rows, labels) -> EccModel:
+        """rows: profiles of labelled texts."""
         langs = sorted(set(labels))
         code = codewords(len(langs))
         width = code.shape[1]
         kinds = np.array([langs.index(x) for x in labels], int)
-        by, rows = np.zeros((len(langs), DIM)), []  # of each text only the grams that it holds are kept
-        for t, kind in zip(texts, kinds):
-            counts, n = gram_counts(t)
-            hit = np.flatnonzero(counts).astype(np.int32)
-            rows.append((hit, (counts[hit] / max(n, 1)).astype(np.float32)))
-            by[kind][hit] += rows[-1][1]
+        by = np.zeros((len(langs), DIM))
+        for (hit, share), kind in zip(rows, kinds):
+            by[kind][hit] += share
         use = [i for i, (hit, _) in enumerate(rows) if len(hit)]
         weights, scale, shift, trust = np.zeros((DIM, width), np.float32), np.ones(width), np.zeros(width), np.ones(width)
         for b in range(width):
@@ -136,26 +148,32 @@ def _fit_scale(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, fl
 
 
 def labelled_sample(docs: DataFrame, allowed: Column, per_language: int):
-    """At most about per_language rows of each language, by a hash of doc_id, as pandas."""
-    pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
+    """Profiles and languages of at most about per_language texts a language, by a hash of doc_id and text."""
+    pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("_key"))
     counts = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}  # one row a language
-    if not counts:
-        return None
-    unit = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return pool.filter(unit < share).select("text", "lang", "doc_id").toPandas().sort_values(["doc_id", "text"])
+    picked = pool.filter(F.pmod("_key", F.lit(1_000_000)) / F.lit(1_000_000.0) < share).groupBy("lang", "_key").agg(F.min("text").alias("text"))
+
+    @F.arrow_udf("struct<hit array<int>, share array<float>>")
+    def profiles(column: pa.Array) -> pa.Array:
+        found = [profile(x.as_py()) for x in column]
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
+        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in (0, 1)], ["hit", "share"])
+
+    rows = picked.select("lang", "_key", profiles("text").alias("p")).select("lang", "_key", "p.*").toArrow().to_pydict()
+    order = sorted(range(len(rows["_key"])), key=lambda i: (rows["_key"][i], rows["lang"][i]))
+    return [(np.array(rows["hit"][i], np.int32), np.array(rows["share"][i], np.float32)) for i in order], [rows["lang"][i] for i in order]
 
 
 def train(docs: DataFrame, allowed: Column | None = None, per_language: int = 600) -> EccModel:
     """Learn from text and non-null lang of the allowed rows; the bound keeps the driver's share the same at every size."""
-    rows = labelled_sample(docs, F.lit(True) if allowed is None else allowed, per_language)
-    return EccModel.train(list(rows["text"]), list(rows["lang"])) if rows is not None and len(rows) else EccModel.train([], [])
+    return EccModel.fit(*labelled_sample(docs, F.lit(True) if allowed is None else allowed, per_language))
 
 
-def identify(df: DataFrame, model: EccModel, lead: float = 0.1, text: str = "text") -> DataFrame:
-    """df with lang_pred, score, ambiguous."""
+def identify(df: DataFrame, model: EccModel, lead: float = 0.1, text: str = "text", names=("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """df with the language, the score, and whether its lead is under `lead`, under `names`."""
     held = df.sparkSession.sparkContext.broadcast(model)  # DIM x bits floats: bounded by the number of languages
 
     @F.arrow_udf("struct<lang_pred string, score double, ambiguous boolean>")
@@ -166,8 +184,9 @@ def identify(df: DataFrame, model: EccModel, lead: float = 0.1, text: str = "tex
             ["lang_pred", "score", "ambiguous"],
         )
 
-    out = df.withColumn("_found", run(F.col(text)))
-    return out.withColumns({k: F.col(f"_found.{k}") for k in ("lang_pred", "score", "ambiguous")}).drop("_found")
+    found = unused(df, "_found")
+    out = df.withColumn(found, run(F.col(text)))
+    return out.withColumns({n: F.col(found)[k] for n, k in zip(names, ("lang_pred", "score", "ambiguous"))}).drop(found)
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
