@@ -28,7 +28,6 @@ ORDERS = (3, 4, 5, 6)
 PIECE = 1 << 20
 #: Pseudo-counts of the smaller class, and the weight of the penalty.
 SMOOTH, PENALTY = 30.0, 1e-5
-_place: list[np.ndarray] = []
 
 
 def _hashes(text: str):
@@ -48,18 +47,17 @@ def _hashes(text: str):
 
 
 def _once(h: np.ndarray) -> np.ndarray:
-    """Each value once, by where it stands last: no sorting."""
-    if not _place:
-        _place.append(np.zeros(DIM, np.int32))
-    at = np.arange(len(h), dtype=np.int32)
-    _place[0][h] = at
-    return h[_place[0][h] == at]
+    """Distinct values, ascending."""
+    h = np.sort(h)
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
 
 
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed grams."""
     parts = list(_hashes(text)) if text else []
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+    return parts[0] if len(parts) == 1 else _once(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
 def _dual(z: float, old: float, slope: float) -> float:
@@ -79,7 +77,7 @@ class NbLinear:
     """Of each hashed gram the ratio times its coefficient, and the log-count ratio's square."""
 
     def __init__(self, ratio, weight, intercept):
-        self.table, self.intercept = np.stack([weight, ratio * ratio], 1), intercept
+        self.weight, self.square, self.intercept = weight, ratio * ratio, intercept
 
     @classmethod
     def train(cls, texts, labels, positive_share: float, epochs: int = 10) -> NbLinear:
@@ -107,8 +105,8 @@ class NbLinear:
         return cls(ratio, w * ratio, float(b + prior))
 
     def score(self, text: str | None) -> float:
-        weight, square = self.table[features(text)].sum(0, dtype=np.float64)
-        z = self.intercept + weight / max(1e-6, math.sqrt(square))
+        held = features(text)
+        z = self.intercept + float(self.weight.take(held).sum(dtype=np.float64)) / max(1e-6, math.sqrt(self.square.take(held).sum(dtype=np.float64)))
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700)))) if np.isfinite(z) else 0.0
 
 
