@@ -5,11 +5,13 @@ finish time is the source's cumulative size up to and with it, divided by the so
 range-sorted by finish time and the order is truncated at the total budget, so sources advance in proportion to their weights
 and one that runs out leaves its share to the others: the result meets the water-filled targets to about a document.
 
-No task holds a whole source: cumulative sums run within (source, slot) cells, hash slots whose number grows with
-the rows, with offsets from the small table of cell totals; the global order likewise within ranges of finish time.
+No task holds a whole source, and nothing goes to the driver but the number of rows. Every cumulative sum is taken in two levels: rows are
+dealt into even ranges of the order, whose bounds Spark samples, a range's own sum goes over its rows, and what lies before it
+comes from a table of the ranges' totals. Sources, their targets and the queue are all made in this way, however many there are.
 
 Defined cases: null text has size 0; null source is one source, last in the order; documents of size 0 are never
-taken (they hold no words); an empty table gives no rows; of repeated doc_ids each row is a document of its own; other columns are ignored.
+taken (they hold no words); an empty table gives no rows; of repeated doc_ids, null ones too, each row is a document of its own, in the
+order of a hash of its columns; a column of docs that is named as one of the results is left out of `row`'s place, not mixed up.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, spread
 
-#: Rows of a cell, about.
-CELL_ROWS = 20_000
+#: Rows of a range, about.
+RANGE_ROWS = 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,83 +30,73 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def cyclic_weights(sources: list) -> list[float]:
-    """1, 2, 3, repeating, for sources in code point order, null last."""
-    return [float(i % 3 + 1) for i in range(len(sources))]
+def cyclic_weight(place: Column) -> Column:
+    """1, 2, 3, repeating, for sources in code point order (places from 1), null last."""
+    return ((place - 1) % 3 + 1).cast("double")
 
 
-def water_fill(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
-    """Targets: budget by weight, each at most `most` times its size, the excess reshared until none is above."""
-    left = set(range(len(sizes)))
-    out = [0.0] * len(sizes)
-    rest = float(budget)
-    while left:
-        total = sum(weights[i] for i in sorted(left))
-        full = [i for i in sorted(left) if rest * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in left:
-                out[i] = rest * weights[i] / total
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left.discard(i)
-        rest = budget - sum(out[i] for i in range(len(sizes)) if i not in left)
-    return out
+def running(df: DataFrame, order: list[str], sums: dict[str, str], rows: int) -> DataFrame:
+    """df with sums[name], the sum of column `name` over the rows up to and with each, in the order of columns that tell rows apart.
 
-
-def mix(docs: DataFrame, size: Column, weights=cyclic_weights, share: float = 1.0, max_repeats: int = 3, key: str = "mix", carry: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
-
-    docs needs doc_id and source; size gives a document's words; the budget is `share` of all of them. With `carry` the
-    document's own columns come along as the struct `row`: doc_id need not tell rows apart.
+    Nulls come last. `rows` is about how many there are. The ranges are even whatever the values: Spark samples their bounds.
+    """
+    ranges = max(1, min(4 * spread(df.sparkSession), -(-rows // RANGE_ROWS)))
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    dealt = materialize(df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # a row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({out: F.sum(c).over(inside) for c, out in sums.items()})
+    met = own.join(F.broadcast(totals), F.col("_range") == F.col("_r"))  # as many rows as ranges
+    return met.withColumns({out: F.col(out) + F.col(f"__{c}") for c, out in sums.items()}).drop("_range", "_r", *[f"__{c}" for c in sums])
+
+
+def source_targets(sizes: DataFrame, share: float, most: int, weight, rows: int) -> DataFrame:
+    """sizes(source, size), a row a source -> source, source_size, weight, target, before (the sizes of sources before it), budget.
+
+    Water-filling: in the order of size by weight, sources are full (`most` times their size) until the rest of the budget, dealt by weight
+    among those that are left, fills no more.
+    """
+    named = running(sizes.withColumn("one", F.lit(1).cast("long")), ["source"], {"one": "place", "size": "upto"}, rows)
+    named = named.select("source", F.col("size").alias("source_size"), (F.col("upto") - F.col("size")).alias("before"), weight(F.col("place")).alias("weight"))
+    named = materialize(named.withColumns({"full": most * F.col("source_size"), "level": most * F.col("source_size") / F.col("weight")}), "sources")
+    whole = named.agg((F.lit(share) * F.sum("source_size")).cast("long").alias("budget"), F.sum("weight").alias("_all"))  # one row
+    filled = running(named, ["level", "source"], {"full": "_full", "weight": "_weight"}, rows).crossJoin(F.broadcast(whole))
+    rest, left = F.col("budget") - (F.col("_full") - F.col("full")), F.col("_all") - (F.col("_weight") - F.col("weight"))
+    filled = materialize(filled.withColumns({"_rest": rest.cast("double"), "_left": left}), "filled")
+    open_ = filled.filter(F.col("_rest") * F.col("weight") / F.col("_left") <= F.col("full"))
+    cut = open_.agg(F.min(F.struct("level", F.col("source").isNull().alias("_n"), "source", "_rest", "_left")).alias("c"))  # one row
+    met = filled.drop("_rest", "_left").crossJoin(F.broadcast(cut))
+    last = F.col("source").isNull()
+    is_full = F.col("c").isNull() | (F.struct("level", last.alias("_n"), "source") < F.struct("c.level", "c._n", "c.source"))
+    target = F.when(is_full, F.col("full").cast("double")).otherwise(F.col("c._rest") * F.col("weight") / F.col("c._left"))
+    return met.select("source", "source_size", "weight", target.alias("target"), "before", "budget")
+
+
+def mix(docs: DataFrame, size: Column, weight=cyclic_weight, share: float = 1.0, max_repeats: int = 3, key: str = "mix", carry: bool = False) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+
+    docs needs doc_id and source; size gives a document's words; weight turns a source's place into its weight; the budget is
+    `share` of all words. With `carry` the document's own columns come along as the struct `row`: doc_id need not tell rows apart.
     """
-    spark = docs.sparkSession
     row = [F.struct(*docs.columns).alias("row")] if carry else []
-    base = docs.select("doc_id", "source", size.alias("size"), *row).withColumn("lot", F.md5(F.concat_ws(":", F.lit(key), F.col("doc_id").cast("string"))))
-    base = materialize(base.withColumn("uid", F.monotonically_increasing_id()), "mix")  # read four times, and uid must not change
-    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    # One row a source: sources are a stated, small set of names. A longer list than this has to be grouped first.
-    if len(totals) > 100_000:
-        raise ValueError(f"{len(totals)} sources; the table of their targets is broadcast")
-    totals = sorted(totals, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    w = weights([r["source"] for r in totals])
-    budget = int(share * sum(r["size"] for r in totals))
-    targets = water_fill([r["size"] for r in totals], w, budget, max_repeats)
-    rows = [(r["source"], int(r["size"]), float(w[i]), float(targets[i])) for i, r in enumerate(totals)]
-    info = spark.createDataFrame(rows, "_source string, source_size long, weight double, target double")
-    n = sum(r["n"] for r in totals)
-    slots = max(1, -(-n // CELL_ROWS))
-    base = base.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    base = base.withColumn("slot", (F.conv(F.substring("lot", 1, 7), 16, 10).cast("long") * slots / F.lit(16**7)).cast("int"))
-
-    cells = base.groupBy("source", "slot").agg(F.sum("size").alias("cell"))
-    before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("cell").over(before), F.lit(0))).select(F.col("source").alias("_s"), F.col("slot").alias("_slot"), "_before")
-    queued = base.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_slot"))).drop("_s", "_slot")
-    inside = Window.partitionBy("source", "slot").orderBy("lot", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    queued = queued.withColumn("upto", F.col("_before") + F.sum("size").over(inside))
-
-    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    copies = copies.withColumn("finish", (F.col("upto") + F.col("copy") * F.col("source_size")).cast("double") / F.col("weight")).filter("size > 0")
-    # The cut lies near the highest of target / weight: the ranges of finish time are laid up to the last finish.
-    last = max([max_repeats * r["size"] / w[i] for i, r in enumerate(totals)] or [0.0]) or 1.0
-    level = max([targets[i] / w[i] for i in range(len(totals))] or [0.0]) or 1.0
-    widest = min(last, 2 * level)
-    spans = max(1, -(-n * max_repeats // CELL_ROWS))
-    copies = copies.withColumn("span", F.least(F.floor(F.col("finish") * spans / F.lit(widest)), F.lit(spans)).cast("int"))
-    per = copies.groupBy("span").agg(F.sum("size").alias("_sum"))
-    below = [(r["span"], r["_sum"]) for r in sorted(per.collect(), key=lambda r: r["span"])]  # one number a range
-    run, offsets = 0, []
-    for span, total in below:
-        if run < budget:
-            offsets.append((int(span), int(run)))
-        run += total
-    offset = spark.createDataFrame(offsets, "_span int, _below long")
-    ordered = copies.join(F.broadcast(offset) if len(offsets) < 100_000 else offset, F.col("span") == F.col("_span"))
-    inside = Window.partitionBy("span").orderBy("finish", "lot", "doc_id", "size", "uid", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ordered.withColumn("_at", F.col("_below") + F.sum("size").over(inside)).filter(F.col("_at") <= budget)
-    taken = kept.groupBy(F.col("uid").alias("_d")).agg(F.sum("size").alias("_taken"))
-    out = base.join(taken, F.col("uid") == F.col("_d"), "left")
+    kinds = dict(docs.dtypes)
+    tie = F.xxhash64(*[F.col(c) for c in docs.columns if not kinds[c].startswith(("map", "variant"))])
+    base = docs.select("doc_id", "source", size.alias("size"), tie.alias("tie"), *row).withColumn("lot", F.md5(F.concat_ws(":", F.lit(key), F.col("doc_id").cast("string"))))
+    base = materialize(base.withColumn("uid", F.monotonically_increasing_id()), "mix")  # read several times, and uid must not change
+    n = base.count()
+    sizes = materialize(base.groupBy("source").agg(F.sum("size").alias("size")), "sizes")
+    info = materialize(source_targets(sizes, share, max_repeats, weight, sizes.count()), "targets")
+    meta = info.withColumnRenamed("source", "_source")
+
+    queued = running(base.filter("size > 0").drop("row"), ["source", "lot", "doc_id", "size", "tie", "uid"], {"size": "upto"}, n)
+    queued = queued.join(meta, F.col("source").eqNullSafe(F.col("_source")))
+    copies = queued.select("uid", "lot", "doc_id", "size", "tie", "weight", "budget", "source_size", (F.col("upto") - F.col("before")).alias("upto"), F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy"))
+    copies = copies.select("uid", "lot", "doc_id", "size", "tie", "copy", "budget", ((F.col("upto") + F.col("copy") * F.col("source_size")).cast("double") / F.col("weight")).alias("finish"))
+    reached = running(copies, ["finish", "lot", "doc_id", "size", "tie", "uid", "copy"], {"size": "at"}, n * max_repeats)
+    taken = reached.filter("at <= budget").groupBy(F.col("uid").alias("_d")).agg(F.sum("size").alias("_taken"))
+    out = base.join(meta, F.col("source").eqNullSafe(F.col("_source"))).join(taken, F.col("uid") == F.col("_d"), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
 
 

@@ -1,10 +1,12 @@
 """URL filter: a broadcast trie over reversed host labels, then path segments; the longest rule wins.
 
-Rules are (verdict, host, path). A rule fits its host and every subdomain, if the URL's path starts with the
+Rules are (verdict, host, path), a list or a DataFrame. At most TRIE_RULES of them are broadcast as a trie; more are met by shuffle:
+URLs under each suffix of their host with that host's path lengths, then with the rules themselves. A rule fits its host and every subdomain, if the URL's path starts with the
 rule's path (which may end inside a segment). Among the rules that fit, the one with more host labels wins, then
 the one with the longer path; equal rules with both verdicts resolve to block. Defined cases: a null URL, or one
 without "://", has empty host and path and fits no rule unless the rule's host is empty too; a URL that fits no
-rule gets `default`. Repeated rows are judged alike; other columns pass through; clashing names are replaced.
+rule gets `default`; null verdicts, hosts or paths in rules: such a rule is left out. Repeated rows are judged alike; an empty table gives
+no rows; other columns pass through; columns named host, path, rule and verdict are replaced.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The trie travels with every task: a list longer than this must be split or joined instead.
-MAX_RULES = 1_000_000
+from quillspark.llm.common import unused
+
+#: The trie travels with every task, at a few hundred bytes a rule: more rules than this are joined instead.
+TRIE_RULES = 100_000
 #: The contract's rules.
 CONTRACT_RULES = [
     ("block", "com", "/en/"),
@@ -42,9 +46,6 @@ class RuleTrie:
     """
 
     def __init__(self, rules):
-        rules = list(rules)
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; the trie is broadcast and holds at most {MAX_RULES}")
         self.root: list = [{}, None]
         for verdict, host, path in rules:
             node = self.root
@@ -82,8 +83,18 @@ class RuleTrie:
         return None
 
 
-def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow") -> DataFrame:
-    """df with host, path, rule (null if none fits) and verdict."""
+def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow", most: int = TRIE_RULES) -> DataFrame:
+    """df with host, path, rule (null if none fits) and verdict; more than `most` rules are joined, not broadcast."""
+    out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    if isinstance(rules, DataFrame):
+        table = rules.select("verdict", "host", "path").na.drop()
+        first = table.limit(most + 1).collect()  # bounded by `most`
+        if len(first) > most:
+            return _joined(out, table, default)
+        rules = [tuple(r) for r in first]
+    rules = [r for r in rules if None not in r]
+    if len(rules) > most:
+        return _joined(out, df.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), default)
     trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     @F.pandas_udf("verdict string, rule string")
@@ -92,9 +103,26 @@ def judge_urls(df: DataFrame, rules, url: str = "url", default: str = "allow") -
         found = [find(h, p) or (default, None) for h, p in zip(host, path)]
         return pd.DataFrame(found, columns=["verdict", "rule"], dtype=object)
 
-    out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumn("_found", look("host", "path"))
-    return out.withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    at = unused(out, "_found")
+    out = out.withColumn(at, look("host", "path"))
+    return out.withColumns({"rule": F.col(at)["rule"], "verdict": F.col(at)["verdict"]}).drop(at)
+
+
+def _joined(out: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same by joins on distinct (host, path): no rule list is held in one place, and Spark can split a frequent host."""
+    one = rules.groupBy(F.col("host").alias("rhost"), F.col("path").alias("rpath")).agg(F.max("verdict").alias("verdict"))  # block over allow
+    lengths = one.groupBy("rhost").agg(F.sort_array(F.collect_set(F.char_length("rpath"))).alias("lengths"))  # at most as many as a path is long
+    urls = out.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(labels, -k, k), ".").alias("rhost")))
+    suffixes = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("rhost"))), F.when(F.col("host") == "", F.array().cast("array<struct<n:int,rhost:string>>")).otherwise(suffixes))
+    near = urls.select("host", "path", F.explode(suffixes).alias("s")).select("host", "path", "s.*").join(lengths, "rhost")
+    fits = F.filter("lengths", lambda k: k <= F.char_length("path"))
+    tried = near.select("host", "path", "n", "rhost", F.explode(fits).alias("k")).withColumn("rpath", F.expr("substring(path, 1, k)"))
+    best = tried.join(one, ["rhost", "rpath"]).groupBy("host", "path").agg(F.max(F.struct("n", "k", "verdict", F.concat("rhost", "rpath").alias("rule"))).alias("b"))
+    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("b.verdict").alias("_v"), F.col("b.rule").alias("_r"))
+    met = out.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    return met.withColumns({"rule": F.col("_r"), "verdict": F.coalesce("_v", F.lit(default))}).drop("_h", "_p", "_v", "_r")
 
 
 def op6_urlfilter(spark, sf_dir: str) -> DataFrame:
