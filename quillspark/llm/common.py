@@ -35,6 +35,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys with more rows than this, and than a thousandth of all rows, are joined by broadcast: there are a thousand at most.
+FREQUENT_ROWS = 2000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: int) -> DataFrame:
+    """left joined with right, a row a key, on `key`; right's column _n says how many of about `rows` rows of left have the key.
+
+    Frequent keys, of which there are few, are broadcast, so that no task gets all rows of one; the others are shuffled.
+    """
+    most = max(FREQUENT_ROWS, rows // 1000)
+    frequent = F.broadcast(right.filter(F.col("_n") > most).drop("_n"))
+    keys = [key] if isinstance(key, str) else key
+    rest = left.join(F.broadcast(right.filter(F.col("_n") > most).select(*keys)), keys, "left_anti")
+    return left.join(frequent, keys).unionByName(rest.join(right.filter(F.col("_n") <= most).drop("_n"), keys))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on uint64: multiply and xor-shift, twice."""
     x = x.astype(U64, copy=True)

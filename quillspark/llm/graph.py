@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (id, comp): every node that has an edge, and the smallest id it can reach.
 
     Each round a node takes the smallest label among its neighbours and follows its label's own label (pointer
     jumping), so long chains halve. Minimum and join by node pre-aggregate and split; hubs need no single task.
-    Self-loops and repeated edges are allowed; an empty table has no components.
+    Labels only fall, so the rounds end when none moves. Self-loops and repeated edges are allowed; an empty table has no components.
     """
     both = edges.select(F.col("u").alias("id"), F.col("v").alias("to")).union(edges.select(F.col("v").alias("id"), F.col("u").alias("to"))).filter("id <> to").distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("l")), "to").groupBy("id").agg(F.min("l").alias("l"))
         # hook: a node's label takes the smallest label seen by any node that carries it
         seen = labels.join(near, "id").select("id", "comp", F.least("comp", "l").alias("low"))
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = step.join(jump, F.col("comp") == F.col("_j"), "left").select("id", "old", F.least("comp", F.coalesce("_h", "comp")).alias("comp"))
         new = materialize(step, "labels")
         moved = new.filter("old <> comp").limit(1).count()
-        labels = new.select("id", "comp")
+        discard(labels)
+        labels = new
         if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+            discard(both)
+            return labels.select("id", "comp")

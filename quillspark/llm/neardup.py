@@ -3,18 +3,23 @@
 Sketch: every permutation gives two signature values, the set's smallest and largest hash, so 60 hash evaluations a
 shingle fill 120 values: 24 bands of 5. A pair at similarity 0.85 is in no common band with probability under 1e-6.
 
-Links: documents with equal sets collapse to one representative first. A bucket of at most BLOCK members is resolved in one
-task, which compares full sets and returns a spanning forest of the links; buckets with the same members are resolved once.
-In a larger bucket the member with the most bucket mates is the centre, and only (centre, member) pairs are confirmed. That
-loses nothing: if x is not linked to the centre c, a document y can be linked to x only if x and y share a shingle outside c,
-or y is smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too small). So what is
-not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size). These groups
-are small, or are split in the same way once more; what is large still is cut into blocks, and every two blocks are resolved
-in a task of their own. Hot buckets are aggregated before they are shuffled, joins on them are split, and a centre's members are confirmed in blocks of bounded size.
-
-Defined cases: null or empty text, or text without words: an empty set, linked with nothing; fewer than five words: the
-whole sequence is the one shingle; rows of one doc_id are one document; a null doc_id is linked with nothing; other columns are
-ignored; whole texts are hashed.
+Links: texts with equal sets (one 128-bit digest) are one node of the graph, however many rows hold it. A bucket of at most BLOCK
+nodes and WEIGHT shingles is resolved in one task, which compares full sets and returns a spanning forest of the links; buckets with
+the same members are resolved once. In a larger bucket the member with the most bucket mates is the centre, and only (centre,
+member) pairs are confirmed. That loses nothing: if x is not linked to the centre c, a document y can be linked to x only if x and y
+share a shingle outside c, or y is smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too
+small). So what is not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size).
+About BLOCK members outside a large group's main component are compared with all members of other components: where that is all of
+them the group is settled, as a link that matters has an end among them. Groups get smaller with every level by these and by
+their centre, and levels go on until none is large. Hot buckets are aggregated before they are shuffled, joins on them are split, and
+a centre's members are confirmed in blocks of bounded size.
+
+Rows are told apart by themselves, not by doc_id: a text links with others as its own words say, whatever other rows have its doc_id.
+
+Defined cases: null or empty text, or text without words: an empty set, linked with nothing; fewer than five words: the whole sequence is the
+one shingle; repeated rows are one node, each row comes back; rows of one doc_id with different texts are nodes of their own; a null
+doc_id is linked like others, but is no component's id unless the component has no other; an empty table gives no rows; other
+columns are ignored; whole texts are hashed.
 """
 
 from __future__ import annotations
@@ -23,16 +28,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import POLY, U64, SpanHash, materialize, mix64, slices, spread, utf8_column
+from quillspark.llm.common import POLY, U64, SpanHash, discard, materialize, mix64, skew_join, slices, spread, utf8_column
 from quillspark.llm.graph import components
 
 SHINGLE, HASHES, ROWS = 5, 60, 5
 BANDS = 2 * HASHES // ROWS
-#: Members of a centre that are confirmed in one block.
-BLOCK = 256
+#: Nodes that are resolved, or members of a centre that are confirmed, in one block; and their shingles together.
+BLOCK, WEIGHT = 256, 1 << 21
 PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -93,32 +99,27 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+SKETCH = "uid long, doc_id long, t long, n long, h1 long, h2 long, bands array<long>, z binary"
+
+
 def _sketch(batches):
+    """Rows (doc_id, t, text): a number of the row's own, the set's size, digest and bands, and the text as zstd bytes."""
+    import zstandard
+
+    z, uid = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 40
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
     for b in batches:
-        ids, out = b.column(0), []
-        data, offsets = utf8_column(b.column(1))
-        for s in shingle_sets(data, offsets):
+        out = []
+        data, offsets = utf8_column(b.column(2))
+        for doc_id, t, a, e, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), offsets[:-1], offsets[1:], shingle_sets(data, offsets)):
             if len(s):
                 h = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                out.append((len(s), int(h[0]), int(h[1]), band_keys(min_max_signature(s))))
+                out.append((uid, doc_id, t, len(s), int(h[0]), int(h[1]), band_keys(min_max_signature(s)), z.compress(data[a:e].tobytes())))
             else:
-                out.append((0, 0, 0, None))
+                out.append((uid, doc_id, t, 0, 0, 0, None, None))
+            uid += 1
         if out:
-            n, h1, h2, bands = zip(*out)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "bands"])
-
-
-def _packed(column: str) -> Column:
-    """Text as zstd bytes: what travels with pairs is a third of its size."""
-
-    @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        return pa.array([z.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in texts], pa.binary())
-
-    return run(F.col(column))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], [x.split()[0] for x in SKETCH.split(", ")])
 
 
 def _confirm(batches):
@@ -218,18 +219,20 @@ def resolve_groups(keyed: DataFrame, texts: DataFrame, percent: int) -> DataFram
 
 
 def _sort_out(keyed: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, x) of groups of 2 to BLOCK members, one of those with the same members; and (key, x) of larger ones.
+    """(key, x) of groups of 2 to BLOCK members, one of those with the same members; and (key, x, n) of larger ones.
 
-    stats(key, n, sig, lo, hi): members' number, exclusive or of hashes, smallest and largest.
+    stats(key, n, w, sig, lo, hi): the members' number, their shingles, exclusive or, least and greatest of their hashes.
     """
     stats = materialize(stats.filter("n > 1"), "groups")
-    small = stats.filter(F.col("n") <= BLOCK).groupBy("n", "sig", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    large = stats.filter(F.col("n") > BLOCK).select("key", "n")
+    fits = (F.col("n") <= BLOCK) & ((F.col("w") <= WEIGHT) | (F.col("n") == 2))
+    small = stats.filter(fits).groupBy("n", "sig", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    large = stats.filter(~fits).select("key", "n")
     return keyed.join(small, "key", "left_semi").select("key", "x"), keyed.join(large, "key").select("key", "x", "n")
 
 
 def _stats(keyed: DataFrame, *more) -> DataFrame:
-    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("sig"), F.min("x").alias("lo"), F.max("x").alias("hi"), *more)
+    h = F.xxhash64("x")
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.bit_xor(h).alias("sig"), F.min(h).alias("lo"), F.max(h).alias("hi"), *more)
 
 
 def _stars(large: DataFrame) -> DataFrame:
@@ -240,51 +243,80 @@ def _stars(large: DataFrame) -> DataFrame:
     return large.select("key", "x").join(top, "key").filter("c <> x").select("c", "x").distinct()
 
 
-def _block_pairs(large: DataFrame) -> DataFrame:
-    """large(key, x, n) -> (key, x): a group for every two of its blocks of about half of BLOCK members."""
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    cut = large.withColumns({"_b": blocks, "_i": F.pmod(F.xxhash64("x"), blocks).cast("int")})
-    each = cut.select("key", "x", "_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j"))
-    return each.select(F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("key"), "x")
+def _settle_some(large: DataFrame, labels: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """large(key, x, n) -> pairs (c, x), and the groups that comparing these does not settle, without the members that it does.
+
+    Of groups with at most BLOCK members outside their main component these are compared with the members of other components. Of all others
+    a share of the nodes is, the same nodes in every group, so that these need no further look: about BLOCK outsiders a group.
+    """
+    near = large.join(labels.select(F.col("id").alias("x"), "comp"), "x", "left").select("key", "x", "n", F.coalesce("comp", "x").alias("comp"))
+    near = materialize(near, "near")
+    sizes = near.groupBy("key", "comp").agg(F.count("*").alias("s")).groupBy("key").agg(F.max(F.struct("s", "comp")).alias("b"), F.sum("s").alias("all"))
+    sizes = materialize(sizes.select("key", F.col("b.comp").alias("main"), (F.col("all") - F.col("b.s")).alias("others")).filter("others > 0"), "sizes")
+    most = sizes.agg(F.max("others")).first()[0] or 0
+    chosen = F.pmod(F.xxhash64(F.lit(level), "x"), F.lit(max(1, -(-most // BLOCK)))) == 0
+    picked = F.when(F.col("others") <= BLOCK, F.col("comp") != F.col("main")).otherwise(chosen)
+    near = materialize(near.join(sizes, "key").select("key", "x", "n", "comp", "others", picked.alias("picked")), "near")
+    ends = near.filter("picked").select("key", F.col("x").alias("c"), F.col("comp").alias("comp_c"))
+    pairs = near.join(ends, "key").filter((F.col("comp") != F.col("comp_c")) & (~F.col("picked") | (F.col("c") < F.col("x"))))
+    return pairs.select("c", "x").distinct(), near.filter((F.col("others") > BLOCK) & ~F.col("picked")).select("key", "x", "n")
 
 
 def _none(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, levels: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> per row: doc_id, n_shingles, component_id, kept. A link: 100 * |a & b| >= percent * |a | b|."""
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs(doc_id, text) -> per row: doc_id, n_shingles, component_id, kept; t (the text's xxhash64) and first (see below).
+
+    A link: 100 * |a & b| >= percent * |a | b|. `first` marks the row of each component with the least (doc_id, t), null ids last:
+    one row, and those equal to it, also where doc_id does not tell rows apart.
+    """
     if percent < 85:
         raise ValueError("the bands are laid out for similarities of 0.85 and more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
-    whole = sketch.filter("n > 0 and doc_id is not null")
-    classes = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(whole.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
-    reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    bands = whole.select("doc_id", "bands").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = bands.select(F.explode("bands").alias("key"), F.col("doc_id").alias("x"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    sketch = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    low = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    nodes = sketch.filter("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.min(low).alias("low"))
+    nodes = materialize(nodes.withColumn("x", F.monotonically_increasing_id()), "nodes")
+    bands = sketch.select("uid", "bands").join(nodes.select("uid", "x", "n"), "uid")
+    keyed = materialize(bands.select(F.explode("bands").alias("key"), "x", F.col("n").alias("w")), "keyed")
     small, large = _sort_out(keyed, _stats(keyed))
     small, large = materialize(small, "small"), materialize(large, "large")
-    wanted = small.select(F.col("x").alias("doc_id")).union(large.select(F.col("x").alias("doc_id"))).distinct()
-    packed = docs.filter("doc_id is not null").select("doc_id", _packed("text").alias("z"))
-    texts = materialize(packed.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = materialize(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).union(resolve_groups(small, texts, percent)), "links")
-    for _ in range(levels):
-        if _none(large):
-            break
-        seen = materialize(confirm_pairs(_stars(large), texts).withColumn("linked", _linked(percent)), "seen")
-        links = materialize(links.union(seen.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))), "links")
-        small, large, sized = _residual(seen, components(links), percent)
-        large = materialize(large, "large")
-        sized = confirm_pairs(sized, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
-        links = materialize(links.union(resolve_groups(small, texts, percent)).union(sized), "links")
-    if not _none(large):
-        links = links.union(resolve_groups(_block_pairs(large), texts, percent))
-    final = components(links)
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    wanted = small.select("x").union(large.select("x")).distinct().join(nodes.select("x", "uid"), "x")
+    texts = materialize(sketch.select("uid", "z").join(wanted, "uid").select(F.col("x").alias("doc_id"), "z"), "texts")
+    discard(keyed)
+    links = materialize(resolve_groups(small, texts, percent), "links")
+    level = 0
+    while not _none(large):
+        level += 1
+        some, rest = _settle_some(large, components(links), level)
+        seen = materialize(confirm_pairs(_stars(rest), texts).withColumn("linked", _linked(percent)), "seen")
+        stars = seen.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
+        found = confirm_pairs(some, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
+        more = materialize(links.union(stars).union(found), "links")
+        discard(links)
+        links, rest = more, large.limit(0)
+        if not _none(seen):
+            small, rest, sized = _residual(seen, components(more), percent)
+            rest = materialize(rest, "large")
+            sized = confirm_pairs(sized, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
+            links = materialize(more.union(resolve_groups(small, texts, percent)).union(sized), "links")
+            discard(more)
+        discard(seen)
+        large = rest
+    labels = components(links)
+    n = nodes.count()
+    linked = materialize(nodes.join(labels, F.col("x") == F.col("id")).select("x", "comp", "low"), "linked")
+    lows = linked.groupBy("comp").agg(F.min("low").alias("least"), F.count("*").alias("_n"))
+    least = skew_join(linked.select("x", "comp"), materialize(lows, "lows"), "comp", n).select("x", "least")
+    info = nodes.join(least, "x", "left").select("h1", "h2", F.coalesce("least", "low").alias("least"), F.col("m").alias("_n"))
+    rows = sketch.filter("n > 0").select("doc_id", "t", F.col("n").alias("n_shingles"), "h1", "h2")
+    out = skew_join(rows, materialize(info, "info"), ["h1", "h2"], n).drop("h1", "h2")
+    first = F.col("doc_id").eqNullSafe(F.col("least.id")) & F.col("t").eqNullSafe(F.col("least.t"))
+    out = out.select("doc_id", "n_shingles", F.col("least.id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least.id")).alias("kept"), "t", first.alias("first"))
+    alone = sketch.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "t", F.lit(True).alias("first"))
+    return out.unionByName(alone)
 
 
 def _linked(percent: int) -> Column:
@@ -300,9 +332,9 @@ def _residual(seen: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFram
     with_comp = with_comp.join(own, "c", "left").withColumn("comp_c", F.coalesce("comp_c", "c"))
     open_c = with_comp.filter("not linked and comp <> comp_c").select("c").distinct()
     live = materialize(with_comp.join(open_c, "c", "left_semi").select("c", "x", "n_x", "both", "linked", "comp", "outside"), "live")
-    parts = live.select("c", F.explode("outside").alias("a"), "x", "linked", "comp").select(F.xxhash64("c", "a").alias("key"), "x", "linked", "comp")
+    parts = live.select("c", F.explode("outside").alias("a"), "x", "linked", "comp", "n_x").select(F.xxhash64("c", "a").alias("key"), "x", "linked", "comp", F.col("n_x").alias("w"))
     stats = _stats(parts, F.min("linked").alias("all"), F.min("comp").alias("one"), F.max("comp").alias("other")).filter("not all and one <> other")
-    small, large = _sort_out(parts, stats.select("key", "n", "sig", "lo", "hi"))
+    small, large = _sort_out(parts, stats.select("key", "n", "w", "sig", "lo", "hi"))
     t = percent / 100
     bound = F.floor(F.col("both") * F.lit((1 + t) / t) - F.col("n_x") + F.lit(1e-6)).cast("long")
     grey = live.filter("not linked").withColumn("_b", bound).withColumn("_a", F.ceil(F.col("n_x") * F.lit(t) - F.lit(1e-6)).cast("long")).filter("_b >= _a")
@@ -312,4 +344,5 @@ def _residual(seen: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFram
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

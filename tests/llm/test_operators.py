@@ -128,8 +128,8 @@ def test_surrogates():
     text = "Mail Anna.Lee@x.org or anna.lee@x.org, call +1 (477) 555-4197, 10.0.0.1, card 4111 1111 1111 1111, Mrs Mary Smith, hash b44e15e09fd311c3cf3163b66d5a9875b883d8ce, DE89 3704 0044 0532 0130 00, 123-45-6789."
     new, spans = pii.redact(text, s)
     assert [k for k, *_ in spans] == ["email", "email", "phone", "ipv4", "card", "person", "secret", "iban", "ssn"]
-    assert all(text[a:b] not in new for _, a, b, _ in spans)
-    by = [v for *_, v in spans]
+    assert all(text[a:b] not in new for _, a, b, *_ in spans)
+    by = [v for *_, v, _ in spans]
     assert by[0].lower() == by[1].lower() and by[0].endswith(".org") and by[2].startswith("+1 (") and len(by[2]) == 17
     card = re.sub(r"\D", "", by[4])
     assert pii._luhn(card[:-1]) == int(card[-1]) and by[5].startswith("Mrs ") and by[5].split()[1] in pii.FEMALE
@@ -138,9 +138,12 @@ def test_surrogates():
 
 def test_surrogates_are_distinct():
     s = pii.Surrogates("k")
-    assert len({s.replace("ssn", f"123-45-{k:04d}") for k in range(3000)}) == 3000
+    assert len({s.replace("ssn", f"123-45-{k:04d}")[0] for k in range(3000)}) == 3000
     assert sorted(s.permute("x", k, 97) for k in range(97)) == list(range(97)) and all(s.permute("x", k, 97) != k for k in range(97))
-    assert len({s.replace("person", f"{a} Miller") for a in pii.MALE}) == len(pii.MALE)
+    assert len({s.replace("person", f"{a} Miller")[0] for a in pii.MALE}) == len(pii.MALE)
+    short = {a.upper() + b + c for a in "aeiou" for b in pii.CONSONANTS for c in "aeiou"} | set(pii.FEMALE + pii.MALE)
+    assert len({s.replace("person", f"Mrs {w}")[0] for w in short}) == len(short)  # listed and unlisted names never meet
+    assert s._name(s._name("eva", 1), -1) == "eva" and s._ipv6(s._ipv6("2001:db8:0:0:0:8a2e:370:7334", 1), -1) == "2001:db8:0:0:0:8a2e:370:7334"
     assert s.shape("n", "Ørsted") != "Ørsted" and re.fullmatch("[А-Я][а-я]{4}", s.shape("n", "Павел"))
 
 
@@ -151,7 +154,7 @@ def test_pii_rows(spark, edges):
     assert got[1]["text"] is None and got[1]["entities"] == [] and got[2]["text"] == ""
     a, b, c = got[9]["text"].split()
     assert a == b != c
-    assert pii.collisions(df.filter("doc_id = 9"), out.filter("doc_id = 9")).count() == 0
+    assert pii.collisions(out).count() == 0
 
 
 def test_warc(spark, tmp_path):
@@ -178,8 +181,13 @@ def test_url_trie(spark):
     urls = ["http://A.com/x/y", "http://b.a.com/x/yz1", "http://ca.com/x", "http://a.com/q", "http://a.org/", None, "nothing", "x://com?"]
     got = urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
     assert [(r["verdict"], r["rule"]) for r in got] == [("allow", "a.com/x"), ("block", "a.com/x/yz"), ("block", "com/"), ("block", "a.com/q"), ("allow", None), ("allow", None), ("allow", None), ("allow", None)]
-    with pytest.raises(ValueError):
-        urlfilter.RuleTrie((("block", "a", "/") for _ in range(urlfilter.MAX_RULES + 1)))
+    pages = spark.createDataFrame([*enumerate(urls), (3, "http://x.b.a.com:8/x/yz?q"), (9, "://"), (10, "ftp://../x")], "page_id long, url string").withColumns({"host": F.lit("x"), "_found": F.lit(1), "rule": F.lit(None)})
+    rules += [("block", "", "/x"), (None, "a.org", "/"), ("allow", "com", ""), ("block", "b.a.com", "/x/yz1")]
+    seen = ["page_id", "url", "host", "path", "_found", "rule", "verdict"]
+    table = spark.createDataFrame(rules * 2, "verdict string, host string, path string")
+    trie, joined = (urlfilter.judge_urls(pages, table, most=m).select(*seen) for m in (100, 2))
+    assert rows(trie.toPandas()) == rows(joined.toPandas()) and trie.filter("rule is null").count() < trie.count() == 11
+    assert urlfilter.judge_urls(pages.limit(0), rules).count() == urlfilter.judge_urls(pages.limit(0), rules, most=1).count() == 0
 
 
 def classes(docs):
@@ -207,13 +215,23 @@ def test_near_duplicates(spark, table):
 
 
 def test_near_duplicates_edges(spark, edges):
-    got = [tuple(r) for r in neardup.near_duplicates(edges).collect()]
+    got = neardup.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
-    by = {r[0]: r for r in got}
-    assert by[1] == (1, 0, 1, True) and by[3] == (3, 0, 3, True) and by[5] == (5, 8, 4, False) and by[None][2] is None and by[None][3]
+    by = {r[0]: tuple(r)[:4] for r in got}
+    assert by[1] == (1, 0, 1, True) and by[3] == (3, 0, 3, True) and by[5] == (5, 8, 4, False) and by[None] == (None, 8, 4, False)
+    assert [r["first"] for r in got if r["doc_id"] == 4] == [True, True] and not any(r["first"] for r in got if r["doc_id"] in (5, None))
     assert neardup.near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A third id that is repeated with the texts of two others does not tie these together; null ids are linked by their texts."""
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = [(1, one), (2, two), (3, one), (3, two), (None, one), (None, "c d e f g h"), (None, "c d e f g h"), (None, None)]
+    got = [(r["doc_id"], r["component_id"], r["first"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(got, key=key) == sorted([(1, 1, True), (2, 2, True), (3, 1, False), (3, 2, False), (None, 1, False), (None, None, True), (None, None, True), (None, None, True)], key=key)
+
+
 def test_large_group_is_resolved(spark, monkeypatch):
     """Hundreds of variants of one text, none of them kept out by the hub: levels beyond the first are used."""
     rng = np.random.default_rng(3)
@@ -257,10 +275,13 @@ def test_decontamination_edges(spark):
     assert decontam.PhraseIndex(d, b.limit(0)).report().filter("contaminated").count() == 0
 
 
-def test_mixing_targets():
-    assert mixing.water_fill([100, 100, 100], [1, 2, 3], 300, 3) == [50, 100, 150]
-    assert mixing.water_fill([10, 1000, 10], [1, 1, 1], 1020, 3) == [30.0, 960.0, 30.0]
-    assert mixing.water_fill([0, 0], [1, 2], 0, 3) == [0, 0]
+def test_mixing_targets(spark):
+    one = lambda place: F.lit(1.0)
+    for sizes, weight, want in (([100, 100, 100], mixing.cyclic_weight, [50, 100, 150]), ([10, 1000, 10], one, [30, 960, 30]), ([0, 0], mixing.cyclic_weight, [0, 0]), ([], one, [])):
+        df = spark.createDataFrame([(chr(65 + k) if k else None, n) for k, n in enumerate(sizes)][::-1], "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df, 1.0, 3, weight, len(sizes)).collect()}
+        want = dict(zip([chr(65 + k) for k in range(1, len(sizes))] + [None], want)) if weight is mixing.cyclic_weight else dict(zip([None, "B", "C"], want))
+        assert got == want if sizes else got == {}
 
 
 def test_mixing_edges(spark, edges):
