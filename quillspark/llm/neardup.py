@@ -319,6 +319,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.unionByName(alone)
 
 
+def has_words(text: Column) -> Column:
+    """Whether the text has a shingle at all."""
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def _linked(percent: int) -> Column:
     return F.expr(f"100 * both >= {percent} * (n_c + n_x - both)")
 

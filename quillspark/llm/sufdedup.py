@@ -180,8 +180,8 @@ def _batch(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
 
 
-def _tally(near, floor: int):
-    """(hash, n), n at least `floor`: the different contexts of a pack's anchors; given `near`, places of all strings around these."""
+def _tally(near):
+    """(hash, n), n over 1: the different contexts of a pack's anchors; given `near`, the places of all strings around these."""
 
     def run(batches):
         for _, texts in _texts(batches):
@@ -202,7 +202,7 @@ def _tally(near, floor: int):
                 at = np.unique((at[:, None] + np.arange(-SERVED, SERVED + 1)).ravel())
                 found = a.every[at[(at >= 0) & (at < len(a.every))]]
             h, n = np.unique(found, return_counts=True)
-            h, n = h[n >= floor], n[n >= floor]
+            h, n = h[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return run
@@ -214,10 +214,9 @@ def frequent_strings(packs: DataFrame, n_packs: int) -> np.ndarray:
     share = max(1, n_packs // wanted)
     sample = packs.filter(F.pmod(F.xxhash64("pack"), F.lit(share)) == 0)
     least = max(3, FREQUENT // share)
-    floor = max(1, least // (4 * wanted))  # what is rarer in a pack adds little to a frequent string's sum
 
     def often(near):
-        counts = sample.mapInArrow(_tally(near, floor), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        counts = sample.mapInArrow(_tally(near), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64).view(U64))
 
     first = often(None)
