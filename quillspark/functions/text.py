@@ -23,8 +23,6 @@ STOP_WORDS = (
 GRAM_PUNCTUATION = "，。！？、；：\"'（）【】《》·—… \t\r\n#>*|_-[]()`"
 # Spoken fillers, in the order they are removed.
 FILLERS = ["嗯+", "啊+", "呃+", "哦+", "好[的吧]?", "那么", "这个这个", "那个那个", "就是说", "就是", "对吧", "你知道吧", "这样一来", "我们来看一下"]
-# Bracket and radical pieces of the symbol font that stand for whole characters.
-SYMBOL_AREA = range(0xF020, 0xF100)
 
 
 def let(value: Column, f) -> Column:
@@ -81,12 +79,16 @@ def gram_text(c: Column) -> Column:
 
 
 def shingles(c: Column, n: int = 4) -> Column:
-    """The distinct n-grams of the text without punctuation; a shorter text is its own; empty text has none."""
-    def cut(t):
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
-        return F.when(F.char_length(t) == 0, F.array().cast("array<string>")).when(F.char_length(t) < n, F.array(t)).otherwise(many)
+    """The distinct n-grams of the text without punctuation; a shorter text is its own; empty text has none.
 
-    return let(gram_text(c), cut)
+    The text is cut into characters once: looking up the i-th character of a string would walk from its start every time.
+    """
+    def cut(x):
+        gram = lambda i: F.concat(*[F.get(x, i + j) for j in range(n)])
+        return F.when(F.size(x) < n, F.array(F.array_join(x, ""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - n, F.lit(0))), gram)))
+
+    t = gram_text(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(let(F.split(t, ""), cut))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -132,8 +134,12 @@ def despeak(c: Column) -> Column:
 
 def decode_symbols(c: Column, table: dict[int, str]) -> Column:
     """Private-area characters U+F020 to U+F0FF by their symbol-font code; table maps codes to characters."""
-    pairs = {chr(0xF000 + k): v for k, v in table.items() if len(v) == 1}
-    return F.translate(c, "".join(pairs), "".join(pairs.values())) if pairs else c
+    one = {chr(0xF000 + k): v for k, v in table.items() if len(v) == 1}
+    c = F.translate(c, "".join(one), "".join(one.values())) if one else c
+    for code, value in sorted(table.items()):
+        if len(value) != 1:
+            c = F.replace(c, F.lit(chr(0xF000 + code)), F.lit(value))
+    return c
 
 
 def looks_like_title(c: Column) -> Column:

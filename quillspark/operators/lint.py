@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import WS, rstrip, squeeze, strip
 from quillspark.operators.lines import CALLOUT, HEADING, QUOTE, after, by_note, frontmatter_end, lines_of, matched_code, split_lines, title_of, upto
 from quillspark.operators.markup import emphasis, frontmatter_yaml
+from quillspark.storage import materialize
 
 # Callout kinds that are known.
 KNOWN_CALLOUTS = (
@@ -28,10 +29,13 @@ def _found(df: DataFrame, severity: str, rule: str, pos, detail) -> DataFrame:
 class Lint:
     """The shared views of a lint run: lines with code state, headings, callouts, table rows."""
 
-    def __init__(self, notes: DataFrame):
+    def __init__(self, notes: DataFrame, keep: bool = False):
+        """keep: write the lines with their state once, for a run of many rules; else every rule reads the notes."""
         self.notes = notes
         self.code = matched_code(lines_of(notes)).withColumn("bare", F.regexp_replace("line", QUOTE, "")).withColumn("live", ~F.col("fence") & ~F.col("in_code"))
         self.n_lines = notes.select("note_id", F.size(split_lines(F.col("text"))).alias("n_lines"), F.char_length("text").alias("n_chars"))
+        if keep:
+            self.code = materialize(self.code, "lines")
         h = self.code.filter(F.col("live") & F.col("bare").rlike(HEADING))
         self.headings = h.select("note_id", "pos", F.char_length(F.regexp_extract("bare", HEADING, 1)).alias("level"), title_of(F.regexp_extract("bare", HEADING, 2)).alias("title"), (F.col("bare") != F.col("line")).alias("quoted"))
         c = self.code.filter(F.col("live") & F.col("line").rlike(CALLOUT))
@@ -43,7 +47,7 @@ class Lint:
         return _found(last.filter("s.open_kind is not null"), "error", "fence_open", F.col("s.open_at") + 1, F.col("s.open_kind"))
 
     def _links(self) -> DataFrame:
-        rows = lines_of(self.notes).filter(F.contains("line", F.lit("[[#")))
+        rows = self.code.filter(F.contains("line", F.lit("[[#")))
         return rows.select("note_id", "pos", F.posexplode(F.regexp_extract_all("line", F.lit(ANCHOR), 1)).alias("k", "target")).withColumn("slug", squeeze(F.col("target")))
 
     def anchors(self) -> DataFrame:
@@ -106,12 +110,12 @@ class Lint:
 
     def empty_sections(self) -> DataFrame:
         """L14 (W11): headings below level 1 with nothing but blank lines before the next one, unless that is deeper."""
-        texts = self.notes.select("note_id", F.transform(split_lines(F.col("text")), lambda x: strip(x) != "").alias("full"))
-        w = by_note()
-        h = self.headings.withColumns({"nxt": F.lead("pos").over(w), "nl": F.lead("level").over(w)}).join(texts, "note_id").join(self.n_lines, "note_id")
-        h = h.withColumn("nxt", F.coalesce("nxt", "n_lines"))
-        body = F.slice("full", F.col("pos") + 2, F.greatest(F.col("nxt") - F.col("pos") - 1, F.lit(0)))
-        h = h.filter(~F.exists(body, lambda x: x) & (F.col("level") >= 2) & (F.col("title") != "目录") & ~F.coalesce(F.col("nl") > F.col("level"), F.lit(False)))
+        title = F.when(F.col("live") & F.col("bare").rlike(HEADING), title_of(F.regexp_extract("bare", HEADING, 2)))
+        level = F.when(title.isNotNull(), F.char_length(F.regexp_extract("bare", HEADING, 1)))
+        # of all lines only headings and others that are not blank matter: a heading's successor says whether anything follows it
+        rows = self.code.select("note_id", "pos", title.alias("title"), level.alias("level"), (strip(F.col("line")) != "").alias("full")).filter("full or title is not null")
+        h = rows.withColumns({"nl": F.lead(F.struct("level")).over(by_note())}).filter("title is not null")
+        h = h.filter((F.col("nl").isNull() | F.col("nl.level").isNotNull()) & (F.col("level") >= 2) & (F.col("title") != "目录") & ~F.coalesce(F.col("nl.level") > F.col("level"), F.lit(False)))
         return _found(h, "info", "empty_section", F.col("pos") + 1, F.col("title"))
 
     def trailing_space(self) -> DataFrame:

@@ -3,30 +3,40 @@
 The join never pairs all units: a pair at Jaccard similarity t or more shares ceil(t |A|) grams or more of the draft's unit A, so
 of the |A| - ceil(t |A|) + k rarest (one global order) it shares k, and its sizes differ by a factor t at most. Units
 meet by an equi-join on those grams, are counted, and the pairs with k hits are confirmed on the full gram sets.
+
+Where the drafts' grams take few bytes (they are counted), they travel to the notes instead, as an inverted index: each
+note unit's grams add up their postings, which gives the exact intersection with every draft unit at once, and no gram is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import STOP_WORDS, let, no_space, shingles, strip_md, valid_keyword
+from quillspark.functions.text import GRAM_PUNCTUATION, STOP_WORDS, let, no_space, shingles, strip_md, valid_keyword
 from quillspark.operators.lines import body_text, headings
+from quillspark.operators.markup import fuzzy_stems
 from quillspark.storage import materialize, small
 
 MIN_LEN, WIN, STEP = 20, 70, 35
+#: Grams of draft units that are sent to the notes as an index, about 40 bytes each; more are joined by shuffle.
+INDEX_GRAMS = 1_000_000
+_stop = frozenset(STOP_WORDS)
+_punctuation = str.maketrans("", "", GRAM_PUNCTUATION)
 
 
 def unit_array(clean: Column) -> Column:
     """Comparison units of cleaned text; long parts in windows, the tail window always appended."""
     parts = F.filter(F.transform(F.split(clean, "(?<=[。！？；])|\n{2,}"), no_space), lambda p: F.char_length(p) >= MIN_LEN)
 
-    def cut(p):
-        n = F.char_length(p)
-        steps = F.transform(F.sequence(F.lit(0), F.greatest(n - WIN, F.lit(0)), F.lit(STEP)), lambda i: F.substring(p, i + 1, F.lit(WIN)))
-        return F.when(n <= 105, F.array(p)).otherwise(F.concat(steps, F.array(F.substring(p, n - WIN + 1, F.lit(WIN)))))
+    def windows(x):  # of characters, so that a window is found without walking the part
+        n = F.size(x)
+        piece = lambda i: F.array_join(F.slice(x, i + 1, F.lit(WIN)), "")
+        return F.concat(F.transform(F.sequence(F.lit(0), F.greatest(n - WIN, F.lit(0)), F.lit(STEP)), piece), F.array(piece(n - WIN)))
 
-    return F.flatten(F.transform(parts, cut))
+    return F.flatten(F.transform(parts, lambda p: F.when(F.char_length(p) <= 105, F.array(p)).otherwise(let(F.split(p, ""), windows))))
 
 
 def units_of(docs: DataFrame, key: str) -> DataFrame:
@@ -42,6 +52,8 @@ def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55,
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed: below it every unit is similar")
     a = materialize(drafts.select("d", "unit_no", "u").withColumn("g", shingles(F.col("u"))).withColumn("na", F.size("g")).filter("na > 0"), "units")
+    if pairs is None and (a.agg(F.sum("na")).first()[0] or 0) <= INDEX_GRAMS:
+        return _probe(a, notes, threshold)
     b = notes.select("n", "u").distinct()
     vocabulary = small(a.select(F.explode("g").alias("gram")).distinct())
     b = b.withColumn("g", shingles(F.col("u"))).withColumn("nb", F.size("g"))
@@ -67,20 +79,124 @@ def similar_units(drafts: DataFrame, notes: DataFrame, threshold: float = 0.55,
     return best.select("d", "unit_no", "n", F.col("m.both").alias("both"), F.col("m.either").alias("either"), F.col("m.u").alias("matched"))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+class GramIndex:
+    """Draft units by their 4-grams: postings in one array, and how many grams each unit has."""
+
+    def __init__(self, units: list[str]):
+        sets = [self.grams(u) for u in units]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.units = of[order]
+        self.keys, self.start = np.unique(every[order], return_index=True)
+        self.stop = np.append(self.start[1:], len(every))
+
+    @staticmethod
+    def grams(u: str) -> np.ndarray:
+        """Distinct 4-grams as numbers, 21 bits a character, two words mixed; a shorter text is its own."""
+        c = _codes(u.translate(_punctuation))
+        n = len(c)
+        if n < 4:
+            c = np.concatenate([c, np.full(4 - n, 0x1FFFFF, np.uint64)]) if n else c
+            n = len(c)
+        if not n:
+            return np.zeros(0, np.uint64)
+        low, high = c[: n - 3] << np.uint64(42) | c[1 : n - 2] << np.uint64(21) | c[2 : n - 1], c[3:]
+        return np.unique(low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def matches(self, u: str, threshold: float) -> list[tuple[int, int, int]]:
+        """(unit, both, either) of the units whose similarity with u reaches the threshold."""
+        g = self.grams(u)
+        if not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        at = at[self.keys[at] == g]
+        if not len(at):
+            return []
+        begin, size = self.start[at], self.stop[at] - self.start[at]
+        places = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(self.units[places], minlength=len(self.sizes))
+        either = self.sizes + len(g) - both
+        hit = np.flatnonzero((both > 0) & (both >= either * threshold - 1e-12))
+        return [(int(k), int(both[k]), int(either[k])) for k in hit]
+
+
+def _probe(a: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
+    """similar_units with the draft units (d, unit_no, u), which are few, on every task."""
+    rows = a.select("d", "unit_no", "u").toArrow()
+    held = a.sparkSession.sparkContext.broadcast((GramIndex(rows.column(2).to_pylist()) if rows.num_rows else None, rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    d, n = (f.schema[c].dataType.simpleString() for f, c in ((a, "d"), (notes, "n")))
+    d_kind = rows.schema.field(0).type
+
+    def run(batches):
+        index, ids, numbers = held.value
+        for b in batches:
+            out = [(ids[k], numbers[k], i, both, either, u) for i, u in enumerate(b.column(1).to_pylist()) if index for k, both, either in index.matches(u, threshold)]
+            if out:
+                di, no, i, both, either, u = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(di, d_kind), pa.array(no, pa.int32()), b.column(0).take(pa.array(i, pa.int64())), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(u, pa.string())], ["d", "unit_no", "n", "both", "either", "u"])
+
+    found = notes.select("n", "u").mapInArrow(run, f"d {d}, unit_no int, n {n}, both long, either long, u string")
+    best = found.groupBy("d", "unit_no", "n").agg(F.max(F.struct((F.col("both") / F.col("either")).alias("r"), "both", "either", "u")).alias("m"))
+    return best.select("d", "unit_no", "n", F.col("m.both").alias("both"), F.col("m.either").alias("either"), F.col("m.u").alias("matched"))
+
+
+def _similar_count(threshold: float):
+    """How many units of one text are similar to a unit of the other; texts meet pair by pair, so that no gram is shuffled."""
+
+    @F.arrow_udf("long")
+    def run(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(ours.to_pylist(), theirs.to_pylist()):
+            index = GramIndex(a) if a else None
+            out.append(len({k for u in dict.fromkeys(b) for k, _, _ in index.matches(u, threshold)}) if index else 0)
+        return pa.array(out, pa.int64())
+
+    return run
+
+
+def frequent_grams(text: str, most: int) -> list[str]:
+    """Of the `most` most frequent 2- to 4-grams those seen twice or more, in order; ties by length, then by first appearance."""
+    c = _codes(text)
+    parts = []
+    for n in (2, 3, 4):
+        if len(c) >= n:
+            key = np.zeros(len(c) - n + 1, np.uint64)
+            for j in range(n):
+                key = key << np.uint64(16) | c[j : len(c) - n + 1 + j]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            parts.append(np.stack([-count, np.full(len(first), n), first]))
+    if not parts:
+        return []
+    count, n, first = np.concatenate(parts, 1)
+    out, seen = [], 0
+    for k in np.lexsort((first, n, count))[: most + len(_stop)]:
+        gram = text[first[k] : first[k] + n[k]]
+        if gram not in _stop:
+            seen += 1
+            if seen > most or count[k] == -1:
+                break
+            out.append(gram)
+    return out
+
+
 def fallback_keywords(docs: DataFrame, key: str, topk: int = 40) -> DataFrame:
-    """A4: (key, rank, kw): the most frequent 2- to 4-grams of the cleaned text, ties by first appearance.
+    """A4: (key, rank, kw): the most frequent 2- to 4-grams of a row's cleaned text, ties by first appearance. Row-local: no shuffle.
 
     The 8 * topk most frequent are cut before those seen once are dropped; then 2 * topk, validity, and topk.
     """
+
+    @F.arrow_udf("array<string>")
+    def grams(column: pa.Array) -> pa.Array:
+        return pa.array([frequent_grams(x.as_py() or "", 8 * topk) for x in column], pa.list_(pa.string()))
+
     t = F.regexp_replace(strip_md(F.col("text")), "[^\\u4e00-\\u9fffA-Za-z0-9]", "")
-    gram = lambda x, n: lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.substring(x, i, F.lit(n)).alias("kw"))
-    each = lambda x: F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - n + 1, F.lit(1))), gram(x, n)) for n in (2, 3, 4)])
-    flat = docs.select(key, F.explode(let(t, each)).alias("x")).select(key, "x.*").filter((F.char_length("kw") == F.col("n")) & ~F.col("kw").isin(*sorted(set(STOP_WORDS))))
-    counted = flat.groupBy(key, "kw").agg(F.count("*").alias("c"), F.min(F.struct("n", "i")).alias("first"))
-    w = Window.partitionBy(key).orderBy(F.desc("c"), "first")
-    top = counted.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= 8 * topk) & (F.col("c") > 1))
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("r"))).filter(F.col("r") <= 2 * topk).filter(valid_keyword(F.col("kw")))
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("r"))).filter(F.col("rank") <= topk).select(key, "rank", "kw")
+    kws = F.slice(F.filter(F.slice(grams(t), 1, 2 * topk), valid_keyword), 1, topk)
+    return docs.select(key, F.posexplode(kws).alias("_k", "kw")).select(key, (F.col("_k") + 1).alias("rank"), "kw")
 
 
 def corpus_keywords(docs: DataFrame, key: str, topk: int = 40) -> DataFrame:
@@ -111,11 +227,11 @@ def check_drafts(drafts: DataFrame, notes: DataFrame, pairs: DataFrame, threshol
     dh = headings(drafts.select(F.col("draft_id").alias("note_id"), "text")).select(F.col("note_id").alias("draft_id"), "title")
     nh = headings(notes).select("note_id", "title").distinct()
     dup = live.join(dh, "draft_id").join(nh, ["note_id", "title"], "left_semi").groupBy("draft_id", "note_id").agg(F.count("*").alias("n_dup_headings"))
-    du = units_of(drafts, "draft_id").withColumnRenamed("draft_id", "d")
-    n_units = du.groupBy("d").agg(F.count("*").alias("n_units")).withColumnRenamed("d", "draft_id")
+    n_units = drafts.select("draft_id", F.size(unit_array(strip_md(F.col("text")))).cast("long").alias("n_units")).filter("n_units > 0")
     if threshold > 0:
-        nu = units_of(notes.join(live.select("note_id").distinct(), "note_id", "left_semi"), "note_id").withColumnRenamed("note_id", "n")
-        sim = similar_units(du, nu, threshold, live.select(F.col("draft_id").alias("d"), F.col("note_id").alias("n"))).select(F.col("d").alias("draft_id"), F.col("n").alias("note_id")).groupBy("draft_id", "note_id").agg(F.count("*").alias("n_similar"))
+        sides = [df.select(key, unit_array(strip_md(F.col("text"))).alias(name)) for df, key, name in ((drafts, "draft_id", "_du"), (notes, "note_id", "_nu"))]
+        both = live.join(sides[0], "draft_id").join(sides[1], "note_id")
+        sim = both.select("draft_id", "note_id", _similar_count(threshold)("_du", "_nu").alias("n_similar"))
     else:
         sim = live.join(n_units, "draft_id").select("draft_id", "note_id", F.col("n_units").alias("n_similar"))
     out = pairs.join(cover, ["draft_id", "note_id"], "left").join(dup, ["draft_id", "note_id"], "left").join(n_units, "draft_id", "left").join(sim, ["draft_id", "note_id"], "left")
@@ -132,12 +248,13 @@ def top_pairs(similar: DataFrame, n: int = 5) -> DataFrame:
 
 
 def find_notes(notes: DataFrame, query: str, limit: int = 12) -> DataFrame:
-    """O1: notes(note_id, rel, stem, text) scored by stem, headings, tags and body; ties by rel. The fuzzy stem arm is fuzzy_stems."""
+    """O1: notes(note_id, rel, stem, text) scored by stem (one that only resembles the query too), headings, tags and body; ties by rel."""
     q = query.strip().lower()
     low = F.lower("text")
     titles = headings(notes).filter(F.contains(F.lower("title"), F.lit(q))).select("note_id").distinct().withColumn("in_heading", F.lit(True))
     hits = F.char_length(low) + 1 if q == "" else ((F.char_length(low) - F.char_length(F.replace(low, F.lit(q), F.lit("")))) / len(q)).cast("long")
     head = F.lower(F.substring("text", 1, 600))
-    s = notes.join(titles, "note_id", "left").withColumn("hits", hits)
-    score = F.when(F.contains(F.lower("stem"), F.lit(q)), 10).otherwise(0) + F.when(F.col("in_heading"), 8).otherwise(0) + F.when(F.contains(head, F.lit(q)) & F.contains(head, F.lit("tags")), 5).otherwise(0) + F.least("hits", F.lit(6))
+    like = fuzzy_stems(notes.filter(~F.contains(F.lower("stem"), F.lit(q))), query).select("note_id", F.col("score").alias("_like"))
+    s = notes.join(titles, "note_id", "left").join(like, "note_id", "left").withColumn("hits", hits)
+    score = F.when(F.contains(F.lower("stem"), F.lit(q)), 10).otherwise(F.coalesce("_like", F.lit(0))) + F.when(F.col("in_heading"), 8).otherwise(0) + F.when(F.contains(head, F.lit(q)) & F.contains(head, F.lit("tags")), 5).otherwise(0) + F.least("hits", F.lit(6))
     return s.withColumn("score", score.cast("int")).filter("score > 0").select("note_id", "rel", "score", "hits").orderBy(F.desc("score"), "rel").limit(limit)

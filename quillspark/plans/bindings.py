@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "documents benchmark pages conversations events labels lineitem".split()
 
-#: Structured Markdown notes derived from documents: front matter, headings, callouts, tables, fences, links, formulas.
+#: Structured Markdown notes around the whole texts of documents: front matter, headings, callouts, tables, fences, links, formulas.
 NOTE_TEXT = """concat(
   CASE WHEN doc_id % 4 = 0 THEN concat('---', chr(10), 'title: Note ', CAST(doc_id AS STRING), chr(10), 'tags: "alpha"', chr(10), 'empty:', chr(10), 'title: Last ', CAST(doc_id AS STRING), chr(10), CASE WHEN doc_id % 8 = 0 THEN concat('---', chr(10)) ELSE '' END) ELSE '' END,
   '# Note ', CAST(doc_id % 10 AS STRING), chr(10), chr(10),
-  '## Alpha part', chr(10), substr(text, 1, 120), chr(10),
-  CASE WHEN doc_id % 3 = 0 THEN concat('> [!question] Why', chr(10), '> because of it', chr(10), '> [!success] Done', chr(10), '> [!tip] More', chr(10), '> [!odd] Kind', chr(10)) ELSE '' END,
+  '## Alpha part', chr(10), text, chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN concat('> [!question] Why', chr(10), '> because of it', chr(10), '> ## Quoted part', chr(10), '> [!success] Done see [[#Quoted part]]', chr(10), '> [!tip] More', chr(10), '> [!odd] Kind', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 5 = 0 THEN concat('> [!todo] Later', chr(10), '> ', substr(text, 30, 40), chr(10), 'after the list', chr(10)) ELSE '' END,
+  CASE WHEN doc_id % 19 = 0 THEN concat('### Dense', chr(10), repeat(concat('> [!example] Case', chr(10), repeat(concat('> so', chr(10)), 9)), 7)) ELSE '' END,
+  CASE WHEN doc_id % 23 = 0 THEN concat('#### Denser', chr(10), repeat(concat('> [!question] Q', chr(10), '> [!success] A', chr(10), '> [!note] N', chr(10), repeat(concat('so', chr(10)), 50)), 6)) ELSE '' END,
   '### Sub ##', chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('| a | b |', chr(10), '| --- | --- |', chr(10), '| 1 | ', CASE WHEN doc_id % 6 = 0 THEN '2 | 3 |' ELSE 'x' || chr(92) || '|y |' END, chr(10)) ELSE '' END,
   CASE WHEN doc_id % 7 = 0 THEN concat('```py', chr(10), '# not a heading', chr(10), '~~~', chr(10), '```', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 11 = 0 THEN concat('##### Deep', chr(10), 'trailing  ', chr(10), 'again ', chr(10), 'more ', chr(10), 'and ', chr(10)) ELSE '' END,
   '## Beta part', chr(10), CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('see [[#Alpha part]] and [[#Gone|x]] or [[Other#Sub]]', chr(10)) END,
   CASE WHEN doc_id % 13 = 0 THEN concat('## Alpha part', chr(10), 'second', chr(10)) ELSE '' END,
-  '## Gamma', chr(10), 'mass $E = mc^2$ and $$', chr(92), 'frac{a}{b} ', chr(92), 'oddmacro x$$ end', chr(10), substr(text, 200, 300), chr(10),
+  '## Gamma', chr(10), 'mass $E = mc^2$ and $$', chr(92), 'frac{a}{b} ', chr(92), 'oddmacro x$$ end', chr(10), text, chr(10),
   CASE WHEN doc_id % 17 = 0 THEN concat('```', chr(10), 'never closed', chr(10)) ELSE '' END,
   '## 相关链接', chr(10), 'link ', substr(text, 1, 20))"""
 NOTE_SQL = f"SELECT doc_id AS note_id, {NOTE_TEXT} AS text FROM documents"
-#: The same notes with the whole of each document's text where NOTE_TEXT takes 120 and 300 characters of it.
-WHOLE_TEXT = NOTE_TEXT.replace("substr(text, 1, 120)", "text").replace("substr(text, 200, 300)", "text")
 
 #: Oracle side: notes and their lines (the text ends without a line feed, and holds no other line ends).
 NOTE = f"note AS ({NOTE_SQL})"
@@ -54,22 +54,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{NOTE_TEXT} AS text")
 
 
-def whole_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr("doc_id AS note_id", f"{WHOLE_TEXT} AS text")
-
-
 def note_query(query):
-    """Registers a query over notes by `query`, with its SQL, and as NAME_whole over whole texts, with the same SQL over those."""
-
-    def register(name: str, sql: str | None = None, whole_sql: bool = True):
-        def put(f):
-            query(name, sql)(lambda spark, d: f(notes(spark, d)))
-            query(f"{name}_whole", sql.replace(NOTE_TEXT, WHOLE_TEXT) if sql and whole_sql else None)(lambda spark, d: f(whole_notes(spark, d)))
-            return f
-
-        return put
-
-    return register
+    """Registers a query over notes by `query`, with its SQL."""
+    return lambda name, sql=None: lambda f: query(name, sql)(lambda spark, d: f(notes(spark, d)))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

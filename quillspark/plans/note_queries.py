@@ -104,7 +104,8 @@ def similar(spark, d):
 
 STOP = "(" + ", ".join(f"'{w}'" for w in sorted(set(fx.STOP_WORDS))) + ")"
 KEYWORDS = f"""t AS (SELECT k, regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]', '', 'g') AS t FROM ksrc),
-  gr AS (SELECT k, n, unnest(range(1, length(t) - n + 2)) AS i, t FROM t, (VALUES (2), (3), (4)) v(n)), gs AS (SELECT k, n, i, t[i : i + n - 1] AS kw FROM gr),
+  ch AS (SELECT k, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS a FROM t WHERE t <> ''), gl AS (SELECT *, lead(a) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d FROM ch WINDOW w AS (PARTITION BY k ORDER BY i)),
+  gs AS (SELECT k, 2 AS n, i, a || b AS kw FROM gl WHERE b IS NOT NULL UNION ALL SELECT k, 3, i, a || b || c FROM gl WHERE c IS NOT NULL UNION ALL SELECT k, 4, i, a || b || c || d FROM gl WHERE d IS NOT NULL),
   gc AS (SELECT k, kw, count(*) AS c, min(n) AS n, min(i) AS i FROM gs WHERE kw NOT IN {STOP} GROUP BY k, kw),
   gk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, n, i) AS r FROM gc), g2 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY r) AS r2 FROM gk WHERE r <= 320 AND c > 1),
   g3 AS (SELECT k, kw, (row_number() OVER (PARTITION BY k ORDER BY r2))::INT AS rank FROM g2 WHERE r2 <= 80 AND length(kw) >= 2 AND NOT regexp_full_match(kw, '[\\d\\s.、%\\-]+') AND NOT regexp_full_match(kw, '[A-Za-z]{{1,2}}') AND NOT regexp_full_match(kw, '\\d{{2,4}}[PpKk]') AND NOT regexp_full_match(lower(kw), 'cc|bilibili|subtitle|clippings')),
@@ -127,11 +128,12 @@ doc_query(
     dh AS (SELECT draft_id, n_id, count(*) AS n_dup_headings FROM pair JOIN hd a ON a.note_id = draft_id WHERE EXISTS (FROM hd b WHERE b.note_id = n_id AND b.title = a.title) GROUP BY ALL),
     src AS (SELECT note_id AS k, {STRIP % FRONT} AS t FROM note), {UNITS}, us AS (SELECT k, count(*) AS n_units FROM unit GROUP BY k),
     g AS (SELECT k, unit_no, u, list_distinct([x[i : i + 3] for i in range(1, length(x) - 2)]) AS g FROM (SELECT *, {GRAMS} AS x FROM unit)),
-    sm AS (SELECT draft_id, n_id, count(DISTINCT a.unit_no) AS n_similar FROM pair JOIN g a ON a.k = draft_id JOIN g b ON b.k = n_id WHERE len(list_intersect(a.g, b.g)) >= 0.55 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) GROUP BY ALL),
+    ga AS (SELECT draft_id, n_id, unit_no, len(g) AS na, unnest(g) AS gram FROM pair JOIN g ON g.k = draft_id), gb AS (SELECT k, u, len(g) AS nb, unnest(g) AS gram FROM (SELECT DISTINCT k, u, g FROM g)),
+    sh AS (SELECT draft_id, n_id, unit_no, u FROM ga JOIN gb ON gb.k = n_id AND gb.gram = ga.gram GROUP BY ALL HAVING count(*) >= 0.55 * (any_value(na) + any_value(nb) - count(*))),
+    sm AS (SELECT draft_id, n_id, count(DISTINCT unit_no) AS n_similar FROM sh GROUP BY ALL),
     o AS (SELECT pair.draft_id, pair.n_id AS note_id, n_kw IS NOT NULL AS found, coalesce(n_kw, 0) AS n_kw, coalesce(n_covered, 0) AS n_covered, coalesce(n_weak, 0) AS n_weak, coalesce(n_dup_headings, 0) AS n_dup_headings, coalesce(n_units, 0) AS n_units, coalesce(n_similar, 0) AS n_similar
       FROM pair LEFT JOIN kc USING (draft_id, n_id) LEFT JOIN dh USING (draft_id, n_id) LEFT JOIN us ON us.k = pair.draft_id LEFT JOIN sm USING (draft_id, n_id))
     SELECT draft_id, note_id, n_kw, n_covered, n_weak, n_dup_headings, n_units, n_similar, CASE WHEN NOT found THEN 0 WHEN n_covered >= 0.8 * greatest(n_kw, 1) THEN CASE WHEN n_similar >= 0.6 * greatest(n_units, 1) THEN 13 ELSE 10 END WHEN n_covered >= 0.5 * greatest(n_kw, 1) THEN 11 ELSE 0 END AS verdict FROM o""",
-    whole_sql=False,  # on whole texts DuckDB does not end in reasonable time; a test compares with brute force
 )
 def check(n):
     """Every note as a draft against the note three ids on."""
@@ -168,7 +170,7 @@ METHODS = {"l3_fence_open": "fences", "l4_anchors": "anchors", "l6_duplicate_hea
 for _name, _sql in LINT_SQL.items():
     note_query(_name, f"WITH {LINT_CTE} {_sql}")(lambda n, m=METHODS[_name]: getattr(lint.Lint(n), m)())
 ALL = " UNION ALL ".join(f"(SELECT note_id, severity, rule, pos::INT AS pos, detail FROM ({s}))" for s in LINT_SQL.values())
-note_query("u6_lint_findings", f"WITH {LINT_CTE} {ALL}")(lambda n: lint.Lint(n).plain_findings())
+note_query("u6_lint_findings", f"WITH {LINT_CTE} {ALL}")(lambda n: lint.Lint(n, keep=True).plain_findings())
 FOUND = f"{LINT_CTE}, fd AS ({ALL})"
 note_query(
     "a8_compress",
@@ -176,17 +178,17 @@ note_query(
     SELECT note_id, severity, rule, pos, detail FROM m WHERE rule <> 'duplicate_heading' AND NOT (rule = 'trailing_space' AND n > 3)
     UNION ALL SELECT note_id, severity, rule, min(pos)::INT, count(*)::VARCHAR FROM m WHERE rule = 'trailing_space' AND n > 3 GROUP BY ALL
     UNION ALL SELECT note_id, severity, CASE WHEN count(*) + 1 >= 3 THEN 'template_heading' ELSE 'duplicate_heading' END, min(pos)::INT, detail || ':' || (count(*) + 1) FROM fd WHERE rule = 'duplicate_heading' GROUP BY note_id, severity, detail""",
-)(lambda n: lint.compress(lint.Lint(n).plain_findings()))
+)(lambda n: lint.compress(lint.Lint(n, keep=True).plain_findings()))
 note_query(
     "o8_shown",
     f"WITH {FOUND} SELECT *, (row_number() OVER (PARTITION BY note_id, severity ORDER BY pos, rule, detail))::INT AS rank, greatest(count(*) OVER (PARTITION BY note_id, severity) - 2, 0)::BIGINT AS left_out FROM fd QUALIFY rank <= 2",
-)(lambda n: lint.shown(lint.Lint(n).plain_findings(), 2))
+)(lambda n: lint.shown(lint.Lint(n, keep=True).plain_findings(), 2))
 note_query(
     "a11_stats",
     f"WITH {LINT_CTE} SELECT note_id, n_lines, length(text)::INT AS n_chars, len(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:#[^\\]|]+)?(?:\\|[^\\]]*)?\\]\\]'))::BIGINT AS n_wikilinks, coalesce(nh, 0)::BIGINT AS n_headings, coalesce(nt, 0)::BIGINT AS n_tables FROM note JOIN nl USING (note_id) LEFT JOIN (SELECT note_id, count(*) AS nh FROM lh GROUP BY ALL) USING (note_id) LEFT JOIN (SELECT note_id, count(DISTINCT run) AS nt FROM tr GROUP BY ALL) USING (note_id)",
 )(lambda n: lint.Lint(n).stats())
 note_query("a12_summary", f"WITH {FOUND} SELECT (SELECT count(*) FROM note) AS files, count_if(severity = 'error')::BIGINT AS errors, count_if(severity = 'warn')::BIGINT AS warnings, CASE WHEN count_if(severity = 'error') > 0 THEN 1 ELSE 0 END AS code FROM fd")(
-    lambda n: lint.summary(n, lint.Lint(n).plain_findings())
+    lambda n: lint.summary(n, lint.Lint(n, keep=True).plain_findings())
 )
 
 
@@ -204,7 +206,7 @@ def math(n):
 
 def every_rule(n):
     names = lambda *x: n.sparkSession.createDataFrame([(v,) for v in x], "name string")
-    return lint.Lint(n).findings(names("frac", "alpha"), names("cases"))
+    return lint.Lint(n, keep=True).findings(names("frac", "alpha"), names("cases"))
 
 
 note_query("u6_every_rule")(every_rule)

@@ -50,15 +50,16 @@ cue_query("w21_pauses", f"WITH {STEP} SELECT doc_id, pos, (row_number() OVER (PA
 cue_query("w9_paragraphs")(lambda c: cues.paragraphs(c, max_para=60))
 cue_query("a6_transcript_stats")(lambda c: cues.transcript_stats(c, cues.paragraphs(c, max_para=60)))
 
-#: Conversations as stamped lines: a heading first, a stamp on every second turn, the others continue it.
-TALK = "string_agg(CASE WHEN turn % 2 = 0 THEN printf('%02d:%02d ', (turn * 7) // 60, (turn * 7) % 60) ELSE '' END || replace(text, chr(10), ' '), chr(10) ORDER BY turn)"
+#: Conversations as stamped lines: unstamped ones before some, a stamp on every second turn, the others continue it.
+TALK = "CASE WHEN conv_id % 4 = 0 THEN '# Talk' || chr(10) || 'opening words that no stamp covers' || chr(10) ELSE '' END || string_agg(CASE WHEN turn % 2 = 0 THEN printf('%02d:%02d ', (turn * 7) // 60, (turn * 7) % 60) ELSE '' END || replace(text, chr(10), ' '), chr(10) ORDER BY turn)"
 
 
 def talk(spark, d):
     c = read(spark, d, "conversations")
     stamp = F.when(F.col("turn") % 2 == 0, F.format_string("%02d:%02d ", F.floor(F.col("turn") * 7 / 60), F.col("turn") * 7 % 60)).otherwise("")
     rows = c.select("conv_id", "turn", F.concat(stamp, F.replace("text", F.lit("\n"), F.lit(" "))).alias("l")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "l"))).alias("l"))
-    return rows.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("l", lambda x: x["l"]), "\n").alias("text"))
+    lead = F.when(F.col("conv_id") % 4 == 0, "# Talk\nopening words that no stamp covers\n").otherwise("")
+    return rows.select(F.col("conv_id").alias("doc_id"), F.concat(lead, F.array_join(F.transform("l", lambda x: x["l"]), "\n")).alias("text"))
 
 
 TALK_CUES = f"""tk AS (SELECT conv_id AS doc_id, string_split({TALK}, chr(10)) AS l FROM conversations GROUP BY conv_id), tl AS (SELECT doc_id, unnest(range(len(l)))::INT AS pos, trim(unnest(l)) AS line FROM tk),
@@ -85,8 +86,7 @@ query(
     )
 )
 query("f2_fmt_ts", "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS t FROM (SELECT event_id, greatest(0, trunc(value * 100))::BIGINT AS s FROM events)")(lambda spark, d: read(spark, d, "events").select("event_id", fx.fmt_ts(F.col("value") * 100).alias("t")))
-query("p16_titles", "SELECT doc_id, length(substr(text, 1, 25 + doc_id % 12)) <= 30 AS is_title FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", fx.looks_like_title(F.substring("text", F.lit(1), (F.col("doc_id") % 12 + 25).cast("int"))).alias("is_title")))
-query("p16_titles_whole", "SELECT doc_id, length(text) <= 30 AND NOT contains(text, '。') AS is_title FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", fx.looks_like_title(F.col("text")).alias("is_title")))
+query("p16_titles", "SELECT doc_id, length(text) <= 30 AND NOT contains(text, '。') AS is_title FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", fx.looks_like_title(F.col("text")).alias("is_title")))
 query("p20_no_space", r"SELECT doc_id, md5(regexp_replace(text, '[\s\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]+', '', 'g')) AS h FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(fx.no_space(F.col("text"))).alias("h")))
 SPEC = "concat('[', CAST(doc_id % 9 + 1 AS STRING), ', ', CAST(doc_id % 7 + 4 AS STRING), '-', CAST(doc_id % 5 + 1 AS STRING), ',3]')"
 query(
@@ -96,17 +96,12 @@ query(
 query("s22b_page_spec_loose", "SELECT doc_id, array_to_string(list_concat([doc_id % 9 + 1], range(2, doc_id % 7 + 1), [2]), ',') AS pages FROM documents")(
     lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(fx.page_spec_loose(F.expr("concat(CAST(doc_id % 9 + 1 AS STRING), ', 2-', CAST(doc_id % 7 AS STRING), ',2')")).cast("array<string>"), ",").alias("pages"))
 )
-ROWS = "CASE WHEN doc_id % 3 = 0 THEN array(array('a', 'b|c'), array(substr(text, 1, 5))) ELSE array(array('a', 'b|c'), array('x ', 'y')) END"
+ROWS = "CASE WHEN doc_id % 3 = 0 THEN array(array('a', 'b|c'), array(text)) ELSE array(array('a', 'b|c'), array('x ', 'y')) END"
 HEADROW = "'| a | b\\|c |' || chr(10) || '| --- | --- |' || chr(10) || "
+CELL = r"replace(trim(regexp_replace(replace(replace(replace(text, chr(8203), ''), chr(65279), ''), chr(160), ' '), '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '|', '\|')"
 for _name, _pad in (("s25_table_padded", True), ("s26_table", False)):
     _tail = " |  |'" if _pad else " |'"
-    query(_name, f"SELECT doc_id, {HEADROW} CASE WHEN doc_id % 3 = 0 THEN '| ' || trim(replace(replace(substr(text, 1, 5), '|', '\\|'), '  ', ' '), ' ' || chr(10)) || '{_tail} ELSE '| x | y |' END AS md FROM documents")(lambda spark, d, p=_pad: read(spark, d, "documents").select("doc_id", fx.table_markdown(F.expr(ROWS), p).alias("md")))
-#: The same tables with whole texts as cells.
-WHOLE_ROWS = ROWS.replace("substr(text, 1, 5)", "text")
-WHOLE_CELL = r"replace(trim(regexp_replace(replace(replace(replace(text, chr(8203), ''), chr(65279), ''), chr(160), ' '), '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '|', '\|')"
-for _name, _pad in (("s25_table_padded_whole", True), ("s26_table_whole", False)):
-    _tail = " |  |'" if _pad else " |'"
-    query(_name, f"SELECT doc_id, {HEADROW} CASE WHEN doc_id % 3 = 0 THEN '| ' || {WHOLE_CELL} || '{_tail} ELSE '| x | y |' END AS md FROM documents")(lambda spark, d, p=_pad: read(spark, d, "documents").select("doc_id", fx.table_markdown(F.expr(WHOLE_ROWS), p).alias("md")))
+    query(_name, f"SELECT doc_id, {HEADROW} CASE WHEN doc_id % 3 = 0 THEN '| ' || {CELL} || '{_tail} ELSE '| x | y |' END AS md FROM documents")(lambda spark, d, p=_pad: read(spark, d, "documents").select("doc_id", fx.table_markdown(F.expr(ROWS), p).alias("md")))
 
 # --- edits
 
@@ -202,9 +197,12 @@ query("s17_scan_pages", f"WITH {PAGE} SELECT doc_id, page_no FROM op WHERE lengt
 
 # --- geometry from line items: a document is 40 orders, a page a line number
 
-STROKE = "CAST(floor(l_orderkey / 40) AS INT) AS doc_id, l_linenumber AS page, CASE WHEN l_partkey % 2 = 0 THEN 'line' ELSE 'rect' END AS kind, CAST(l_partkey % 25 * 20 AS DOUBLE) AS x0, CAST(l_suppkey % 10 * 60 AS DOUBLE) AS y0, CAST(l_partkey % 25 * 20 + l_quantity * 3 AS DOUBLE) AS x1, CAST(l_suppkey % 10 * 60 + floor(l_discount * 40) AS DOUBLE) AS y1"
+STROKE = (
+    "CAST(floor(l_orderkey / 40) AS INT) AS doc_id, l_linenumber AS page, CASE WHEN l_partkey % 2 = 0 THEN 'line' ELSE 'rect' END AS kind, CAST(CASE WHEN l_partkey % 5 = 0 THEN 10 ELSE l_partkey % 25 * 20 END AS DOUBLE) AS x0, CAST(CASE WHEN l_partkey % 5 = 0 THEN 10 ELSE l_suppkey % 10 * 60 END AS DOUBLE) AS y0, "
+    "CAST(CASE WHEN l_partkey % 5 = 0 THEN 500 WHEN l_partkey % 7 = 0 THEN l_partkey % 25 * 20 - 4 ELSE l_partkey % 25 * 20 + l_quantity * 3 END AS DOUBLE) AS x1, CAST(CASE WHEN l_partkey % 5 = 0 THEN 30 ELSE l_suppkey % 10 * 60 + floor(l_discount * 40) END AS DOUBLE) AS y1"
+)
 SPAN = "CAST(floor(l_orderkey / 40) AS INT) AS doc_id, l_linenumber AS page, CAST(l_partkey % 23 * 22 AS DOUBLE) AS x0, CAST(l_suppkey % 97 * 6 AS DOUBLE) AS y0, CAST(l_partkey % 23 * 22 + 18 AS DOUBLE) AS x1, CAST(l_suppkey % 97 * 6 + 9 AS DOUBLE) AS y1, CAST(8 + l_suppkey % 3 * 2 AS DOUBLE) AS size, CASE WHEN l_orderkey % 6 = 0 THEN 'ϖ' ELSE concat('s', CAST(l_partkey AS STRING), '-', CAST(l_orderkey AS STRING)) END AS text"
-PIXEL = "CAST(floor(l_orderkey / 400) AS INT) AS doc_id, 1 AS page, CAST(l_partkey % 60 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y, CAST(l_linenumber % 3 * 40 AS INT) AS r, CAST(l_linenumber % 2 * 30 AS INT) AS g, CAST(l_orderkey % 4 * 20 AS INT) AS b"
+PIXEL = "CAST(floor(l_orderkey / 400) AS INT) AS doc_id, 1 AS page, CAST(l_partkey % 60 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y, CAST(CASE WHEN floor(l_orderkey / 400) % 5 = 0 AND l_partkey % 50 > 0 THEN 7 ELSE l_linenumber % 3 * 40 END AS INT) AS r, CAST(CASE WHEN floor(l_orderkey / 400) % 5 = 0 AND l_partkey % 50 > 0 THEN 7 ELSE l_linenumber % 2 * 30 END AS INT) AS g, CAST(CASE WHEN floor(l_orderkey / 400) % 5 = 0 AND l_partkey % 50 > 0 THEN 7 ELSE l_orderkey % 4 * 20 END AS INT) AS b"
 STROKES, SPANS, PIXELS = (f"{n} AS (SELECT {e} FROM lineitem)" for n, e in (("sk", STROKE), ("sp", SPAN), ("px", PIXEL)))
 
 
@@ -241,14 +239,14 @@ shape_query(
     f"WITH {SPANS}, k AS (SELECT *, max(x1) OVER w AS reach, row_number() OVER (PARTITION BY doc_id, page, y0 ORDER BY x0, text) AS k FROM sp WINDOW w AS (PARTITION BY doc_id, page, y0 ORDER BY x0, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, page, y0, string_agg(CASE WHEN x0 - reach > greatest(1.6, 0.17 * size) THEN ' ' ELSE '' END || text, '' ORDER BY k) AS line FROM k GROUP BY ALL",
     SPAN,
 )(lambda s: layout.span_line(s, ["doc_id", "page", "y0"]))
-SIG = f"{STROKES}, sg AS (SELECT *, floor(x0 / 4)::INT AS s_x0, floor(y0 / 4)::INT AS s_y0, floor(x1 / 4)::INT AS s_x1, floor(y1 / 4)::INT AS s_y1 FROM sk), fr AS (SELECT doc_id, s_x0, s_y0, s_x1, s_y1, count(DISTINCT page) AS on_pages FROM sg GROUP BY ALL), np AS (SELECT doc_id, count(DISTINCT page) AS n FROM sk GROUP BY ALL), tp AS (SELECT fr.* FROM fr JOIN np USING (doc_id) WHERE on_pages >= greatest(6, n * 0.12))"
+SIG = f"{STROKES}, nk AS (SELECT doc_id, page, kind, least(x0, x1) AS x0, least(y0, y1) AS y0, greatest(x0, x1) AS x1, greatest(y0, y1) AS y1 FROM sk), sg AS (SELECT *, floor(x0 / 4)::INT AS s_x0, floor(y0 / 4)::INT AS s_y0, floor(x1 / 4)::INT AS s_x1, floor(y1 / 4)::INT AS s_y1 FROM nk), fr AS (SELECT doc_id, s_x0, s_y0, s_x1, s_y1, count(DISTINCT page) AS on_pages FROM sg GROUP BY ALL), np AS (SELECT doc_id, count(DISTINCT page) AS n FROM sk GROUP BY ALL), tp AS (SELECT fr.* FROM fr JOIN np USING (doc_id) WHERE on_pages >= greatest(6, n * 0.12))"
 shape_query("a13_template_strokes", f"WITH {SIG} SELECT * FROM tp")(layout.template_strokes)
 shape_query(
     "g3_figure_regions",
     f"""WITH {SIG}, lv AS (SELECT sg.*, (x0 + x1) / 2 AS xc, (y0 + y1) / 2 AS yc FROM sg WHERE NOT EXISTS (FROM tp WHERE tp.doc_id = sg.doc_id AND tp.s_x0 = sg.s_x0 AND tp.s_y0 = sg.s_y0 AND tp.s_x1 = sg.s_x1 AND tp.s_y1 = sg.s_y1) AND x0 BETWEEN 0 AND 560 AND x1 BETWEEN 0 AND 560 AND y0 BETWEEN 0 AND 800 AND y1 BETWEEN 0 AND 800 AND x1 - x0 + y1 - y0 > 3),
     m AS (SELECT doc_id, page, list_sort(list(xc))[count(*) // 2 + 1] AS mx, list_sort(list(yc))[count(*) // 2 + 1] AS my FROM lv GROUP BY ALL), d AS (SELECT doc_id, page, list_sort(list(abs(xc - mx)))[count(*) // 2 + 1] AS dx, list_sort(list(abs(yc - my)))[count(*) // 2 + 1] AS dy FROM lv JOIN m USING (doc_id, page) GROUP BY ALL),
     c AS (SELECT lv.*, abs(xc - mx) <= 4 * CASE WHEN dx = 0 THEN 40 ELSE dx END + 30 AND abs(yc - my) <= 4 * CASE WHEN dy = 0 THEN 40 ELSE dy END + 30 AS core FROM lv JOIN m USING (doc_id, page) JOIN d USING (doc_id, page))
-    SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(x0) FILTER (core) AS core_x0, min(y0) FILTER (core) AS core_y0, max(x1) FILTER (core) AS core_x1, max(y1) FILTER (core) AS core_y1, count(*) AS n, count_if(core) AS n_core FROM c GROUP BY ALL""",
+    SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(min(x0) FILTER (core), min(x0)) AS core_x0, coalesce(min(y0) FILTER (core), min(y0)) AS core_y0, coalesce(max(x1) FILTER (core), max(x1)) AS core_x1, coalesce(max(y1) FILTER (core), max(y1)) AS core_y1, count(*) AS n, CASE WHEN count_if(core) > 0 THEN count_if(core) ELSE count(*) END AS n_core FROM c GROUP BY ALL""",
 )(lambda s: layout.figure_regions(s, 560.0, 800.0))
 shape_query("g7_large_images", f"WITH {STROKES} SELECT * FROM sk WHERE (x1 - x0) * (y1 - y0) > 1500")(lambda s: layout.large_images(s, 1500))
 shape_query("a15_top_colours", f"WITH {PIXELS}, c AS (SELECT doc_id, page, r, g, b, count(*) AS n FROM px WHERE x % 3 = 0 AND y % 3 = 0 GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY doc_id, page))::BIGINT AS total, (row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, r, g, b))::INT AS rank FROM c QUALIFY rank <= 4", PIXEL)(layout.top_colours)

@@ -15,10 +15,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "doc_id string, pos long, t double, seg long"
 
 
-def stream_segments(cues: DataFrame, gap: float) -> DataFrame:
-    """cues(doc_id string, pos long, t double), arriving in the order of pos: each with its segment, as it arrives."""
+def stream_segments(cues: DataFrame, gap: float, idle_ms: int = 86_400_000) -> DataFrame:
+    """cues(doc_id string, pos long, t double), arriving in the order of pos: each with its segment, as it arrives.
+
+    A document without cues for idle_ms of processing time is forgotten, so that the state is bounded by the documents at work.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seg = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values("pos")
         out = []
@@ -28,6 +34,7 @@ def stream_segments(cues: DataFrame, gap: float) -> DataFrame:
             last = t
             out.append((key[0], int(pos), float(t), seg))
         state.update((float(last), seg))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["doc_id", "pos", "t", "seg"])
 
-    return cues.groupBy("doc_id").applyInPandasWithState(step, OUT, "last double, seg long", "append", GroupStateTimeout.NoTimeout)
+    return cues.groupBy("doc_id").applyInPandasWithState(step, OUT, "last double, seg long", "append", GroupStateTimeout.ProcessingTimeTimeout)
