@@ -9,8 +9,8 @@ the same members are resolved once. In a larger bucket the member with the most
 member) pairs are confirmed. That loses nothing: if x is not linked to the centre c, a document y can be linked to x only if x and y
 share a shingle outside c, or y is smaller than c and no larger than |x & c| * (1 + t) / t - |x| (else |x & y| <= |x & c| is too
 small). So what is not linked is dealt again by (c, shingle outside c), where more than one component meets, and compared by (c, size).
-About BLOCK members outside a large group's main component are compared with all members of other components: where that is all of
-them the group is settled, as a link that matters has an end among them. Groups get smaller with every level by these and by
+Large groups are taken by their centres. About SETTLED members outside a group's main component are met with all its members, block by
+block: where that is all of them the group is settled, as a link that matters has an end among them. Groups get smaller with every level by these and by
 their centre, and levels go on until none is large. Hot buckets are aggregated before they are shuffled, joins on them are split, and
 a centre's members are confirmed in blocks of bounded size.
 
@@ -39,6 +39,8 @@ SHINGLE, HASHES, ROWS = 5, 60, 5
 BANDS = 2 * HASHES // ROWS
 #: Nodes that are resolved, or members of a centre that are confirmed, in one block; and their shingles together.
 BLOCK, WEIGHT = 256, 1 << 21
+#: Members of a large group that are settled in one level, and how many of each side meet in a block.
+SETTLED, HALF = 1024, 128
 PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -243,23 +245,29 @@ def _stars(large: DataFrame) -> DataFrame:
     return large.select("key", "x").join(top, "key").filter("c <> x").select("c", "x").distinct()
 
 
-def _settle_some(large: DataFrame, labels: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """large(key, x, n) -> pairs (c, x), and the groups that comparing these does not settle, without the members that it does.
+def _settle_some(stars: DataFrame, labels: DataFrame, weights: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """stars(c, x): groups by their centre -> (key, x), blocks that settle some members, and the stars that are left.
 
-    Of groups with at most BLOCK members outside their main component these are compared with the members of other components. Of all others
-    a share of the nodes is, the same nodes in every group, so that these need no further look: about BLOCK outsiders a group.
+    Of groups with at most SETTLED members outside their main component these are met with all members, HALF of either side in a block. Of
+    larger ones a share of the nodes is, the same nodes in every group, so that these need no further look: about SETTLED a group.
     """
-    near = large.join(labels.select(F.col("id").alias("x"), "comp"), "x", "left").select("key", "x", "n", F.coalesce("comp", "x").alias("comp"))
+    members = stars.union(stars.select("c", F.col("c").alias("x"))).distinct()
+    near = members.join(labels.select(F.col("id").alias("x"), "comp"), "x", "left").select("c", "x", F.coalesce("comp", "x").alias("comp"))
     near = materialize(near, "near")
-    sizes = near.groupBy("key", "comp").agg(F.count("*").alias("s")).groupBy("key").agg(F.max(F.struct("s", "comp")).alias("b"), F.sum("s").alias("all"))
-    sizes = materialize(sizes.select("key", F.col("b.comp").alias("main"), (F.col("all") - F.col("b.s")).alias("others")).filter("others > 0"), "sizes")
+    sizes = near.groupBy("c", "comp").agg(F.count("*").alias("s")).groupBy("c").agg(F.max(F.struct("s", "comp")).alias("b"), F.sum("s").alias("n"))
+    sizes = materialize(sizes.select("c", "n", F.col("b.comp").alias("main"), (F.col("n") - F.col("b.s")).alias("others")).filter("others > 0"), "sizes")
     most = sizes.agg(F.max("others")).first()[0] or 0
-    chosen = F.pmod(F.xxhash64(F.lit(level), "x"), F.lit(max(1, -(-most // BLOCK)))) == 0
-    picked = F.when(F.col("others") <= BLOCK, F.col("comp") != F.col("main")).otherwise(chosen)
-    near = materialize(near.join(sizes, "key").select("key", "x", "n", "comp", "others", picked.alias("picked")), "near")
-    ends = near.filter("picked").select("key", F.col("x").alias("c"), F.col("comp").alias("comp_c"))
-    pairs = near.join(ends, "key").filter((F.col("comp") != F.col("comp_c")) & (~F.col("picked") | (F.col("c") < F.col("x"))))
-    return pairs.select("c", "x").distinct(), near.filter((F.col("others") > BLOCK) & ~F.col("picked")).select("key", "x", "n")
+    chosen = F.pmod(F.xxhash64(F.lit(level), "x"), F.lit(max(1, -(-most // SETTLED)))) == 0
+    picked = F.when(F.col("others") <= SETTLED, F.col("comp") != F.col("main")).otherwise(chosen)
+    near = materialize(near.join(sizes, "c").join(weights, "x").select("c", "x", "w", "others", picked.alias("picked")), "near")
+    need = lambda n, w: F.greatest(F.ceil(n / HALF), F.ceil(F.coalesce(w, F.lit(0)) / (WEIGHT // 2))).cast("int")
+    counts = near.groupBy("c").agg(need(F.count_if("picked"), F.sum(F.when(F.col("picked"), F.col("w")))).alias("ours"), need(F.count("*"), F.sum("w")).alias("all"))
+    cut = near.join(counts.filter("ours > 0"), "c").withColumns({"_i": F.pmod(F.xxhash64(F.lit("ours"), "x"), F.col("ours")).cast("int"), "_j": F.pmod(F.xxhash64(F.lit("all"), "x"), F.col("all")).cast("int")})
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ours = cut.filter("picked").select("c", "_i", blocks("all").alias("_j"), "x")
+    every = cut.select("c", blocks("ours").alias("_i"), "_j", "x")
+    keyed = ours.union(every).select(F.xxhash64("c", "_i", "_j").alias("key"), "x").distinct()
+    return keyed, near.filter((F.col("others") > SETTLED) & ~F.col("picked") & (F.col("c") != F.col("x"))).select("c", "x")
 
 
 def _none(df: DataFrame) -> bool:
@@ -290,11 +298,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     level = 0
     while not _none(large):
         level += 1
-        some, rest = _settle_some(large, components(links), level)
-        seen = materialize(confirm_pairs(_stars(rest), texts).withColumn("linked", _linked(percent)), "seen")
+        some, rest = _settle_some(_stars(large), components(links), nodes.select("x", F.col("n").alias("w")), level)
+        seen = materialize(confirm_pairs(rest, texts).withColumn("linked", _linked(percent)), "seen")
         stars = seen.filter("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
-        found = confirm_pairs(some, texts).filter(_linked(percent)).select(F.col("c").alias("u"), F.col("x").alias("v"))
-        more = materialize(links.union(stars).union(found), "links")
+        more = materialize(links.union(stars).union(resolve_groups(some, texts, percent)), "links")
         discard(links)
         links, rest = more, large.limit(0)
         if not _none(seen):
