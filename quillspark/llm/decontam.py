@@ -127,7 +127,7 @@ class PhraseIndex:
         """(k, t, ik, item_id, places): document positions covered by exact occurrences of an item's windows."""
         at = self.candidates().groupBy("k", "t").agg(F.collect_list(F.struct("ik", "diag", "windows")).alias("c"))  # bounded by the document's own length
         at = materialize(at, "candidates")
-        texts = _keep_marked(self.docs.select("k", "t", "text"), at).groupBy("k", "t").agg(F.min("text").alias("text")).join(at, ["k", "t"])
+        texts = _keep_marked(self.docs.select("k", "t", "text"), at).groupBy("k", "t").agg(F.min("text").alias("text")).join(at.hint("shuffle_merge"), ["k", "t"])  # a written table looks smaller than it is
         each = texts.select("k", "t", exact_words(F.col("text")).alias("dw"), "c").select("k", "t", "dw", F.explode("c").alias("c"))
         each = each.join(self.near["items"], F.col("c.ik") == F.col("ik"))
         same = lambda w: F.slice("dw", F.col("c.diag") + w["start"] + 1, w["len"]) == F.slice("words", w["start"] + 1, w["len"])
