@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -191,9 +192,48 @@ def test_page_ratio(spark):
 
 def test_page_text():
     span = lambda x, y, t, size=10.0, w=10: {"x0": x, "y0": y, "x1": x + w, "y1": y + size, "size": size, "text": t}
-    frac = layout.PageText([span(10, 0, "a"), span(10, 14, "b"), span(0, 80, "x"), span(10, 78, "2", 5.0, 4), span(30, 80, "z")], [(12.0, 9.0, 21.0)])
-    assert frac.lines()[0] == "\\frac{a}{b}" and frac.lines()[1].startswith("x^{2}")
-    assert layout.PageText([span(0, 0, "ϖ"), span(0, 10, "v")], []).lines() == ["\\vec{v}"]
+    page = lambda spans, bars=(): layout.page_text(pd.DataFrame(spans), pd.DataFrame(bars, columns=["y", "x0", "x1"])).split("\n")
+    frac = page([span(10, 0, "a"), span(10, 14, "b"), span(0, 80, "x"), span(10, 78, "2", 5.0, 4), span(30, 80, "z")], [(12.0, 9.0, 21.0)])
+    assert frac[0] == "\\frac{a}{b}" and frac[1].startswith("x^{2}")
+    assert page([span(0, 0, "ϖ"), span(0, 10, "v")]) == ["\\vec{v}"]
+    assert page([span(0, 0, "a"), span(1, 1, "a"), span(30, 0, "a")]) == ["a a"] and page([span(0, 0, " ")]) == [""]
+
+
+def test_mask():
+    text = "a `b$` $c$ $$d\ne$$ \\* f\n```x\n**g**\n```\nh `i\nj` ```k"
+    assert markup.mask(text) == "a xxxx xxx xxx\nxxx xx f\nxxxx\nxxxxx\nxxx\nh `i\nj` ```k"
+    assert markup.mask("~~~\n`a`\n```\n$") == "~~~\nxxx\n```\n$"
+
+
+def test_core_falls_back_to_all_strokes(spark):
+    """No stroke near both medians: all count; strokes drawn right to left are turned."""
+    rows = [(1, 1, "line", 500.0, 0.0, 490.0, 10.0), (1, 1, "line", 0.0, 700.0, 10.0, 710.0), (1, 1, "line", 505.0, 0.0, 515.0, 10.0), (1, 1, "line", 0.0, 705.0, 10.0, 715.0)]
+    r = layout.figure_regions(spark.createDataFrame(rows, "doc_id long, page int, kind string, x0 double, y0 double, x1 double, y1 double"), 560.0, 800.0).first()
+    assert (r["x0"], r["y0"], r["x1"], r["y1"], r["n"]) == (0.0, 0.0, 515.0, 715.0, 4) and r["core_x0"] is not None and r["n_core"] > 0
+
+
+def test_search_by_likeness(spark):
+    """O1: a note whose stem only resembles the query ranks among the others."""
+    n = spark.createDataFrame([(1, "a", "alphabet", "x"), (2, "b", "alfabet", "x"), (3, "c", "zzz", "alphabet"), (4, "d", "zzz", "x")], "note_id long, rel string, stem string, text string")
+    got = [(r["note_id"], r["score"]) for r in similarity.find_notes(n, "Alphabet").collect()]
+    assert got == [(1, 10), (2, int(5 * difflib.SequenceMatcher(None, "alphabet", "alfabet").ratio())), (3, 1)]
+
+
+def test_symbols_of_several_characters(spark):
+    assert one(spark, fx.decode_symbols(F.col("t"), {0x61: "α", 0x62: "lim"}), t="\uf061\uf062c") == "αlimc"
+
+
+def test_index_and_join_agree(spark, monkeypatch):
+    """Few drafts as an index, many by shuffle: the same pairs."""
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne"]) for _ in range(90))
+    base = text()
+    mk = lambda k, rows: similarity.units_of(spark.createDataFrame(rows, f"{k} long, text string"), k)
+    d, n = mk("d", [(1, base), (2, text()), (3, "|" * 30), (4, "")]), mk("n", [(1, base[10:] + text()), (2, text()), (3, base), (4, "#" * 40)])
+    found = lambda: sorted(tuple(r) for r in similarity.similar_units(d, n).select("d", "unit_no", "n", "both", "either").collect())
+    index = found()
+    monkeypatch.setattr(similarity, "INDEX_GRAMS", -1)
+    assert index == found() and len(index) > 3
 
 
 def test_panels(spark):
