@@ -142,18 +142,28 @@ def first_bad_line(notes: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def closest_lines(notes: DataFrame, needles: DataFrame, top: int = 2, floor: float = 0.6) -> DataFrame:
-    """needles(note_id, needle): the note's lines most like it by longest matching blocks, at `floor` or more."""
+    """needles(note_id, needle): the note's lines most like it by longest matching blocks, at `floor` or more.
+
+    A needle that stands in the text once its lines' leading marks (quote, list, number) are gone gives that line alone, with ratio 1.
+    """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
-    rows = lines_of(notes).withColumn("s", strip(F.col("line"))).filter("s <> ''").join(needles.withColumn("key", strip(F.col("needle"))).filter("key <> ''"), "note_id")
+    asked = needles.withColumn("key", strip(F.col("needle"))).filter("key <> ''")
+    bare = strip(F.array_join(F.transform(split_lines(F.col("needle")), lambda x: F.regexp_replace(x, r"(?U)^\s*(?:>\s?|[-*+]\s|\d+[.、]\s)", "")), "\n"))
+    inside = notes.join(asked.withColumn("_bare", bare).filter("_bare <> '' and _bare <> key"), "note_id").withColumn("_at", F.position("_bare", "text")).filter("_at > 0")
+    lead = F.substr("text", F.lit(1), F.col("_at") - 1)
+    line_no = (F.char_length(lead) - F.char_length(F.replace(lead, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    inside = inside.withColumn("line_no", line_no).select("note_id", "needle", F.lit(1).alias("rank"), "line_no", strip(F.get(F.split("text", "\n"), F.col("line_no") - 1)).alias("s"), F.lit(1.0).alias("ratio"))
+    rows = lines_of(notes).withColumn("s", strip(F.col("line"))).filter("s <> ''").join(asked.join(inside, ["note_id", "needle"], "left_anti"), "note_id")
     # the ratio is at most twice the shorter length over the sum: most lines need no comparison
     n, m = F.char_length("key"), F.char_length("s")
     scored = rows.filter(2 * F.least(n, m) >= floor * (n + m)).withColumn("ratio", ratio("key", "s")).filter(F.col("ratio") >= floor)
     w = Window.partitionBy("note_id", "needle").orderBy(F.desc("ratio"), "pos")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("note_id", "needle", "rank", (F.col("pos") + 1).alias("line_no"), "s", "ratio")
+    scored = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return scored.select("note_id", "needle", "rank", (F.col("pos") + 1).alias("line_no"), "s", "ratio").unionByName(inside)
 
 
 def flat_toc(notes: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -248,11 +258,20 @@ def list_callouts(notes: DataFrame) -> DataFrame:
     return l.filter(F.col("line").rlike(CALLOUT_HEAD)).select("note_id", "pos", F.regexp_extract("line", CALLOUT_HEAD, 1).alias("kind"), strip(F.regexp_extract("line", CALLOUT_HEAD, 3)).alias("title"), "h2", "h3")
 
 
-def flatten_callouts(notes: DataFrame, kinds: list[str], plain: bool = False) -> DataFrame:
-    """M6: callouts of these kinds as plain text: (note_id, new_text). Short titles become bold, blank ends go."""
+def flatten_callouts(notes: DataFrame, kinds: list[str], plain: bool = False, at: DataFrame | None = None) -> DataFrame:
+    """M6: callouts of these kinds, and those whose heads stand at lines at(note_id, line_no), as plain text: (note_id, reason, new_text).
+
+    Short titles become bold, blank ends go. A note asked for a line that is no callout's head is refused whole.
+    """
     l = notes.repartition("note_id").select("note_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     is_head, quoted = F.col("line").rlike(CALLOUT_HEAD), F.col("line").startswith(">")
     target = is_head & F.lower(F.regexp_extract("line", CALLOUT_HEAD, 1)).isin(*[k.lower() for k in kinds])
+    refused = notes.select("note_id").limit(0)
+    if at is not None:
+        asked = at.select("note_id", (F.col("line_no") - 1).alias("pos"), F.lit(True).alias("_asked")).distinct()
+        l = l.join(asked, ["note_id", "pos"], "left")
+        target = target | (is_head & F.coalesce("_asked", F.lit(False)))
+        refused = asked.join(l.filter(is_head).select("note_id", "pos"), ["note_id", "pos"], "left_anti").select("note_id").distinct()
     # a target opens a block; a line without a quote mark ends it; other callouts inside stay part of its body
     l = l.withColumn("run", F.sum((~quoted).cast("int")).over(upto())).withColumn("target", target)
     l = l.withColumn("blk", F.when(quoted, F.max(F.when(F.col("target"), F.col("pos"))).over(upto(Window.partitionBy("note_id", "run").orderBy("pos")))))
@@ -266,7 +285,9 @@ def flatten_callouts(notes: DataFrame, kinds: list[str], plain: bool = False) ->
     line = F.when(F.col("blk").isNull(), F.col("line")).when(F.col("target"), shown).when(F.col("pos").between(F.col("lo"), F.col("hi")), F.col("body"))
     rows = l.select("note_id", "pos", line.alias("line")).filter("line is not null")
     made = rows.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return made.select("note_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("new_text"))
+    made = made.select("note_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("_new"))
+    out = notes.join(made, "note_id", "left").join(refused.withColumn("_no", F.lit(True)), "note_id", "left")
+    return out.select("note_id", F.when(F.col("_no"), "no callout at that line").alias("reason"), F.when(F.col("_no"), F.col("text")).otherwise(F.coalesce("_new", F.lit(""))).alias("new_text"))
 
 
 def take_snapshots(snapshots: DataFrame, notes: DataFrame, stamp: str) -> DataFrame:

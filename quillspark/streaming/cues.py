@@ -15,10 +15,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "doc_id string, pos long, t double, seg long"
 
 
-def stream_segments(cues: DataFrame, gap: float, idle_ms: int = 86_400_000) -> DataFrame:
+def stream_segments(cues: DataFrame, gap: float, idle_ms: int | None = None) -> DataFrame:
     """cues(doc_id string, pos long, t double), arriving in the order of pos: each with its segment, as it arrives.
 
-    A document without cues for idle_ms of processing time is forgotten, so that the state is bounded by the documents at work.
+    With idle_ms a document without cues for so much processing time is forgotten, so that the state is bounded by the documents at
+    work. Such a query goes on looking for what has run out, so a trigger that ends (availableNow) needs None.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,7 +35,8 @@ def stream_segments(cues: DataFrame, gap: float, idle_ms: int = 86_400_000) -> D
             last = t
             out.append((key[0], int(pos), float(t), seg))
         state.update((float(last), seg))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["doc_id", "pos", "t", "seg"])
 
-    return cues.groupBy("doc_id").applyInPandasWithState(step, OUT, "last double, seg long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cues.groupBy("doc_id").applyInPandasWithState(step, OUT, "last double, seg long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -160,6 +160,8 @@ def test_patch(spark):
     assert (bad["good"], bad["breaks_at"]) == (1, "lX")
     near = edits.closest_lines(notes(spark, "hello world\nother"), spark.createDataFrame([(0, "hello worlt")], "note_id long, needle string")).collect()
     assert [r["line_no"] for r in near] == [1]
+    tail = edits.closest_lines(notes(spark, "one\na long line that ends like this\nthat ends like that"), spark.createDataFrame([(0, "> that ends like this")], "note_id long, needle string")).collect()
+    assert [(r["line_no"], r["ratio"], r["s"]) for r in tail] == [(2, 1.0, "a long line that ends like this")]
 
 
 def test_toc_rebuild(spark):
@@ -172,6 +174,10 @@ def test_toc_rebuild(spark):
 def test_flatten(spark):
     n = notes(spark, "> [!tip] Short\n>\n> a\n> b\n>\nc\n> [!note] keep")
     assert edits.flatten_callouts(n, ["tip"]).first()["new_text"] == "**Short**\na\nb\nc\n> [!note] keep"
+    at = lambda *k: spark.createDataFrame([(0, x) for x in k], "note_id long, line_no int")
+    assert edits.flatten_callouts(n, [], at=at(7)).first()["new_text"] == "> [!tip] Short\n>\n> a\n> b\n>\nc\n**keep**"
+    got = edits.flatten_callouts(n, [], at=at(7, 3)).first()
+    assert got["reason"] == "no callout at that line" and got["new_text"] == n.first()["text"]
 
 
 def test_snapshots(spark):
@@ -196,13 +202,13 @@ def test_page_text():
     frac = page([span(10, 0, "a"), span(10, 14, "b"), span(0, 80, "x"), span(10, 78, "2", 5.0, 4), span(30, 80, "z")], [(12.0, 9.0, 21.0)])
     assert frac[0] == "\\frac{a}{b}" and frac[1].startswith("x^{2}")
     assert page([span(0, 0, "ϖ"), span(0, 10, "v")]) == ["\\vec{v}"]
-    assert page([span(0, 0, "a"), span(1, 1, "a"), span(30, 0, "a")]) == ["a a"] and page([span(0, 0, " ")]) == [""]
+    assert page([span(0, 0, "a"), span(1, 1, "a"), span(30, 0, "a")]) == ["aa"] and page([span(0, 0, " ")]) == [""]
 
 
 def test_mask():
     text = "a `b$` $c$ $$d\ne$$ \\* f\n```x\n**g**\n```\nh `i\nj` ```k"
-    assert markup.mask(text) == "a xxxx xxx xxx\nxxx xx f\nxxxx\nxxxxx\nxxx\nh `i\nj` ```k"
-    assert markup.mask("~~~\n`a`\n```\n$") == "~~~\nxxx\n```\n$"
+    assert markup.mask(text) == "a xxxx xxx xxx\nxxx xx f\nxxxx\nxxxxx\nxxx\nh `i\njxxxxxk"
+    assert markup.mask("~~~\n`a`\n$\n~~~ x") == "xxx\nxxx\nx\nxxxxx" and markup.mask("~~~\n`a`\n$") == "~~~\nxxx\n$"
 
 
 def test_core_falls_back_to_all_strokes(spark):
