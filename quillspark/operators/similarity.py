@@ -169,19 +169,16 @@ def frequent_grams(text: str, most: int) -> list[str]:
             for j in range(n):
                 key = key << np.uint64(16) | c[j : len(c) - n + 1 + j]
             _, first, count = np.unique(key, return_index=True, return_counts=True)
-            parts.append(np.stack([-count, np.full(len(first), n), first]))
+            often = np.flatnonzero(count > 1)  # what is seen once ranks behind, and goes
+            parts.append(np.stack([count[often], np.full(len(often), n), first[often]]))
     if not parts:
         return []
     count, n, first = np.concatenate(parts, 1)
-    out, seen = [], 0
-    for k in np.lexsort((first, n, count))[: most + len(_stop)]:
-        gram = text[first[k] : first[k] + n[k]]
-        if gram not in _stop:
-            seen += 1
-            if seen > most or count[k] == -1:
-                break
-            out.append(gram)
-    return out
+    need = most + len(_stop)
+    if len(count) > need:  # only these can be among the first `need`
+        count, n, first = (x[count >= np.partition(count, -need)[-need]] for x in (count, n, first))
+    ranked = (text[first[k] : first[k] + n[k]] for k in np.lexsort((first, n, -count)))
+    return [gram for gram in ranked if gram not in _stop][:most]
 
 
 def fallback_keywords(docs: DataFrame, key: str, topk: int = 40) -> DataFrame:
