@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,33 +83,68 @@ def pauses(cues: DataFrame, gaps: DataFrame | None = None, most: int = 25) -> Da
     return hit.withColumn("k", F.row_number().over(_order())).filter(F.col("k") <= most).select("doc_id", "pos", "t", "pause", "k")
 
 
+class Fold:
+    """W9 for one segment: cues come in, finished paragraphs (doc_id, seg, k, t, text) go out."""
+
+    def __init__(self, doc_id, seg: int, most: int, cut_from: float, t):
+        self.key, self.most, self.cut_from, self.start, self.k = (doc_id, seg), most, cut_from, t, 0
+        self.parts, self.size, self.last, self.stop = [], 0, "", 0
+
+    def add(self, t, said: str) -> list[tuple]:
+        if not said:
+            pieces = []
+        elif not self.size or "一" <= self.last <= "鿿" or "一" <= said[0] <= "鿿":
+            pieces = [said]
+        else:
+            pieces = [" ", said]
+        self.parts += pieces
+        if pieces:
+            found = [m.end() for m in SENTENCE.finditer(said)]
+            self.size += len(pieces) - 1
+            self.stop = self.size + found[-1] if found else self.stop
+            self.size, self.last = self.size + len(said), said[-1]
+        if self.size < self.most or not self.stop or self.stop < self.cut_from:
+            return []
+        text = "".join(self.parts)
+        out = [(*self.key, self.k, self.start, text[: self.stop])]
+        rest = text[self.stop :]
+        self.parts, self.size, self.stop, self.start, self.k = [rest], len(rest), 0, t, self.k + 1
+        return out
+
+    def end(self) -> list[tuple]:
+        text = "".join(self.parts)
+        return [(*self.key, self.k, self.start, text)] if text.strip() else []
+
+
 def paragraphs(cues: DataFrame, gaps: DataFrame | None = None, max_para: int = 320, keep_ts: bool = False, spoken: bool = True) -> DataFrame:
     """(doc_id, para_no, t, text): segments, cut after the last sentence end where they grow too long, cleaned.
 
-    The cut carries text over to the next paragraph, so each segment is folded in Python; nothing carries over a gap.
+    The cut carries text over to the next paragraph, so cues are folded in Python, in order, from one segment to the next; nothing carries over
+    a gap. Only new text is searched for sentence ends: what is behind the last one holds none.
     """
     cut_from = 0.6 * max_para
-    cjk = re.compile("[一-鿿]")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, text, start = [], "", None
-        for t, said in rows.sort_values("pos")[["t", "text"]].itertuples(index=False):
-            if start is None:
-                start = t
-            seam = "" if not text or not said or cjk.match(text[-1]) or cjk.match(said[0]) else " "
-            text += seam + said
-            if len(text) >= max_para:
-                ends = [m.end() for m in SENTENCE.finditer(text)]
-                if ends and ends[-1] >= cut_from:
-                    out.append((start, text[: ends[-1]]))
-                    text, start = text[ends[-1] :], t
-        if text.strip():
-            out.append((start, text))
-        key = rows.iloc[0]
-        return pd.DataFrame([(key["doc_id"], key["seg"], k, t, s) for k, (t, s) in enumerate(out)], columns=["doc_id", "seg", "k", "t", "text"])
-
     kind = cues.schema["doc_id"].dataType.simpleString()
-    folded = segments(cues, gaps).select("doc_id", "seg", "pos", "t", "text").groupBy("doc_id", "seg").applyInPandas(fold, f"doc_id {kind}, seg long, k int, t double, text string")
+
+    def run(batches):
+        key, fold, types = None, None, None
+        for b in batches:
+            types, done = b.schema.field(0).type, []
+            for doc_id, seg, t, said in zip(*(c.to_pylist() for c in b.columns)):
+                if (doc_id, seg) != key:
+                    if fold:
+                        done += fold.end()
+                    key, fold = (doc_id, seg), Fold(doc_id, seg, max_para, cut_from, t)
+                done += fold.add(t, said or "")
+            if done:
+                yield made(done, types)
+        if fold and (done := fold.end()):
+            yield made(done, types)
+
+    def made(done, kind):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (kind, pa.int64(), pa.int32(), pa.float64(), pa.string()))], ["doc_id", "seg", "k", "t", "text"])
+
+    rows = segments(cues, gaps).sortWithinPartitions("doc_id", "pos")  # its windows leave documents whole
+    folded = rows.select("doc_id", "seg", F.col("t").cast("double"), "text").mapInArrow(run, f"doc_id {kind}, seg long, k int, t double, text string")
     text = clean_inline(F.col("text"))
     folded = folded.withColumn("text", despeak(text) if spoken else text).filter("text <> ''")
     no = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg", "k")) - 1

@@ -375,3 +375,15 @@ def test_pages_are_rebuilt_the_same_in_any_order(spark):
     got = {(r["doc_id"], r["page"]): r["text"] for r in made(spans).collect()}
     assert len(got) == 400 and len(set(got.values())) == 1
     assert got == {(r["doc_id"], r["page"]): r["text"] for r in made(spans[::-1]).collect()}
+
+
+def test_paragraphs_of_many_and_of_long_segments(spark):
+    """Segments are folded row by row: no data frame a segment, and text without a sentence end is not searched again and again."""
+    rows = [(d, k, 100.0 * k, f"a{d}-{k}") for d in range(5) for k in range(40)] + [(9, k, k / 10, "word") for k in range(100_000)]
+    c = spark.createDataFrame(rows, "doc_id long, pos int, t double, text string").repartition(7)
+    gaps = spark.createDataFrame([(d, 5.0) for d in range(10)], "doc_id long, gap double")
+    made = cues.paragraphs(c, gaps, max_para=20, spoken=False)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    got = {(r["doc_id"], r["para_no"]): (r["t"], r["text"]) for r in made.collect()}
+    assert len(got) == 201 and all(got[d, k] == (100.0 * k, f"a{d}-{k}") for d in range(5) for k in range(40))
+    assert got[9, 0] == (0.0, " ".join(["word"] * 100_000))
