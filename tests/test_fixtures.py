@@ -387,3 +387,12 @@ def test_paragraphs_of_many_and_of_long_segments(spark):
     got = {(r["doc_id"], r["para_no"]): (r["t"], r["text"]) for r in made.collect()}
     assert len(got) == 201 and all(got[d, k] == (100.0 * k, f"a{d}-{k}") for d in range(5) for k in range(40))
     assert got[9, 0] == (0.0, " ".join(["word"] * 100_000))
+
+
+def test_transcript_stats_of_many_segments(spark):
+    """Statistics need no data frame a segment."""
+    rows = [(d, k, 100.0 * k, "word") for d in range(50) for k in range(30)]
+    c = spark.createDataFrame(rows, "doc_id long, pos int, t double, text string")
+    made = cues.transcript_stats(c, cues.paragraphs(c, max_para=60))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    assert {tuple(r) for r in made.select("n_cues", "n_paras", "avg_len", "duration", "gap").collect()} == {(30, 30, 4, 2900.0, 5.0)} and made.count() == 50
