@@ -7,15 +7,18 @@ applied in part. Writing the result is the caller's single commit point.
 from __future__ import annotations
 
 import difflib
-
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import WS, insert_lines, let, strip, to_note
 from quillspark.operators.lines import HEADING, by_note, headings, lines_of, sections, split_lines, upto
 
+_MARK, _NUMBERED = re.compile(r"(#{1,6})\s"), re.compile(r"\A\s*\d+(?:\.\d+)*\.?\s*\[\[#", re.ASCII)
+_CONTENTS = ("目录", "Contents", "Table of Contents")
 CALLOUT_HEAD = r"^> \[!([A-Za-z-]+)\]([+-]?)(?U:\s*)(.*)$"
 
 
@@ -168,7 +171,7 @@ def closest_lines(notes: DataFrame, needles: DataFrame, top: int = 2, floor: flo
 
 def flat_toc(notes: DataFrame, exclude: str | None = None) -> DataFrame:
     """Entries N. and N.M of level 2 and 3 headings, in order; a deeper counter restarts below each shallower heading."""
-    h = headings(notes).filter(F.col("level").isin(2, 3) & ~F.col("title").isin("目录", "Contents", "Table of Contents") & ~F.col("title").startswith("<!--"))
+    h = headings(notes).filter(F.col("level").isin(2, 3) & ~F.col("title").isin(*_CONTENTS) & ~F.col("title").startswith("<!--"))
     if exclude:
         h = h.filter(~F.col("title").rlike(exclude))
     w = by_note().rowsBetween(Window.unboundedPreceding, 0)
@@ -221,30 +224,108 @@ def toc_style(notes: DataFrame, section: str = "目录") -> DataFrame:
     return out.select("note_id", style.alias("style"), "group_level")
 
 
+def _heading(line: str) -> tuple[int, str] | None:
+    """Level and title of a heading line."""
+    m = _MARK.match(line)
+    if not m:
+        return None
+    raw = line[m.end(1) :].strip()
+    title = raw.rstrip("#")
+    return m.end(1), (raw if title == raw else title).strip()
+
+
+def _headings(lines: list[str]) -> list[tuple[int, int, str]]:
+    """P1 for one note: (pos, level, title) outside toggled code."""
+    out, code = [], False
+    for k, x in enumerate(lines):
+        if ("```" in x or "~~~" in x) and x.lstrip()[:3] in ("```", "~~~"):
+            code = not code
+        elif not code and x[:1] == "#" and (h := _heading(x)):
+            out.append((k, *h))
+    return out
+
+
+def _toc_style(lines: list[str], heads: list[tuple[int, int, str]], toc: int, end: int) -> tuple[str, int | None]:
+    """W15 for the contents section from line toc to line end."""
+    inside = lines[toc + 1 : end]
+    titles = [h[1] for h in (_heading(x.strip()) for x in inside) if h]
+    if titles:
+        later = {title: level for pos, level, title in heads if pos >= end}
+        level = next((later[t] for t in titles if t in later), None)
+        return ("unknown" if level is None else "grouped"), level
+    items = [x for x in inside if "[[" in x]
+    return ("flat" if items and all(map(_NUMBERED.search, items)) else "unknown"), None
+
+
+def _flat_entries(heads: list[tuple[int, int, str]], skip: set[str]) -> list[str]:
+    """W13 for one note."""
+    out, major, minor = [], 0, 0
+    for _, level, title in heads:
+        if level not in (2, 3) or title in _CONTENTS or title.startswith("<!--") or title in skip:
+            continue
+        major, minor = (major + 1, 0) if level == 2 else (major, minor + 1)
+        out.append(f"{major}. [[#{title}]]" if level == 2 else f"  {major}.{minor} [[#{title}]]" if major else f"  {minor}. [[#{title}]]")
+    return out
+
+
+def _grouped_entries(heads: list[tuple[int, int, str]], group: int, cut: int, section: str, skip: set[str]) -> list[str]:
+    """W14 for one note, with an empty line before every group but the first."""
+    out, title_of_group, open_group, n = [], None, False, 0
+    for pos, level, title in heads:
+        if pos <= cut or title == section or title.startswith("<!--"):
+            continue
+        if level <= group:
+            open_group = level == group and title not in skip
+            title_of_group = title if open_group else None
+        elif level == group + 1 and title not in skip and open_group:
+            if title_of_group is not None:
+                out += ["", f"### {title_of_group}"] if out else [f"### {title_of_group}"]
+                title_of_group = None
+            n += 1
+            out.append(f"{n}. [[#{title}]]")
+    return out
+
+
+def _new_toc(text: str | None, section: str, skip: set[str]) -> tuple[str | None, str | None]:
+    """M5 for one note: reason and text."""
+    lines = (text or "").splitlines()
+    heads = _headings(lines)
+    found = next(((pos, level) for pos, level, title in heads if title == section), None)
+    if not found:
+        return "no contents section", text
+    toc, own = found
+    end = next((pos for pos, level, _ in heads if pos > toc and level <= own), len(lines))
+    style, group = _toc_style(lines, heads, toc, end)
+    if style == "unknown":
+        return "unknown style", text
+    made = _flat_entries(heads, skip) if style == "flat" else _grouped_entries(heads, group, toc, section, skip)
+    if not made:
+        return "no headings", text
+
+    def owned(x):
+        s = x.strip()
+        return not s or "[[" in x or ((h := _MARK.match(s)) and h.end(1) > own)
+
+    after = next((k for k in range(toc + 1, end) if not owned(lines[k])), end)
+    first = next((k for k in range(after, len(lines)) if lines[k].strip()), len(lines))
+    return None, "\n".join([*lines[: toc + 1], "", *made, "", *lines[first:]]).rstrip("\n") + "\n"
+
+
 def rebuild_toc(notes: DataFrame, section: str = "目录", exclude: str | None = None) -> DataFrame:
-    """M5 (W16): the contents section rebuilt in its own style, or a refusal: (note_id, reason, new_text)."""
-    style, block = toc_style(notes, section), toc_block(notes, section)
-    cut = block.select("note_id", F.col("pos").alias("cut"))
-    made = flat_toc(notes, exclude).join(style.filter("style = 'flat'"), "note_id", "left_semi")
-    grouped = style.filter("style = 'grouped'").select("note_id", "group_level")
-    made = made.unionByName(grouped_toc(notes, grouped, cut, exclude, section))
-    made = made.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("pos", "entry"))).alias("e"))
-    # an empty line before every group but the first
-    spaced = F.flatten(F.transform("e", lambda x, i: F.when(x["entry"].startswith("### ") & (i > 0), F.array(F.lit(""), x["entry"])).otherwise(F.array(x["entry"]))))
-    b = notes.join(block, "note_id", "left").join(style, "note_id").join(made.select("note_id", spaced.alias("toc")), "note_id", "left").withColumn("lines", split_lines(F.col("text")))
-    inner = F.slice("lines", F.col("pos") + 2, F.greatest(F.col("end") - F.col("pos") - 1, F.lit(0)))
-    depth = lambda x: F.char_length(F.regexp_extract(strip(x), HEADING, 1))
-    owned = lambda x: (strip(x) == "") | F.contains(x, F.lit("[[")) | (depth(x) > F.col("level"))
-    foreign = F.array_position(F.transform(inner, owned), False)
-    last = F.col("pos") + F.when(foreign > 0, foreign - 1).otherwise(F.size(inner))
-    rest = F.slice("lines", (last + 2).cast("int"), F.size("lines"))
-    first = F.array_position(F.transform(rest, lambda x: strip(x) != ""), True)
-    none = F.array().cast("array<string>")
-    tail = F.when(first > 0, F.slice(rest, first.cast("int"), F.size(rest))).otherwise(none)
-    gap = F.array(F.lit(""))
-    new = to_note(F.concat(F.slice("lines", F.lit(1), F.col("pos") + 1), gap, "toc", gap, tail))
-    reason = F.when(F.col("style") == "absent", "no contents section").when(F.col("style") == "unknown", "unknown style").when(F.col("toc").isNull(), "no headings")
-    return b.withColumn("reason", reason).select("note_id", "reason", F.when(F.col("reason").isNull(), new).otherwise(F.col("text")).alias("new_text"))
+    """M5 (W16): the contents section rebuilt in its own style, or a refusal: (note_id, reason, new_text). Row-local: no shuffle without `exclude`."""
+    kind = notes.schema["note_id"].dataType.simpleString()
+    rows = notes.select("note_id", "text")
+    if exclude:  # titles are matched where `exclude` is written for
+        out = headings(notes).filter(F.col("title").rlike(exclude)).groupBy("note_id").agg(F.collect_set("title").alias("skip"))
+        rows = rows.join(out, "note_id", "left")
+
+    def run(batches):
+        for b in batches:
+            skips = b.column(2).to_pylist() if exclude else [None] * b.num_rows
+            made = [_new_toc(x.as_py(), section, set(skip or ())) for x, skip in zip(b.column(1), skips)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], pa.string()) for k in (0, 1))], ["note_id", "reason", "new_text"])
+
+    return rows.mapInArrow(run, f"note_id {kind}, reason string, new_text string")
 
 
 def list_callouts(notes: DataFrame) -> DataFrame:

@@ -396,3 +396,17 @@ def test_transcript_stats_of_many_segments(spark):
     made = cues.transcript_stats(c, cues.paragraphs(c, max_para=60))
     assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
     assert {tuple(r) for r in made.select("n_cues", "n_paras", "avg_len", "duration", "gap").collect()} == {(30, 30, 4, 2900.0, 5.0)} and made.count() == 50
+
+
+def test_toc_rebuild_needs_no_shuffle(spark):
+    """M5: a note is rebuilt by itself; texts are not dealt out, nor read again for each part of the result."""
+    flat = "# T\n## 目录\n1. [[#Old]]\n\n## A\n### a ##\n```\n## code\n```\n## B\n"
+    n = notes(spark, flat, "# T\n## A", "", flat.replace("\n", "\r\n"))
+    made = edits.rebuild_toc(n)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1
+    got = {r["note_id"]: r for r in made.collect()}
+    want = "# T\n## 目录\n\n1. [[#A]]\n  1.1 [[#a]]\n2. [[#B]]\n\n## A\n### a ##\n```\n## code\n```\n## B\n"
+    assert got[0]["new_text"] == got[3]["new_text"] == want and got[0]["reason"] is None
+    assert (got[1]["reason"], got[2]["reason"], got[2]["new_text"]) == ("no contents section", "no contents section", "")
+    assert "[[#B]]" not in {r["note_id"]: r for r in edits.rebuild_toc(n, exclude="^B").collect()}[0]["new_text"]
