@@ -5,6 +5,8 @@ White space means Unicode white space plus U+001C to U+001F, as in the semantics
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def strip_md(c: Column) -> Column:
     return c
 
 
+_PLAIN = [(re.compile(p, re.S), by) for p, by in ((r"<!--.*?-->", " "), (r"\$\$.*?\$\$", " "), (r"\$[^$\n]*\$", " "), (r"```.*?```|`[^`]*`|!?\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)", " "))]
+_MARKS, _ODD_END = re.compile(r"^\s{0,3}#{1,6}\s*", re.M), re.compile("[\r\x85\u2028\u2029]")
+_MARKS_ODD = re.compile(r"(?:\A|(?<=[\n\x85\u2028\u2029])|(?<=\r)(?!\n))\s{0,3}#{1,6}\s*")
+
+
+def plain_md(t: str) -> str:
+    """P5 in Python, for operators that hold a text there anyway: what strip_md gives."""
+    if t.startswith("---") and (shut := t.find("\n---", 3)) >= 0:
+        t = t[shut + 4 :]
+    for pattern, by in _PLAIN:
+        t = pattern.sub(by, t)
+    return (_MARKS_ODD if _ODD_END.search(t) else _MARKS).sub("", t)
+
+
 def valid_keyword(c: Column) -> Column:
     """Two characters or more, no number, page, short Latin word, video size, metadata or stop word."""
     noise = c.rlike(r"(?U)\A[\d\s.、%\-]+\z") | c.rlike(r"\A[A-Za-z]{1,2}\z") | c.rlike(r"(?U)\A\d{2,4}[PpKk]\z") | c.rlike(r"(?i)\A(cc|bilibili|subtitle|clippings)\z")

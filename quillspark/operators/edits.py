@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import WS, insert_lines, let, strip, to_note
-from quillspark.operators.lines import HEADING, by_note, headings, lines_of, sections, split_lines, upto
+from quillspark.operators.lines import HEADING, MARK, by_note, heading_of, headings, headings_of, lines_of, sections, split_lines, upto
 
-_MARK, _NUMBERED = re.compile(r"(#{1,6})\s"), re.compile(r"\A\s*\d+(?:\.\d+)*\.?\s*\[\[#", re.ASCII)
+_NUMBERED = re.compile(r"\A\s*\d+(?:\.\d+)*\.?\s*\[\[#", re.ASCII)
 _CONTENTS = ("目录", "Contents", "Table of Contents")
 CALLOUT_HEAD = r"^> \[!([A-Za-z-]+)\]([+-]?)(?U:\s*)(.*)$"
 
@@ -224,31 +224,10 @@ def toc_style(notes: DataFrame, section: str = "目录") -> DataFrame:
     return out.select("note_id", style.alias("style"), "group_level")
 
 
-def _heading(line: str) -> tuple[int, str] | None:
-    """Level and title of a heading line."""
-    m = _MARK.match(line)
-    if not m:
-        return None
-    raw = line[m.end(1) :].strip()
-    title = raw.rstrip("#")
-    return m.end(1), (raw if title == raw else title).strip()
-
-
-def _headings(lines: list[str]) -> list[tuple[int, int, str]]:
-    """P1 for one note: (pos, level, title) outside toggled code."""
-    out, code = [], False
-    for k, x in enumerate(lines):
-        if ("```" in x or "~~~" in x) and x.lstrip()[:3] in ("```", "~~~"):
-            code = not code
-        elif not code and x[:1] == "#" and (h := _heading(x)):
-            out.append((k, *h))
-    return out
-
-
 def _toc_style(lines: list[str], heads: list[tuple[int, int, str]], toc: int, end: int) -> tuple[str, int | None]:
     """W15 for the contents section from line toc to line end."""
     inside = lines[toc + 1 : end]
-    titles = [h[1] for h in (_heading(x.strip()) for x in inside) if h]
+    titles = [h[1] for h in (heading_of(x.strip()) for x in inside) if h]
     if titles:
         later = {title: level for pos, level, title in heads if pos >= end}
         level = next((later[t] for t in titles if t in later), None)
@@ -289,7 +268,7 @@ def _grouped_entries(heads: list[tuple[int, int, str]], group: int, cut: int, se
 def _new_toc(text: str | None, section: str, skip: set[str]) -> tuple[str | None, str | None]:
     """M5 for one note: reason and text."""
     lines = (text or "").splitlines()
-    heads = _headings(lines)
+    heads = headings_of(lines)
     found = next(((pos, level) for pos, level, title in heads if title == section), None)
     if not found:
         return "no contents section", text
@@ -304,7 +283,7 @@ def _new_toc(text: str | None, section: str, skip: set[str]) -> tuple[str | None
 
     def owned(x):
         s = x.strip()
-        return not s or "[[" in x or ((h := _MARK.match(s)) and h.end(1) > own)
+        return not s or "[[" in x or ((h := MARK.match(s)) and h.end(1) > own)
 
     after = next((k for k in range(toc + 1, end) if not owned(lines[k])), end)
     first = next((k for k in range(after, len(lines)) if lines[k].strip()), len(lines))

@@ -6,6 +6,8 @@ lines, so that every window by note runs where its lines are: one shuffle, of wh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quillspark.functions.text import LINE_END, WS, strip, strip_md
 FENCE = rf"(?U)^{WS}*(```|~~~)"
 HEADING = rf"(?U)^(#{{1,6}}){WS}+(.*?){WS}*$"
 QUOTE = rf"(?U)^{WS}*(?:>{WS}*)+"
+MARK = re.compile(r"(#{1,6})\s")
+_TODO, _CALL, _LINKS = re.compile(r"\s*>\s*\[!(?:todo|info)\]", re.I), re.compile(r"\s*>\s*\[!"), re.compile(r"#{1,6}\s*相关链接\s*\Z")
 CALLOUT = rf"(?U)^{WS}*>{WS}*\[!([A-Za-z-]+)\][+-]?"
 
 
@@ -154,6 +158,45 @@ def body_text(notes: DataFrame) -> DataFrame:
     return notes.select("note_id").join(kept, "note_id", "left").select("note_id", F.coalesce("body", F.lit("")).alias("body"))
 
 
+def heading_of(line: str) -> tuple[int, str] | None:
+    """Level and title of a heading line."""
+    m = MARK.match(line)
+    if not m:
+        return None
+    raw = line[m.end(1) :].strip()
+    title = raw.rstrip("#")
+    return m.end(1), (raw if title == raw else title).strip()
+
+
+def headings_of(lines: list[str]) -> list[tuple[int, int, str]]:
+    """P1 for one note: (pos, level, title) outside toggled code."""
+    out, code = [], False
+    for k, x in enumerate(lines):
+        if ("```" in x or "~~~" in x) and x.lstrip()[:3] in ("```", "~~~"):
+            code = not code
+        elif not code and x[:1] == "#" and (h := heading_of(x)):
+            out.append((k, *h))
+    return out
+
+
+def body_of(lines: list[str]) -> list[str]:
+    """P6 (W2, W3) for one note: what body_lines keeps."""
+    out, link, todo = [], False, False
+    for x in lines:
+        if x[:1] == "#" and heading_of(x):
+            link, todo = bool(_LINKS.match(x)), False
+            continue
+        if x.lstrip()[:1] != ">":
+            todo = False
+            if not link:
+                out.append(x)
+        else:
+            todo = todo or bool(_TODO.match(x))
+            if not (link or todo or _CALL.match(x)):
+                out.append(x)
+    return out
+
+
 def note_title(notes: DataFrame) -> DataFrame:
     """(note_id, title): the first heading if of level 1, else null (callers put the file's stem)."""
     first = headings(notes).groupBy("note_id").agg(F.min_by(F.struct("level", "title"), "pos").alias("h"))

@@ -10,21 +10,29 @@ note unit's grams add up their postings, which gives the exact intersection with
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import GRAM_PUNCTUATION, STOP_WORDS, let, no_space, shingles, strip_md, valid_keyword
-from quillspark.operators.lines import body_text, headings
+from quillspark.functions.text import GRAM_PUNCTUATION, STOP_WORDS, let, no_space, plain_md, shingles, strip_md, valid_keyword
+from quillspark.operators.lines import body_of, headings, headings_of
 from quillspark.operators.markup import fuzzy_stems
 from quillspark.storage import materialize, small
 
 MIN_LEN, WIN, STEP = 20, 70, 35
 #: Grams of draft units that are sent to the notes as an index, about 40 bytes each; more are joined by shuffle.
 INDEX_GRAMS = 1_000_000
+#: Pairs of units, and shared grams of them, that one text's units are compared by at a time.
+PAIRS = 1 << 20
 _stop = frozenset(STOP_WORDS)
 _punctuation = str.maketrans("", "", GRAM_PUNCTUATION)
+_IS_PUNCTUATION = np.zeros(0x110000, bool)
+_IS_PUNCTUATION[[ord(c) for c in GRAM_PUNCTUATION]] = True
+_PARTS, _NO_WORD = re.compile("(?<=[。！？；])|\n{2,}"), re.compile("[^\u4e00-\u9fffA-Za-z0-9]+")
+_NOISE = re.compile(r"(?:[0-9]+|[A-Za-z]{1,2}|[0-9]{2,4}[PpKk]|(?i:cc|bilibili|subtitle|clippings))\Z")
 
 
 def unit_array(clean: Column) -> Column:
@@ -145,18 +153,95 @@ def _probe(a: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
     return best.select("d", "unit_no", "n", F.col("m.both").alias("both"), F.col("m.either").alias("either"), F.col("m.u").alias("matched"))
 
 
-def _similar_count(threshold: float):
-    """How many units of one text are similar to a unit of the other; texts meet pair by pair, so that no gram is shuffled."""
-
-    @F.arrow_udf("long")
-    def run(ours: pa.Array, theirs: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(ours.to_pylist(), theirs.to_pylist()):
-            index = GramIndex(a) if a else None
-            out.append(len({k for u in dict.fromkeys(b) for k, _, _ in index.matches(u, threshold)}) if index else 0)
-        return pa.array(out, pa.int64())
-
-    return run
+def _units(clean: str) -> dict[str, int]:
+    """P8 for one text: its units, and how often each occurs."""
+    out: dict[str, int] = {}
+    for part in _PARTS.split(clean):
+        p = "".join(part.split())
+        n = len(p)
+        if n >= MIN_LEN:
+            for u in [p] if n <= 105 else [*(p[i : i + WIN] for i in range(0, n - WIN + 1, STEP)), p[n - WIN :]]:
+                out[u] = out.get(u, 0) + 1
+    return out
+
+
+def _postings(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 4-grams of each unit: (gram, unit), sorted by gram, and how many each unit has. Grams as in GramIndex."""
+    c, of = _codes("".join(units)), np.repeat(np.arange(len(units)), [len(u) for u in units])
+    keep = ~_IS_PUNCTUATION[c]
+    c, of = c[keep], of[keep]
+    n = max(len(c) - 3, 0)
+    low, high = c[:n] << np.uint64(42) | c[1 : n + 1] << np.uint64(21) | c[2 : n + 2], c[3:]
+    grams = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    whole = of[:n] == of[3:]
+    grams, of_gram = grams[whole], of[:n][whole]
+    length = np.bincount(of, minlength=len(units))
+    for k in np.flatnonzero((length > 0) & (length < 4)):
+        grams, of_gram = np.append(grams, GramIndex.grams(units[k])), np.append(of_gram, k)
+    order = np.argsort(grams, kind="stable")  # by unit among equal grams
+    grams, of_gram = grams[order], of_gram[order]
+    if len(grams):
+        new = np.append(True, (grams[1:] != grams[:-1]) | (of_gram[1:] != of_gram[:-1]))
+        grams, of_gram = grams[new], of_gram[new]
+    return grams, of_gram, np.bincount(of_gram, minlength=len(units))
+
+
+def similar_count(ours: dict[str, int], theirs: dict[str, int], threshold: float) -> int:
+    """How many of our units are similar to one of theirs; all units of a text meet at once, in blocks of bounded size.
+
+    A unit needs ceil(threshold * its grams) or more of them in the other text to be similar to a unit there; few units do.
+    """
+    if not ours or not theirs:
+        return 0
+    times = np.fromiter(ours.values(), np.int64, len(ours))
+    same = np.fromiter((u in theirs for u in ours), bool, len(ours))
+    g, a, na = _postings(list(ours))
+    same &= na > 0
+    h, b, nb = _postings(list(theirs))
+    first, last = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
+    met = last > first
+    met &= ~same[a]  # a unit that stands there itself is settled
+    enough = np.bincount(a[met], minlength=len(na)) >= na * threshold - 1e-9
+    met &= enough[a]
+    a, first, size = a[met], first[met], (last - first)[met]
+    hit = same.copy()
+    if len(a):
+        order = np.argsort(a, kind="stable")
+        a, first, size = a[order], first[order], size[order]
+        width = len(nb)
+        # whole units a block: at most so many pairs of units, and of postings where one unit allows it
+        unit, begin = np.unique(a, return_index=True)
+        stop = np.append(begin[1:], len(a))
+        load = np.maximum(np.add.reduceat(size, begin), width)
+        block = np.cumsum(load) // PAIRS
+        for k in np.unique(block):
+            mine = np.flatnonzero(block == k)
+            s = slice(begin[mine[0]], stop[mine[-1]])
+            sizes = size[s]
+            places = np.repeat(first[s] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+            row = np.repeat(np.searchsorted(unit[mine], a[s]), sizes)
+            both = np.bincount(row * width + b[places], minlength=len(mine) * width).reshape(len(mine), width)
+            either = na[unit[mine]][:, None] + nb[None, :] - both
+            hit[unit[mine]] = ((both > 0) & (both >= either * threshold - 1e-12)).any(1)
+    return int(times[hit].sum())
+
+
+def _keywords(clean: str, topk: int) -> list[str]:
+    """A4 for one cleaned text."""
+    grams = frequent_grams(_NO_WORD.sub("", clean), 8 * topk)[: 2 * topk]
+    return [k for k in grams if len(k) >= 2 and not _NOISE.match(k) and k not in _stop][:topk]
+
+
+def _draft(text: str | None, topk: int = 40) -> tuple[list[str], list[str], dict[str, int]]:
+    """Keywords, titles of headings and units."""
+    clean = plain_md(text or "")
+    return _keywords(clean, topk), [title for _, _, title in headings_of((text or "").splitlines())], _units(clean)
+
+
+def _note(text: str | None) -> tuple[str, str, set[str], dict[str, int]]:
+    """Cleaned text, cleaned body, titles of headings and units."""
+    lines, clean = (text or "").splitlines(), plain_md(text or "")
+    return clean, plain_md("\n".join(body_of(lines))), {title for _, _, title in headings_of(lines)}, _units(clean)
 
 
 def frequent_grams(text: str, most: int) -> list[str]:
@@ -213,25 +298,34 @@ def check_drafts(drafts: DataFrame, notes: DataFrame, pairs: DataFrame, threshol
     One row a pair: n_kw, n_covered, n_weak, n_dup_headings, n_units, n_similar, coverage, dup_ratio, verdict: 13 a revision, 10 covered, 11
     partly covered, 0 new (as is a pair whose note does not exist).
     """
-    d = drafts.select("draft_id", F.col("text").alias("d_text"))
-    n = notes.select("note_id", F.col("text").alias("n_text"))
-    live = pairs.join(n.select("note_id"), "note_id", "left_semi")
-    kws = fallback_keywords(drafts, "draft_id").groupBy("draft_id").agg(F.collect_list("kw").alias("kws"))  # topk at most
-    clean = notes.select("note_id", strip_md(F.col("text")).alias("n_clean")).join(body_text(notes), "note_id")
-    cover = live.join(kws, "draft_id", "left").join(clean, "note_id").withColumn("kws", F.coalesce("kws", F.array().cast("array<string>")))
-    covered = F.filter("kws", lambda k: F.contains(F.col("n_clean"), k))
-    cover = cover.withColumn("covered", covered).select("draft_id", "note_id", F.size("kws").cast("long").alias("n_kw"), F.size("covered").cast("long").alias("n_covered"), F.size(F.filter("covered", lambda k: ~F.contains(F.col("body"), k))).cast("long").alias("n_weak"))
-    dh = headings(drafts.select(F.col("draft_id").alias("note_id"), "text")).select(F.col("note_id").alias("draft_id"), "title")
-    nh = headings(notes).select("note_id", "title").distinct()
-    dup = live.join(dh, "draft_id").join(nh, ["note_id", "title"], "left_semi").groupBy("draft_id", "note_id").agg(F.count("*").alias("n_dup_headings"))
-    n_units = drafts.select("draft_id", F.size(unit_array(strip_md(F.col("text")))).cast("long").alias("n_units")).filter("n_units > 0")
-    if threshold > 0:
-        sides = [df.select(key, unit_array(strip_md(F.col("text"))).alias(name)) for df, key, name in ((drafts, "draft_id", "_du"), (notes, "note_id", "_nu"))]
-        both = live.join(sides[0], "draft_id").join(sides[1], "note_id")
-        sim = both.select("draft_id", "note_id", _similar_count(threshold)("_du", "_nu").alias("n_similar"))
-    else:
-        sim = live.join(n_units, "draft_id").select("draft_id", "note_id", F.col("n_units").alias("n_similar"))
-    out = pairs.join(cover, ["draft_id", "note_id"], "left").join(dup, ["draft_id", "note_id"], "left").join(n_units, "draft_id", "left").join(sim, ["draft_id", "note_id"], "left")
+    counts = "n_kw n_covered n_weak n_dup_headings n_units n_similar".split()
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("draft_id", "note_id")]
+
+    def run(batches):
+        last, draft, last_note, note = None, None, None, None
+        for b in batches:
+            out = []
+            for d_id, n_id, d_there, n_there, d_text, n_text in zip(*(c.to_pylist() for c in b.columns)):
+                if not n_there:
+                    units = sum(_units(plain_md(d_text or "")).values())
+                    out.append((None, 0, 0, 0, units, 0))
+                    continue
+                if draft is None or d_text != last:
+                    last, draft = d_text, _draft(d_text)
+                if note is None or n_text != last_note:
+                    last_note, note = n_text, _note(n_text)
+                (kws, titles, ours), (clean, body, known, theirs) = draft, note
+                covered = [k for k in kws if k in clean]
+                units = sum(ours.values())
+                out.append((len(kws), len(covered), sum(k not in body for k in covered), sum(t in known for t in titles), units, similar_count(ours, theirs, threshold) if threshold > 0 else units))
+            cols = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["draft_id", "note_id", *counts])
+
+    # a pair's two texts meet in one row; whatever is made of them is made there, and dealt out no more
+    d = drafts.select("draft_id", F.lit(True).alias("d_there"), F.col("text").alias("d_text"))
+    n = notes.select("note_id", F.lit(True).alias("n_there"), F.col("text").alias("n_text"))
+    rows = pairs.join(d, "draft_id", "left").join(n, "note_id", "left").select("draft_id", "note_id", "d_there", "n_there", "d_text", "n_text")
+    out = rows.mapInArrow(run, f"draft_id {kinds[0]}, note_id {kinds[1]}, " + ", ".join(f"{c} long" for c in counts))
     out = out.withColumn("found", F.col("n_kw").isNotNull()).na.fill(0, ["n_kw", "n_covered", "n_weak", "n_dup_headings", "n_units", "n_similar"])
     out = out.withColumns({"coverage": F.col("n_covered") / F.greatest("n_kw", F.lit(1)), "dup_ratio": F.col("n_similar") / F.greatest("n_units", F.lit(1))})
     verdict = F.when(~F.col("found"), 0).when((F.col("coverage") >= 0.8) & (F.col("dup_ratio") >= 0.6), 13).when(F.col("coverage") >= 0.8, 10).when(F.col("coverage") >= 0.5, 11).otherwise(0)

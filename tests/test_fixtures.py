@@ -410,3 +410,49 @@ def test_toc_rebuild_needs_no_shuffle(spark):
     assert got[0]["new_text"] == got[3]["new_text"] == want and got[0]["reason"] is None
     assert (got[1]["reason"], got[2]["reason"], got[2]["new_text"]) == ("no contents section", "no contents section", "")
     assert "[[#B]]" not in {r["note_id"]: r for r in edits.rebuild_toc(n, exclude="^B").collect()}[0]["new_text"]
+
+
+def test_texts_are_read_in_python_as_by_columns(spark):
+    """What drafts are checked by equals the column functions, on odd texts too."""
+    import random
+
+    from quillspark.functions import text as fx
+
+    r = random.Random(11)
+    bits = ["# a", "## 相关链接", "#", " \t# b ##", "> [!TODO] x", "> q", ">", "> [!tip] y", "```", "~~~", "`c`", "$", "$$", "[[x]]", "![[x", "]]", "![a](b)", "<!--", "-->", "---", "\n---", "。", "一二三四五六七八九十" * 3, "word " * 30, "", "　", "x"]
+    ends = ["\n"] * 8 + ["\n\n", "\r\n", "\r", " ", "\x85", "\x1c", " ", ""]
+    texts = [("---\n" if r.random() < 0.2 else "") + "".join(r.choice(bits) + r.choice(ends) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    n = notes(spark, *texts)
+    plain = {x["note_id"]: x for x in n.select("note_id", fx.strip_md(F.col("text")).alias("t"), similarity.unit_array(fx.strip_md(F.col("text"))).alias("u")).collect()}
+    body = {x["note_id"]: x["body"] for x in ln.body_text(n).collect()}
+    heads: dict = {}
+    for x in ln.headings(n).orderBy("note_id", "pos").collect():
+        heads.setdefault(x["note_id"], []).append((x["pos"], x["level"], x["title"]))
+    for k, t in enumerate(texts):
+        lines = t.splitlines()
+        assert fx.plain_md(t) == plain[k]["t"], repr(t)
+        assert sorted(similarity._units(plain[k]["t"]).items()) == sorted({u: plain[k]["u"].count(u) for u in plain[k]["u"]}.items()), repr(t)
+        assert fx.plain_md("\n".join(ln.body_of(lines))) == body[k], repr(t)
+        assert ln.headings_of(lines) == heads.get(k, []), repr(t)
+
+
+def test_draft_check_deals_texts_out_once(spark, monkeypatch):
+    """A3: texts travel to their pair, and nothing made of them does; blocks of units of any size count the same."""
+    words = [f"w{k * 7919 % 997}" for k in range(4000)]
+    texts = [" ".join(words[k : k + 900]) for k in (0, 300, 880, 2000)] + ["short", None]
+    n = notes(spark, *texts[:5])
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(7)], "draft_id long, note_id long")
+    made = similarity.check_drafts(n.withColumnRenamed("note_id", "draft_id"), n, pairs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and "Window" not in plan
+    got = {(r["draft_id"], r["note_id"]): r for r in made.collect()}
+    assert len(got) == 42 and got[0, 6]["verdict"] == 0 and got[0, 0]["n_similar"] == got[0, 0]["n_units"] > 0 and got[5, 0]["n_units"] == 0
+    units = [similarity._units(t or "") for t in texts]
+    for size in (1, 5000, similarity.PAIRS):
+        monkeypatch.setattr(similarity, "PAIRS", size)
+        for a in range(4):
+            index = similarity.GramIndex(list(units[a]))
+            for b in range(4):
+                want = len({k for u in units[b] for k, _, _ in index.matches(u, 0.55)})
+                assert similarity.similar_count(units[a], units[b], 0.55) == want
+                assert got[a, b]["n_similar"] == sum(v for k, (u, v) in enumerate(units[a].items()) if any(k == x for w in units[b] for x, _, _ in index.matches(w, 0.55)))
