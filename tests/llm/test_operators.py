@@ -572,3 +572,25 @@ def test_stages_on_odd_rows(spark):
         else:
             assert set(out.columns) == set(df.columns) | {"source_size"} and all(0 < r["taken"] <= 3 * r["size"] for r in rows_)
         assert stage(spark, df.limit(0), SMALL).count() == 0
+
+
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """Links that fit one task are labelled by one, whatever their shape; rounds of joins give the same labels."""
+    import random
+
+    from quillspark.llm import graph
+
+    r = random.Random(4)
+    chain = [(k, k + 1) for k in range(1000, 1400)]
+    r.shuffle(chain)
+    edges = chain + [(r.randint(0, 600), r.randint(0, 600)) for _ in range(250)] + [(7, 7), (2000, 2000), (1 << 60, 5)] * 2
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    kept, written = graph.materialize, []
+    monkeypatch.setattr(graph, "materialize", lambda d, name: written.append(name) or kept(d, name))
+    few = sorted(map(tuple, graph.components(df).collect()))
+    assert written.count("labels") == 1
+    monkeypatch.setattr(graph, "ONE_TASK", -1)
+    assert few == sorted(map(tuple, graph.components(df).collect())) and written.count("labels") > 3
+    assert dict(few)[1400] == 1000 and 2000 not in dict(few)
+    monkeypatch.undo()
+    assert graph.components(df.limit(0)).count() == 0
