@@ -141,11 +141,16 @@ def join_cjk(a: Column, b: Column) -> Column:
 
 
 def despeak(c: Column) -> Column:
-    """Fillers go where punctuation or white space stands on both sides, or at the head before a comma."""
+    """Fillers go where punctuation or white space stands on both sides, or at the head before a comma.
+
+    A text without a filler's first character and without commas and stops has nothing to remove; one search tells.
+    """
+    out = c
     for f in FILLERS:
-        c = F.regexp_replace(c, rf"(?U)(?<=[\s\x1C-\x1F，。！？、；：]){f}(?=[\s\x1C-\x1F，。！？、；：])", "")
-        c = F.regexp_replace(c, rf"\A{f}(?=[，、])", "")
-    return strip(F.regexp_replace(F.regexp_replace(c, "[，、]{2,}", "，"), r"\A[，、。]+", ""))
+        out = F.regexp_replace(out, rf"(?U)(?<=[\s\x1C-\x1F，。！？、；：]){f}(?=[\s\x1C-\x1F，。！？、；：])", "")
+        out = F.regexp_replace(out, rf"\A{f}(?=[，、])", "")
+    out = F.regexp_replace(F.regexp_replace(out, "[，、]{2,}", "，"), r"\A[，、。]+", "")
+    return strip(F.when(c.rlike(f"[{''.join(sorted({f[0] for f in FILLERS}))}，、。]"), out).otherwise(c))
 
 
 def decode_symbols(c: Column, table: dict[int, str]) -> Column:

@@ -62,16 +62,28 @@ def lost_prefix(docs: DataFrame) -> DataFrame:
     return body.withColumn("l", kept).withColumn("first", F.array_position(F.transform("l", lambda x: x.rlike(STAMP)), True)).filter("first > 1").select("doc_id", F.array_join(F.slice("l", F.lit(1), (F.col("first") - 1).cast("int")), "\n").alias("prefix"))
 
 
+def _steps(cues: DataFrame) -> DataFrame:
+    """cues with _d: the step from the cue before where that is between 0 and 60 seconds."""
+    step = F.col("t") - F.lag("t").over(_order())
+    return cues.withColumn("_d", step).withColumn("_d", F.when((F.col("_d") > 0) & (F.col("_d") < 60), F.col("_d")))
+
+
+def _gap(median: Column) -> Column:
+    return F.greatest(F.coalesce(median * 1.8, F.lit(5.0)), F.lit(5.0))
+
+
 def auto_gap(cues: DataFrame) -> DataFrame:
     """(doc_id, gap): 1.8 times the median step between 0 and 60 seconds, 5 at least, 5 without steps. Exact median."""
-    step = F.col("t") - F.lag("t").over(_order())
-    d = cues.withColumn("d", step).withColumn("d", F.when((F.col("d") > 0) & (F.col("d") < 60), F.col("d")))
-    return d.groupBy("doc_id").agg(F.greatest(F.coalesce(F.median("d") * 1.8, F.lit(5.0)), F.lit(5.0)).alias("gap"))
+    return _steps(cues).groupBy("doc_id").agg(_gap(F.median("_d")).alias("gap"))
 
 
 def segments(cues: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """Cues with seg: a new one where the step from the cue before is the gap or more."""
-    c = cues.join(auto_gap(cues) if gaps is None else gaps, "doc_id")
+    """Cues with seg: a new one where the step from the cue before is the gap or more. Without gaps each document's own is taken on the way."""
+    if gaps is None:
+        own = _gap(F.median("_d").over(Window.partitionBy("doc_id")))
+        c = _steps(cues.filter("doc_id IS NOT NULL")).select("doc_id", *(x for x in cues.columns if x != "doc_id"), own.alias("gap"))
+    else:
+        c = cues.join(gaps, "doc_id")
     new = F.coalesce((F.col("t") - F.lag("t").over(_order()) >= F.col("gap")).cast("int"), F.lit(0))
     return c.withColumn("_n", new).withColumn("seg", F.sum("_n").over(_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
 
@@ -99,7 +111,7 @@ class Fold:
             pieces = [" ", said]
         self.parts += pieces
         if pieces:
-            found = [m.end() for m in SENTENCE.finditer(said)]
+            found = [] if said.isascii() else [m.end() for m in SENTENCE.finditer(said)]
             self.size += len(pieces) - 1
             self.stop = self.size + found[-1] if found else self.stop
             self.size, self.last = self.size + len(said), said[-1]
@@ -116,48 +128,86 @@ class Fold:
         return [(*self.key, self.k, self.start, text)] if text.strip() else []
 
 
-def paragraphs(cues: DataFrame, gaps: DataFrame | None = None, max_para: int = 320, keep_ts: bool = False, spoken: bool = True) -> DataFrame:
-    """(doc_id, para_no, t, text): segments, cut after the last sentence end where they grow too long, cleaned.
+def _folded(cues: DataFrame, gaps: DataFrame | None, most: int) -> DataFrame:
+    """Paragraphs (doc_id, seg, k, t, text) before cleaning, and a row for each document with its duration, n_cues and gap, without text.
 
     The cut carries text over to the next paragraph, so cues are folded in Python, in order, from one segment to the next; nothing carries over
     a gap. Only new text is searched for sentence ends: what is behind the last one holds none.
     """
-    cut_from = 0.6 * max_para
+    cut_from = 0.6 * most
     kind = cues.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        key, fold, types = None, None, None
+        now, at, fold, types, seen = None, None, None, None, None
         for b in batches:
-            types, done = b.schema.field(0).type, []
-            for doc_id, seg, t, said in zip(*(c.to_pylist() for c in b.columns)):
-                if (doc_id, seg) != key:
+            types, done, ends = b.schema.field(0).type, [], []
+            for doc_id, seg, t, said, gap in zip(*map(values, b.columns)):
+                if seg != at or doc_id != now:
                     if fold:
                         done += fold.end()
-                    key, fold = (doc_id, seg), Fold(doc_id, seg, max_para, cut_from, t)
+                    if doc_id != now:
+                        if fold:
+                            ends.append(whole(now, *seen))
+                        seen = [t, t, 0, gap]
+                    now, at, fold = doc_id, seg, Fold(doc_id, seg, most, cut_from, t)
+                seen[1] = t
+                seen[2] += 1
                 done += fold.add(t, said or "")
-            if done:
-                yield made(done, types)
-        if fold and (done := fold.end()):
-            yield made(done, types)
+            yield from made(done, ends, types)
+        if fold:
+            yield from made(fold.end(), [whole(now, *seen)], types)
+
+    def values(c):
+        """What to_pylist gives, faster for the kinds that cues have."""
+        plain = pa.types.is_string(c.type) or not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type))
+        return c.to_numpy(zero_copy_only=False).tolist() if plain else c.to_pylist()
 
-    def made(done, kind):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (kind, pa.int64(), pa.int32(), pa.float64(), pa.string()))], ["doc_id", "seg", "k", "t", "text"])
+    def whole(doc_id, first, last, n, gap):
+        return doc_id, None if first is None or last is None else last - first, n, gap
+
+    def made(done, ends, kind):
+        kinds = dict(doc_id=kind, seg=pa.int64(), k=pa.int32(), t=pa.float64(), text=pa.string(), duration=pa.float64(), n_cues=pa.int64(), gap=pa.float64())
+        for rows, names in ((done, ("doc_id", "seg", "k", "t", "text")), (ends, ("doc_id", "duration", "n_cues", "gap"))):
+            if rows:
+                held = dict(zip(names, zip(*rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(held[n], k) if n in held else pa.nulls(len(rows), k) for n, k in kinds.items()], list(kinds))
 
     rows = segments(cues, gaps).sortWithinPartitions("doc_id", "pos")  # its windows leave documents whole
-    folded = rows.select("doc_id", "seg", F.col("t").cast("double"), "text").mapInArrow(run, f"doc_id {kind}, seg long, k int, t double, text string")
-    text = clean_inline(F.col("text"))
-    folded = folded.withColumn("text", despeak(text) if spoken else text).filter("text <> ''")
+    rows = rows.select("doc_id", "seg", F.col("t").cast("double"), "text", F.col("gap").cast("double"))
+    return rows.mapInArrow(run, f"doc_id {kind}, seg long, k int, t double, text string, duration double, n_cues long, gap double")
+
+
+def _cleaned(folded: DataFrame, spoken: bool) -> DataFrame:
+    """Each text cleaned once: what reads an exploded column is not moved below it, where it would clean again."""
+    steps = (clean_inline, despeak) if spoken else (clean_inline,)
+    for clean in steps:
+        folded = folded.select(*(c for c in folded.columns if c != "text"), F.explode(F.array(clean(F.col("text")))).alias("text"))
+    return folded
+
+
+def paragraphs(cues: DataFrame, gaps: DataFrame | None = None, max_para: int = 320, keep_ts: bool = False, spoken: bool = True) -> DataFrame:
+    """(doc_id, para_no, t, text): segments, cut after the last sentence end where they grow too long, cleaned."""
+    folded = _cleaned(_folded(cues, gaps, max_para).filter("k IS NOT NULL").select("doc_id", "seg", "k", "t", "text"), spoken).filter("text <> ''")
     no = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg", "k")) - 1
     said = F.concat(F.lit("["), fmt_ts(F.col("t")), F.lit("] "), F.col("text")) if keep_ts else F.col("text")
     return folded.select("doc_id", no.alias("para_no"), "t", said.alias("text"))
 
 
-def transcript_stats(cues: DataFrame, paras: DataFrame) -> DataFrame:
-    """Duration, counts, average paragraph length (rounded down) and gap by document."""
-    c = cues.groupBy("doc_id").agg((F.max_by("t", "pos") - F.min_by("t", "pos")).alias("duration"), F.count("*").alias("n_cues"))
-    p = paras.groupBy("doc_id").agg(F.count("*").alias("n_paras"), F.sum(F.char_length("text")).alias("_chars"))
-    out = c.join(p, "doc_id", "left").join(auto_gap(cues), "doc_id").na.fill(0, ["n_paras", "_chars"])
-    return out.withColumn("avg_len", F.floor(F.col("_chars") / F.greatest("n_paras", F.lit(1)))).drop("_chars")
+def transcript_stats(cues: DataFrame, paras: DataFrame | None = None, max_para: int = 320) -> DataFrame:
+    """Duration, counts, average paragraph length (rounded down) and gap by document.
+
+    Without paras the statistics are those of paragraphs(cues, max_para=max_para), which are made on the way: cues are read and dealt out once.
+    """
+    sums = (F.count(F.when(F.col("text") != "", 1)).alias("n_paras"), F.sum(F.when(F.col("text") != "", F.char_length("text"))).alias("_chars"))
+    if paras is None:
+        once = [F.max(c).alias(c) for c in ("duration", "n_cues", "gap")]
+        out = _cleaned(_folded(cues, None, max_para).select("doc_id", "text", "duration", "n_cues", "gap"), True).groupBy("doc_id").agg(*once, *sums)
+    else:
+        whole = (F.max_by("t", "pos") - F.min_by("t", "pos")).alias("duration"), F.count("*").alias("n_cues"), _gap(F.median("_d")).alias("gap")
+        c = _steps(cues.filter("doc_id IS NOT NULL")).groupBy("doc_id").agg(*whole)
+        out = c.join(paras.groupBy("doc_id").agg(F.count("*").alias("n_paras"), sums[1]), "doc_id", "left")
+    out = out.na.fill(0, ["n_paras", "_chars"]).withColumn("avg_len", F.floor(F.col("_chars") / F.greatest("n_paras", F.lit(1))))
+    return out.select("doc_id", "duration", "n_cues", "n_paras", "gap", "avg_len")
 
 
 def extract_text(docs: DataFrame, max_para: int = 320) -> DataFrame:

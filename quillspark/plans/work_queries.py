@@ -32,12 +32,12 @@ STEP = f"{CUE}, st AS (SELECT *, t - lag(t) OVER (PARTITION BY doc_id ORDER BY p
 
 
 def event_cues(spark, d):
-    e = read(spark, d, "events")
+    e = read(spark, d, "events").withColumnRenamed("user_id", "doc_id")  # dealt out by doc_id once, for all windows
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("doc_id"), k.alias("pos"), (us / 1e9).alias("t"), F.col("event_type").alias("text"))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "event_id")) - 1
+    return e.select("doc_id", k.alias("pos"), (us / 1e9).alias("t"), F.col("event_type").alias("text"))
 
 
 def cue_query(name, sql=None):
@@ -48,7 +48,7 @@ cue_query("a7_auto_gap", f"WITH {STEP} SELECT doc_id, round(gap, 6) AS gap FROM
 cue_query("w8_segments", f"WITH {STEP} SELECT doc_id, pos, seg FROM sg")(lambda c: cues.segments(c).select("doc_id", "pos", "seg"))
 cue_query("w21_pauses", f"WITH {STEP} SELECT doc_id, pos, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INT AS k FROM sg WHERE d >= 1.5 * gap QUALIFY k <= 25")(lambda c: cues.pauses(c).select("doc_id", "pos", "k"))
 cue_query("w9_paragraphs")(lambda c: cues.paragraphs(c, max_para=60))
-cue_query("a6_transcript_stats")(lambda c: cues.transcript_stats(c, cues.paragraphs(c, max_para=60)))
+cue_query("a6_transcript_stats")(lambda c: cues.transcript_stats(c, max_para=60))
 
 #: Conversations as stamped lines: unstamped ones before some, a stamp on every second turn, the others continue it.
 TALK = "CASE WHEN conv_id % 4 = 0 THEN '# Talk' || chr(10) || 'opening words that no stamp covers' || chr(10) ELSE '' END || string_agg(CASE WHEN turn % 2 = 0 THEN printf('%02d:%02d ', (turn * 7) // 60, (turn * 7) % 60) ELSE '' END || replace(text, chr(10), ' '), chr(10) ORDER BY turn)"

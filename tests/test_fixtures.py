@@ -398,6 +398,35 @@ def test_transcript_stats_of_many_segments(spark):
     assert {tuple(r) for r in made.select("n_cues", "n_paras", "avg_len", "duration", "gap").collect()} == {(30, 30, 4, 2900.0, 5.0)} and made.count() == 50
 
 
+def test_transcript_stats_in_one_pass(spark):
+    """Cues are read and dealt out once, each text is cleaned once, and the sums are those of the paragraphs."""
+    from quillspark.plans.queries import QUERIES
+    from tests.conftest import SMALL
+
+    plan = QUERIES["a6_transcript_stats"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 2
+    said = ["嗯，我们走，就是，好", "我们走。然后", "", None, "plain words", " \u200b ", "呃 那么 word，、end", "对吧"]
+    rows = [(d, k, None if d == 4 and k == 0 else k * (1.5 + d) + 40 * (k % 5 == 4), said[(k * (d + 1)) % 8]) for d in range(7) for k in range(1 + 9 * d)]
+    rows += [(None, 0, 1.0, "lost"), (8, 0, 0.0, None), (8, 1, 9.0, " ")]
+    c = spark.createDataFrame(rows, "doc_id long, pos int, t double, text string").repartition(5)
+    made = cues.paragraphs(c, max_para=12)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("嗯+") == 2  # one pattern between marks, one for the head
+    want = cues.transcript_stats(c, made)
+    got = cues.transcript_stats(c, max_para=12)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 8
+    assert {r["doc_id"]: (r["duration"], r["n_paras"], r["avg_len"]) for r in got.collect()}[8] == (9.0, 0, 0)
+
+
+@pytest.mark.parametrize("text", ["plain", "嗯，走", "走，嗯，来", "a，、b", "。a", " 这个这个 x", "你知道吧，x", "x 对吧 ", "", None])
+def test_despeak_shortcut(spark, text):
+    """What the search before the fillers leaves out is what no step would change."""
+    out = F.lit(text).cast("string")
+    for f in fx.FILLERS:
+        out = F.regexp_replace(F.regexp_replace(out, rf"(?U)(?<=[\s\x1C-\x1F，。！？、；：]){f}(?=[\s\x1C-\x1F，。！？、；：])", ""), rf"\A{f}(?=[，、])", "")
+    want = fx.strip(F.regexp_replace(F.regexp_replace(out, "[，、]{2,}", "，"), r"\A[，、。]+", ""))
+    assert one(spark, fx.despeak(F.lit(text).cast("string"))) == one(spark, want)
+
+
 def test_toc_rebuild_needs_no_shuffle(spark):
     """M5: a note is rebuilt by itself; texts are not dealt out, nor read again for each part of the result."""
     flat = "# T\n## 目录\n1. [[#Old]]\n\n## A\n### a ##\n```\n## code\n```\n## B\n"
