@@ -162,9 +162,16 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int):
         kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()))
         return pa.StructArray.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in (0, 1)], ["hit", "share"])
 
-    rows = picked.select("lang", "_key", profiles("text").alias("p")).select("lang", "_key", "p.*").toArrow().to_pydict()
-    order = sorted(range(len(rows["_key"])), key=lambda i: (rows["_key"][i], rows["lang"][i]))
-    return [(np.array(rows["hit"][i], np.int32), np.array(rows["share"][i], np.float32)) for i in order], [rows["lang"][i] for i in order]
+    rows = picked.select("lang", "_key", profiles("text").alias("p")).select("lang", "_key", "p.*").toArrow()
+    keys, langs = rows["_key"].to_pylist(), rows["lang"].to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], langs[i]))
+    hits, shares = _lists(rows["hit"]), _lists(rows["share"])
+    return [(hits[i], shares[i]) for i in order], [langs[i] for i in order]
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Lists of numbers as views of the column's own buffers: no object a number on the driver."""
+    return [v for c in column.chunks if len(c) for v in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
 
 
 def train(docs: DataFrame, allowed: Column | None = None, per_language: int = 600) -> EccModel:
