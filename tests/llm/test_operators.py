@@ -6,11 +6,13 @@ import hashlib
 import itertools
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -97,6 +99,24 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_sample_on_driver(spark):
+    """The sample's profiles stay in the buffers they came in: the driver makes no object for each number."""
+    docs = spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "text", "lang")
+    tracemalloc.start()
+    try:
+        profiles, labels = langid.labelled_sample(docs, F.lit(True), 600)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    numbers = sum(len(hit) for hit, _ in profiles)
+    assert len(profiles) == len(labels) > 100 and peak < 32 * numbers  # 8 bytes a gram and share
+    by_text = {(lang, hit.tobytes(), share.tobytes()) for (hit, share), lang in zip(profiles, labels)}
+    texts = {(r["lang"], r["text"]) for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect()}
+    assert by_text <= {(lang, *(x.tobytes() for x in langid.profile(text))) for lang, text in texts}
+    chunks = [pa.array(x, pa.list_(pa.int32())) for x in ([[9], [1, 2], [], [3]], [], [[]], [[4, 5]])]
+    assert [x.tolist() for x in langid._lists(pa.chunked_array([chunks[0][1:], *chunks[1:]]))] == [[1, 2], [], [3], [], [4, 5]]
+
+
 def test_language_edges(spark, edges):
     model = langid.EccModel.train(["the cat sat on the mat and that was that"] * 3 + ["le chat est sur la table avec une souris"] * 3, ["en"] * 3 + ["fr"] * 3)
     got = {r["doc_id"]: r for r in langid.identify(edges, model).collect()}
